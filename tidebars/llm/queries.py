@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .token_store import store_and_read
 from .tokens import bpe_round_trip, prefix_token_counts
 
 
@@ -29,10 +30,15 @@ def op7_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store_and_read(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_bpe_encode_decode": op7_bpe_encode_decode,
+    "op8_token_store": op8_token_store,
 }
 
 #: Lower-casing of A-Z only, in DuckDB.
