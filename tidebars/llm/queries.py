@@ -11,6 +11,8 @@ from .exact_dedup import exact_dedup
 from .token_store import store_and_read
 from .tokens import bpe_round_trip, prefix_token_counts
 
+from .url_filter import url_verdicts
+
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
@@ -34,11 +36,16 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_and_read(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_bpe_encode_decode": op7_bpe_encode_decode,
     "op8_token_store": op8_token_store,
+    "op10_url_filter": op10_url_filter,
 }
 
 #: Lower-casing of A-Z only, in DuckDB.
