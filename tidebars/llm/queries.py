@@ -11,6 +11,7 @@ from .exact_dedup import exact_dedup
 from .token_store import store_and_read
 from .tokens import bpe_round_trip, prefix_token_counts
 
+from .toxicity import toxicity
 from .url_filter import url_verdicts
 
 
@@ -36,6 +37,10 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_and_read(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -45,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_bpe_encode_decode": op7_bpe_encode_decode,
     "op8_token_store": op8_token_store,
+    "op9_toxicity": op9_toxicity,
     "op10_url_filter": op10_url_filter,
 }
 
