@@ -50,6 +50,16 @@ def with_group_totals(rows: DataFrame, key: str, order: str, aggs: dict[str, tup
     return salted.join(spread, [key, "_salt"]).drop("_salt")
 
 
+def spread_join(rows: DataFrame, facts: DataFrame, key: str, order: str, salts: int = 64) -> DataFrame:
+    """Inner join of rows with one row of facts for each key; rows of a hot key go to up to ``salts`` tasks.
+
+    Facts are repeated only for the salts that a key uses.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(order), F.lit(salts)).cast("int"))
+    used = salted.select(key, "_salt").distinct()
+    return salted.join(used.join(facts, key), [key, "_salt"]).drop("_salt")
+
+
 def components(edges: DataFrame, label: str) -> DataFrame:
     """Connected components of edges (u, v): (node, component), component being the least node reachable.
 

@@ -15,9 +15,9 @@ from .superkmers import Space, bucket_count, covered, hashed_groups, keyed, pack
 BUCKET_BYTES = 16_000_000
 
 
-def split_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+def split_words(texts: list[str | bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
     """Word codes of all texts, a hash for each, the number of words of each text, and the words by code."""
-    lists = [t.encode().split() for t in texts]  # bytes.split() cuts at x20 and x09-x0D, as words are defined
+    lists = [(t if isinstance(t, bytes) else t.encode()).split() for t in texts]  # bytes.split() cuts at x20 and x09-x0D, as words are defined
     words = list(dict.fromkeys(w for ws in lists for w in ws))
     code = {w: i for i, w in enumerate(words)}
     n = sum(map(len, lists))
