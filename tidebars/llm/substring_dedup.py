@@ -4,24 +4,25 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from .superkmers import Space, bucket_count, covered, hashed_groups, keyed, packed_blocks, spans_of_blocks, with_spans
+from .superkmers import Space, bucket_count, covered, hashed_groups, keyed, packed_blocks, settled_spans, with_spans
 
-BUCKET_BYTES = 16_000_000
+BUCKET_BYTES = 32_000_000
 
 
 def split_words(texts: list[str | bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
     """Word codes of all texts, a hash for each, the number of words of each text, and the words by code."""
     lists = [(t if isinstance(t, bytes) else t.encode()).split() for t in texts]  # bytes.split() cuts at x20 and x09-x0D, as words are defined
-    words = list(dict.fromkeys(w for ws in lists for w in ws))
+    words = sorted(set(chain.from_iterable(lists)))  # in order, so that packed lists of words compress
     code = {w: i for i, w in enumerate(words)}
     n = sum(map(len, lists))
-    codes = np.fromiter((code[w] for ws in lists for w in ws), np.int32, n)
+    codes = np.fromiter(map(code.__getitem__, chain.from_iterable(lists)), np.int32, n)
     values = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     return codes, values[codes], np.array([len(ws) for ws in lists], np.int64), words
 
@@ -30,7 +31,7 @@ def word_space(window: int, minimiser: int) -> Space:
     return Space(window, minimiser, False, split_words, hashed_groups(window), 8_000_000)
 
 
-def substring_dedup(docs: DataFrame, window: int = 20, minimiser: int = 4, keep_text: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 20, minimiser: int = 3, keep_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept, if asked for) of every row of docs.
 
     A word is removed if a window of ``window`` consecutive words covers it whose word sequence starts earlier:
@@ -56,5 +57,5 @@ def substring_dedup(docs: DataFrame, window: int = 20, minimiser: int = 4, keep_
             out = [batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())]
             yield pa.RecordBatch.from_arrays(out + [pa.array(kept, pa.binary()).cast(pa.string())] * keep_text, ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * keep_text)
 
-    found = with_spans(rows, spans_of_blocks(blocks, space))
+    found = with_spans(rows, settled_spans(blocks, space))
     return found.mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text)

@@ -17,9 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .superkmers import Space, bucket_count, byte_values, covered, keyed, packed_blocks, spans_of_blocks, with_spans
+from .superkmers import Space, bucket_count, byte_values, covered, keyed, packed_blocks, settled_spans, with_spans
 
-BUCKET_BYTES = 4_000_000
+BUCKET_BYTES = 32_000_000
 
 
 def _names(keys: list[np.ndarray]) -> np.ndarray:
@@ -140,5 +140,5 @@ def suffix_dedup(docs: DataFrame, length: int = 50, minimiser: int = 12, keep_by
             out = [batch.column(0), *(pa.array(x, pa.int64()) for x in (total, removed, runs)), pa.array(sha, pa.string())]
             yield pa.RecordBatch.from_arrays(out + [pa.array(kept, pa.binary())] * keep_bytes, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_bytes)
 
-    found = with_spans(rows, spans_of_blocks(blocks, space))
+    found = with_spans(rows, settled_spans(blocks, space))
     return found.mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes)

@@ -17,10 +17,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import shuffle_cleanup, stored
+
 _U = np.uint64
 _P = 0x9E3779B97F4A7C15 | 1
 #: A null doc_id goes ahead of all others.
 NULL_KEY = -(1 << 63)
+#: A bucket's windows are settled in this many sections, one after the other, to bound the memory of a task.
+SECTIONS = 8
 BLOCK_SCHEMA = "bucket int, block binary"
 SPAN_SCHEMA = "key long, row_hash long, start long, count long"
 
@@ -80,18 +84,21 @@ def runs_of_flags(flag: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def repeated(hashes: np.ndarray) -> np.ndarray:
-    """Indices of values that may occur twice: those whose slot in a table of counters is taken twice."""
-    bits = max(10, int(len(hashes) * 8 - 1).bit_length())
-    slot = (hashes >> _U(64 - bits)).astype(np.int64)
-    twice = np.bincount(slot, minlength=1 << bits) > 1 if bits <= 24 else None
-    if twice is None:
-        seen, twice = np.zeros(1 << bits, bool), np.zeros(1 << bits, bool)
-        order = np.sort(slot)
-        twice[order[1:][order[1:] == order[:-1]]] = True
-        del seen
+    """Indices of values that may occur twice: those whose slot in a table is taken by another index too."""
+    bits = min(24, max(10, int(len(hashes) * 4).bit_length()))
+    slot = (hashes >> _U(64 - bits)).astype(np.int32)
+    index, last = np.arange(len(hashes), dtype=np.int32), np.empty(1 << bits, np.int32)
+    last[slot] = index
+    twice = np.zeros(1 << bits, bool)
+    twice[slot[last[slot] != index]] = True
     return np.flatnonzero(twice[slot])
 
 
+def _small(x: np.ndarray) -> np.ndarray:
+    """The array in the narrowest integer type that holds it."""
+    return x.astype(np.min_scalar_type(-int(max(abs(int(x.min())), abs(int(x.max())))) - 1)) if len(x) else x.astype(np.int8)
+
+
 @dataclass
 class Space:
     """What differs between kinds of tokens. ``group``: (tokens, offsets) of equal windows to exact groups."""
@@ -170,29 +177,32 @@ def packed_blocks(docs: DataFrame, space: Space, n_buckets: int) -> DataFrame:
         breaks = np.ones(len(windows), bool)
         breaks[1:] = (doc[1:] != doc[:-1]) | (least[1:] != least[:-1])
         run_at, run_n = runs_of_flags(sent, breaks)
-        bucket = (mix(least[run_at]) % _U(n_buckets)).astype(np.int64)
+        bucket = (mix(least[run_at]) % _U(n_buckets * SECTIONS)).astype(np.int64)
         by = np.argsort(bucket, kind="stable")
         run_at, run_n, bucket = run_at[by], run_n[by], bucket[by]
-        edges = np.searchsorted(bucket, np.arange(n_buckets + 1))
+        edges = np.searchsorted(bucket, np.arange(n_buckets * SECTIONS + 1))
         span_at, span_n = runs_of_flags(late, np.r_[True, doc[1:] != doc[:-1]])
         span_bucket = doc[span_at] % n_buckets
-        press = zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(level=3)
         lut = np.zeros(len(words), np.int32) if words is not None else None
-        for b in np.union1d(np.unique(bucket), np.unique(span_bucket)):
-            r = slice(edges[b], edges[b + 1])
-            packed = codes[rows_of_runs(run_at[r], run_n[r] + space.k - 1)]
+        for b in np.union1d(np.unique(bucket // SECTIONS), np.unique(span_bucket)):
+            sections = [slice(edges[i], edges[i + 1]) for i in range(b * SECTIONS, (b + 1) * SECTIONS)]
+            packed = [codes[rows_of_runs(run_at[r], run_n[r] + space.k - 1)] for r in sections]
             names = None
             if words is not None:
                 seen = np.zeros(len(words), bool)
-                seen[packed] = True
+                for p in packed:
+                    seen[p] = True
                 used = np.flatnonzero(seen)
                 lut[used] = np.arange(len(used))
-                packed = lut[packed].astype(np.uint16 if len(used) <= 1 << 16 else np.uint32)
+                packed = [lut[p].astype(np.uint16 if len(used) <= 1 << 16 else np.uint32) for p in packed]
                 names = b" ".join([words[i] for i in used])
             s = span_bucket == b
-            seen_docs, local = np.unique(np.concatenate([doc[run_at[r]], doc[span_at[s]]]), return_inverse=True)
-            n = r.stop - r.start
-            yield int(b), press.compress(pickle.dumps((doc_keys[seen_docs], doc_hashes[seen_docs], local[:n].astype(np.int32), start[run_at[r]], run_n[r].astype(np.int32), packed, names, local[n:].astype(np.int32), start[span_at[s]], span_n[s].astype(np.int32)), 5))
+            whole = slice(edges[b * SECTIONS], edges[(b + 1) * SECTIONS])
+            seen_docs, local = np.unique(np.concatenate([doc[run_at[whole]], doc[span_at[s]]]), return_inverse=True)
+            n = whole.stop - whole.start
+            fields = (_small(np.diff(doc_keys[seen_docs], prepend=0)), doc_hashes[seen_docs].astype(np.int32), _small(local[:n]), _small(start[run_at[whole]]), _small(run_n[whole]), [r.stop - r.start for r in sections], packed, names, _small(local[n:]), _small(start[span_at[s]]), _small(span_n[s]))
+            yield int(b), press.compress(pickle.dumps(fields, 5))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, hashes, texts, size = [], [], [], 0
@@ -221,33 +231,43 @@ def spans_of_blocks(blocks: DataFrame, space: Space) -> DataFrame:
 
     def settle(table: pa.Table) -> pa.Table:
         press = zstandard.ZstdDecompressor()
-        parts = [pickle.loads(press.decompress(b.as_py())) for b in table.column("block")]
-        found: list[tuple[np.ndarray, ...]] = [(p[0][p[7]], p[1][p[7]], p[8], p[9].astype(np.int64)) for p in parts]
-        parts = [p for p in parts if len(p[5])]
-        if parts:
-            if parts[0][6] is None:
-                tokens = np.concatenate([p[5] for p in parts])
-                values = byte_values()[tokens]
-            else:
-                ids: dict[bytes, int] = {}
-                tokens = np.concatenate([np.array([ids.setdefault(w, len(ids)) for w in p[6].split(b" ")], np.int32)[p[5]] for p in parts])
-                values = mix(np.arange(1, len(ids) + 1, dtype=_U) * _U(_P))[tokens]
-            doc_at = np.cumsum([0] + [len(p[0]) for p in parts])
-            keys, row_hashes = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            doc = np.concatenate([p[2] + d for p, d in zip(parts, doc_at)])
-            start, count = np.concatenate([p[3] for p in parts]), np.concatenate([p[4] for p in parts]).astype(np.int64)
-            run_at = np.cumsum(count + space.k - 1) - (count + space.k - 1)
-            at = rows_of_runs(run_at, count)
-            if space.by_document:
-                rank = np.unique(keys, return_inverse=True)[1]
-            else:
-                order = np.lexsort([row_hashes, keys])
-                new = np.ones(len(order), bool)
-                new[1:] = (keys[order[1:]] != keys[order[:-1]]) | (row_hashes[order[1:]] != row_hashes[order[:-1]])
-                rank = np.empty(len(order), np.int64)
-                rank[order] = np.cumsum(new)
+        ids: dict[bytes, int] = {}
+        keys, row_hashes, docs, starts, counts, splits, packed, n_docs = [], [], [], [], [], [], [], 0
+        found: list[tuple[np.ndarray, ...]] = []
+        for b in table.column("block"):
+            key_steps, hashes, doc, start, count, sections, tokens, names, span_doc, span_at, span_n = pickle.loads(press.decompress(b.as_py()))
+            keys.append(np.cumsum(key_steps.astype(np.int64)))
+            row_hashes.append(hashes.astype(np.int64))
+            found.append((keys[-1][span_doc], row_hashes[-1][span_doc], span_at.astype(np.int64), span_n.astype(np.int64)))
+            docs.append(doc.astype(np.int64) + n_docs)
+            n_docs += len(hashes)
+            starts.append(start.astype(np.int64))
+            counts.append(count.astype(np.int64))
+            splits.append(np.concatenate(([0], np.cumsum(sections))))
+            if names is not None and sum(sections):
+                lut = np.array([ids.setdefault(w, len(ids)) for w in names.split(b" ")], np.int32)
+                tokens = [lut[t] for t in tokens]
+            packed.append(tokens)
+        values = mix(np.arange(1, len(ids) + 1, dtype=_U) * _U(_P)) if ids else byte_values()
+        keys, row_hashes = np.concatenate(keys), np.concatenate(row_hashes)
+        order = np.lexsort([row_hashes, keys])
+        new = np.ones(len(order), bool)
+        new[1:] = keys[order[1:]] != keys[order[:-1]]
+        if not space.by_document:
+            new[1:] |= row_hashes[order[1:]] != row_hashes[order[:-1]]
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.cumsum(new)
+        for i in range(SECTIONS):
+            part = [slice(s[i], s[i + 1]) for s in splits]
+            count = np.concatenate([c[r] for c, r in zip(counts, part)])
+            if not len(count):
+                continue
+            tokens = np.concatenate([p[i] for p in packed])
+            doc = np.concatenate([d[r] for d, r in zip(docs, part)])
+            start = np.concatenate([s[r] for s, r in zip(starts, part)])
+            at = rows_of_runs(np.cumsum(count + space.k - 1) - (count + space.k - 1), count)
             begin = rows_of_runs(start, count)
-            late = later_windows(space, tokens, mix(window_hash(values, space.k)[at]), at, np.repeat(rank[doc], count), begin)
+            late = later_windows(space, tokens, mix(window_hash(values[tokens], space.k)[at]), at, np.repeat(rank[doc], count), begin)
             head = np.zeros(len(at), bool)
             head[np.cumsum(count) - count] = True
             span_at, span_n = runs_of_flags(late, head)
@@ -258,6 +278,12 @@ def spans_of_blocks(blocks: DataFrame, space: Space) -> DataFrame:
     return blocks.groupBy("bucket").applyInArrow(settle, SPAN_SCHEMA)
 
 
+def settled_spans(blocks: DataFrame, space: Space) -> DataFrame:
+    """``spans_of_blocks``, written to the shared folder; the packed text on the executors' disks goes before more is moved."""
+    with shuffle_cleanup(blocks.sparkSession):
+        return stored(spans_of_blocks(blocks, space), "spans")
+
+
 _BYTES: list[np.ndarray] = []
 
 
@@ -270,7 +296,7 @@ def byte_values() -> np.ndarray:
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, key, row_hash, text: null doc_id as the least key, null text as empty."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("key"), F.xxhash64(text).alias("row_hash"), text.alias("text"))
+    return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("key"), F.hash(text).cast("long").alias("row_hash"), text.alias("text"))
 
 
 def bucket_count(docs: DataFrame, bytes_a_bucket: int, growth: float = 3.3) -> int:
