@@ -1,19 +1,705 @@
-"""All queries of the library by name, with the SQL that each must equal."""
+"""All queries of the library by name, with the SQL that each must equal.
+
+Bars come from ``events``: symbol = event type, price = value, volume = k of props, turnover = their product.
+Doubles are rounded to six places in both dialects.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import columns as C
+from ..operators import backtest as B
+from ..operators import clean, indicators, joins, labels, metrics, models, patterns, similarity, simulate, split, stats
+from ..operators.bars import resample
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    """Register a query, and its SQL after ``WITH`` common tables where it begins with a brace-free SELECT."""
+
+    def add(f: Query) -> Query:
+        key = name or f.__name__
+        _QUERIES[key] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
+        if sql:
+            _SQL[key] = sql
+        return f
 
+    return add
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 6).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    volume = F.get_json_object("props", "$.k").cast("double")
+    return _table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), "ts", "event_id", F.col("value").alias("price"), volume.alias("volume"), (F.col("value") * volume).alias("turnover"))
+
+
+def bars(spark: SparkSession, sf_dir: str, duration: str = "1 hour") -> DataFrame:
+    return resample(ticks(spark, sf_dir), duration, ["ts", "event_id"], "price")
+
+
+def bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly bars with a return within one percent and a probability-like place of the close in its range."""
+    b = bars(spark, sf_dir)
+    return b.withColumns({"r": (F.col("close") - F.col("open")) / (100 * F.col("high")), "p": F.coalesce(F.try_divide(F.col("close") - F.col("low"), F.col("high") - F.col("low")), F.lit(0.5))})
+
+
+_E = """WITH e AS (SELECT event_type AS symbol, ts, event_id, value AS price, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS volume,
+ value * CAST(json_extract_string(props, '$.k') AS DOUBLE) AS turnover FROM events)"""
+
+
+def _bars_sql(interval: str, name: str = "b") -> str:
+    return f"""{name} AS (SELECT symbol, time_bucket(INTERVAL '{interval}', ts) AS ts, first(price ORDER BY ts, event_id) AS open, max(price) AS high, min(price) AS low,
+ last(price ORDER BY ts, event_id) AS close, sum(volume) AS volume, sum(turnover) AS turnover FROM e GROUP BY 1, 2)"""
+
+
+_B = f"{_E}, {_bars_sql('1 hour')}"
+_R = f"{_B}, x AS (SELECT *, (close - open) / (100 * high) AS r, coalesce((close - low) / nullif(high - low, 0), 0.5) AS p FROM b)"
+_W = "(PARTITION BY symbol ORDER BY ts)"
+_RUN = "(PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING)"
+
+
+def _frame(n: int) -> str:
+    return f"(PARTITION BY symbol ORDER BY ts ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+
+
+def _rolled(agg: str, x: str, n: int) -> str:
+    return f"CASE WHEN count({x}) OVER {_frame(n)} = {n} THEN {agg}({x}) OVER {_frame(n)} END"
+
+
+def _pct(x: str, k: int) -> str:
+    return f"{x} / nullif(lag({x}, {k}) OVER {_W}, 0) - 1"
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly bars with a moving average and RSI."""
+    w, close = C.series(), F.col("close")
+    return rounded(bars(spark, sf_dir).withColumns({"ma_20": C.rolling(F.avg, close, 20, w), "rsi_14": C.rsi(close, 14, w)}))
+
+
+# --- bars, cleaning, quality ---
+
+for _name, _d in {"5m": "5 minutes", "15m": "15 minutes", "1h": "1 hour", "4h": "4 hours", "1d": "1 day"}.items():
+    query(
+        f"{_E}, {_bars_sql(_d)} SELECT symbol, ts, {', '.join(f'round({c}, 6) AS {c}' for c in ('open', 'high', 'low', 'close', 'volume', 'turnover'))} FROM b", f"bars_{_name}"
+    )(lambda spark, sf_dir, d=_d: bars(spark, sf_dir, d))
+
+_DIRTY = f"""{_E}, d AS (SELECT symbol, CASE WHEN event_id % 7 = 0 THEN 'bad' ELSE strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') END AS ts,
+ CASE WHEN event_id % 11 = 0 THEN 'x' ELSE CAST(event_id AS VARCHAR) END AS close, event_id FROM e)"""
+
+
+def _dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = ticks(spark, sf_dir)
+    ts = F.when(F.col("event_id") % 7 == 0, "bad").otherwise(F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd HH:mm:ss"))
+    return e.select("symbol", ts.alias("ts"), F.when(F.col("event_id") % 11 == 0, "x").otherwise(F.col("event_id").cast("string")).alias("close"), "event_id")
+
+
+@query(f"{_DIRTY} SELECT symbol, TRY_CAST(ts AS TIMESTAMP) AS ts, TRY_CAST(close AS DOUBLE) AS close FROM d WHERE TRY_CAST(ts AS TIMESTAMP) IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol, ts ORDER BY event_id) = 1")
+def clean_coerce(spark, sf_dir):
+    return clean.clean_bars(_dirty(spark, sf_dir), "event_id", ["close"])
+
+
+@query(f"{_DIRTY} SELECT symbol, count(*) - count(DISTINCT TRY_CAST(ts AS TIMESTAMP)) AS removed FROM d GROUP BY 1")
+def removed_rows(spark, sf_dir):
+    return clean.removed_rows(_dirty(spark, sf_dir))
+
+
+@query("SELECT o_custkey, o_orderkey, round(o_totalprice, 6) AS o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1")
+def dedup_keep_first(spark, sf_dir):
+    return clean.keep_first(_table(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+@query(f"{_B}, c AS (SELECT symbol, ts, close, {_pct('volume', 1)} AS change FROM b) SELECT symbol, ts, round(close, 6) AS close, round(change, 6) AS change FROM c WHERE close IS NOT NULL AND change IS NOT NULL")
+def drop_incomplete(spark, sf_dir):
+    b = bars(spark, sf_dir)
+    return clean.drop_incomplete(b.select("symbol", "ts", "close", C.pct_change(F.col("volume"), 1, C.series()).alias("change")))
+
+
+@query(f"{_B}, s AS (SELECT *, ts - lag(ts) OVER {_W} AS step FROM b) SELECT symbol, count(*) AS n_rows, min(ts) AS first_ts, max(ts) AS last_ts, count(ts) - count(DISTINCT ts) AS duplicates, CAST(sum(CAST(open IS NULL AS INT)) AS BIGINT) AS null_cells, count(*) FILTER (step <> INTERVAL 1 HOUR) AS odd_steps FROM s GROUP BY 1")
+def quality_report(spark, sf_dir):
+    return clean.quality_report(bars(spark, sf_dir), "INTERVAL 1 HOUR")
+
+
+@query(f"{_B}, s AS (SELECT symbol, lag(ts) OVER {_W} AS previous_ts, ts FROM b) SELECT symbol, previous_ts, ts, CAST(epoch(ts) - epoch(previous_ts) AS BIGINT) AS gap_seconds FROM s WHERE ts - previous_ts > INTERVAL 1 HOUR")
+def gap_list(spark, sf_dir):
+    return clean.gaps(bars(spark, sf_dir), "INTERVAL 1 HOUR")
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_extract_volume(spark, sf_dir):
+    return _table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+@query("SELECT event_id, epoch_us(ts) // 1000 AS ms, make_timestamp(epoch_us(ts) // 1000 * 1000) AS ts, strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M') AS minute FROM events")
+def epoch_roundtrip(spark, sf_dir):
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    return _table(spark, sf_dir, "events").select("event_id", ms.alias("ms"), F.timestamp_millis(ms).cast("timestamp_ntz").alias("ts"), F.date_format(F.date_trunc("minute", "ts"), "yyyy-MM-dd HH:mm").alias("minute"))
+
+
+@query("SELECT p_partkey, lower(p_name) AS name FROM part WHERE starts_with(lower(p_name), 's') OR contains(lower(p_name), 'widget')")
+def prefix_filter(spark, sf_dir):
+    name = F.lower("p_name")
+    return _table(spark, sf_dir, "part").select("p_partkey", name.alias("name")).where(F.col("name").startswith("s") | F.col("name").contains("widget"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey < 5)")
+def semi_isin(spark, sf_dir):
+    some = _table(spark, sf_dir, "customer").where("c_nationkey < 5").select(F.col("c_custkey").alias("o_custkey"))
+    return _table(spark, sf_dir, "orders").join(some, "o_custkey", "left_semi").select("o_orderkey", "o_custkey")
+
+
+# --- indicators ---
+
+
+def _add(spark, sf_dir, **columns) -> DataFrame:
+    return bars(spark, sf_dir).withColumns(columns).select("symbol", "ts", *columns)
+
+
+@query(f"{_B} SELECT symbol, ts, {', '.join(f'round({_pct("close", k)}, 6) AS return_{k}' for k in (1, 3, 5, 10))} FROM b")
+def returns_k(spark, sf_dir):
+    return _add(spark, sf_dir, **{f"return_{k}": C.pct_change(F.col("close"), k, C.series()) for k in (1, 3, 5, 10)})
+
+
+@query(f"{_B} SELECT symbol, ts, {', '.join(f'round({_rolled("avg", "close", n)}, 6) AS ma_{n}' for n in (20, 60, 120))} FROM b")
+def rolling_mean(spark, sf_dir):
+    return _add(spark, sf_dir, **{f"ma_{n}": C.rolling(F.avg, F.col("close"), n, C.series()) for n in (20, 60, 120)})
+
+
+@query(f"{_B}, m AS (SELECT symbol, ts, close, {_rolled('avg', 'close', 240)} AS m FROM b) SELECT symbol, ts, round(close / nullif(m, 0), 6) AS close_sma_ratio FROM m")
+def sma_ratio(spark, sf_dir):
+    return _add(spark, sf_dir, close_sma_ratio=F.try_divide("close", C.prefix_mean(F.col("close"), 240, C.series())))
+
+
+@query(f"{_B}, m AS (SELECT symbol, ts, close, {_rolled('avg', 'close', 20)} AS m FROM b) SELECT symbol, ts, round(close / nullif(m, 0) - 1, 6) AS ma_distance_20 FROM m")
+def ma_distance(spark, sf_dir):
+    return indicators.main_features(bars(spark, sf_dir)).select("symbol", "ts", "ma_distance_20")
+
+
+@query(f"{_B}, m AS (SELECT symbol, ts, {_pct('close', 1)} AS r FROM b) SELECT symbol, ts, round({_rolled('stddev_samp', 'r', 20)}, 6) AS volatility_20 FROM m")
+def rolling_std(spark, sf_dir):
+    return indicators.main_features(bars(spark, sf_dir)).select("symbol", "ts", "volatility_20")
+
+
+@query(f"{_B}, m AS (SELECT symbol, ts, {_rolled('avg', 'close', 20)} AS m, {_rolled('stddev_pop', 'close', 20)} AS s FROM b) SELECT symbol, ts, round(4 * s / nullif(m, 0), 6) AS bb_bandwidth_20 FROM m")
+def bollinger(spark, sf_dir):
+    return indicators.day_features(bars(spark, sf_dir), {"20": 20}).select("symbol", "ts", "bb_bandwidth_20")
+
+
+_RSI = f"""d AS (SELECT symbol, ts, close - lag(close) OVER {_W} AS d FROM b), g AS (SELECT symbol, ts, d, CASE WHEN d IS NOT NULL THEN greatest(d, 0) END AS up, CASE WHEN d IS NOT NULL THEN greatest(-d, 0) END AS down FROM d),
+ a AS (SELECT symbol, ts, {_rolled('avg', 'up', 14)} AS u, {_rolled('avg', 'down', 14)} AS l FROM g)"""
+
+
+@query(f"{_B}, {_RSI} SELECT symbol, ts, round(CASE WHEN u IS NULL THEN NULL WHEN l = 0 AND u = 0 THEN 50 WHEN l = 0 THEN 100 ELSE 100 - 100 / (1 + u / l) END, 6) AS rsi_14 FROM a")
+def rsi(spark, sf_dir):
+    return _add(spark, sf_dir, rsi_14=C.rsi(F.col("close"), 14, C.series()))
+
+
+@query(f"{_B} SELECT symbol, ts, round(volume / nullif({_rolled('avg', 'volume', 20)}, 0), 6) AS volume_ratio_20 FROM b")
+def volume_ratio(spark, sf_dir):
+    return indicators.day_features(bars(spark, sf_dir), {"20": 20}).select("symbol", "ts", "volume_ratio_20")
+
+
+@query(f"{_B} SELECT symbol, ts, round((high - low) / nullif(close, 0), 6) AS high_low_range, round(close / nullif(open, 0) - 1, 6) AS close_open_return FROM b")
+def candle_shape(spark, sf_dir):
+    return indicators.main_features(bars(spark, sf_dir)).select("symbol", "ts", "high_low_range", "close_open_return")
+
+
+@query(f"{_B}, m AS (SELECT symbol, ts, {_rolled('avg', 'close', 20)} AS a, {_rolled('avg', 'close', 60)} AS z FROM b) SELECT symbol, ts, coalesce(CAST(a > z AS INT), 0) AS trend FROM m")
+def trend_flag(spark, sf_dir):
+    w = C.series()
+    return _add(spark, sf_dir, trend=C.flag(C.rolling(F.avg, F.col("close"), 20, w) > C.rolling(F.avg, F.col("close"), 60, w)))
+
+
+def _aux_sql(interval: str, prefix: str, name: str) -> str:
+    m = f"{name}_m AS (SELECT symbol, ts, close, {_pct('close', 1)} AS r, {_rolled('avg', 'close', 20)} AS a, {_rolled('avg', 'close', 60)} AS z FROM {name}_b)"
+    out = f"{name} AS (SELECT symbol, ts + INTERVAL '{interval}' AS ts, r AS {prefix}_return_1, a AS {prefix}_ma_20, z AS {prefix}_ma_60, close / nullif(a, 0) - 1 AS {prefix}_ma_distance_20, CAST(a > z AS INT) AS {prefix}_trend FROM {name}_m WHERE r IS NOT NULL AND a IS NOT NULL AND z IS NOT NULL)"
+    return f"{_bars_sql(interval, name + '_b')}, {m}, {out}"
+
+
+def _aux_columns(prefix: str) -> str:
+    return ", ".join(f"round({prefix}_{c}, 6) AS {prefix}_{c}" for c in ("return_1", "ma_20", "ma_60", "ma_distance_20")) + f", {prefix}_trend"
+
+
+@query(f"{_E}, {_aux_sql('1 hour', 'h1', 'a')} SELECT symbol, ts, {_aux_columns('h1')} FROM a")
+def aux_block(spark, sf_dir):
+    return indicators.aux_features(bars(spark, sf_dir), "h1", "1 hour")
+
+
+@query(f"{_E}, {_bars_sql('15 minutes')}, {_aux_sql('1 hour', 'h1', 'a')} SELECT b.symbol, b.ts, round(b.close, 6) AS close, {_aux_columns('h1')} FROM b ASOF LEFT JOIN a ON b.symbol = a.symbol AND b.ts >= a.ts WHERE a.ts IS NOT NULL")
+def asof_join(spark, sf_dir):
+    main = bars(spark, sf_dir, "15 minutes").select("symbol", "ts", "close")
+    return joins.asof_join(main, indicators.aux_features(bars(spark, sf_dir), "h1", "1 hour")).where("h1_trend IS NOT NULL")
+
+
+@query(
+    f"""{_E}, {_bars_sql('15 minutes')}, {_aux_sql('1 hour', 'h1', 'a')}, {_aux_sql('4 hours', 'h4', 'c')} SELECT b.symbol, b.ts, round(b.close, 6) AS close, {_aux_columns('h1')}, {_aux_columns('h4')} FROM b
+ ASOF LEFT JOIN a ON b.symbol = a.symbol AND b.ts >= a.ts ASOF LEFT JOIN c ON b.symbol = c.symbol AND b.ts >= c.ts WHERE a.ts IS NOT NULL AND c.ts IS NOT NULL"""
+)
+def asof_two_levels(spark, sf_dir):
+    main = bars(spark, sf_dir, "15 minutes").select("symbol", "ts", "close")
+    one = joins.asof_join(main, indicators.aux_features(bars(spark, sf_dir), "h1", "1 hour"))
+    return joins.asof_join(one, indicators.aux_features(bars(spark, sf_dir, "4 hours"), "h4", "4 hours")).where("h1_trend IS NOT NULL AND h4_trend IS NOT NULL")
+
+
+# --- joins ---
+
+
+@query(f"{_B}, {_RSI} SELECT a.symbol, a.ts, round(b.close, 6) AS close FROM a LEFT JOIN b ON a.symbol = b.symbol AND a.ts = b.ts")
+def left_join_checked(spark, sf_dir):
+    b = bars(spark, sf_dir)
+    return joins.left_join_checked(b.select("symbol", "ts"), b.select("symbol", "ts", "close"), ["symbol", "ts"])
+
+
+@query(f"{_E}, {_bars_sql('1 hour')}, {_bars_sql('4 hours', 'f')} SELECT b.symbol, b.ts, round(b.close, 6) AS close, round(f.close, 6) AS close_4h FROM b JOIN f ON b.symbol = f.symbol AND b.ts = f.ts")
+def inner_join_one_to_one(spark, sf_dir):
+    long = bars(spark, sf_dir, "4 hours").select("symbol", "ts", F.col("close").alias("close_4h"))
+    return joins.inner_join_one_to_one(bars(spark, sf_dir).select("symbol", "ts", "close"), long, ["symbol", "ts"])
+
+
+@query(f"{_E}, {_bars_sql('1 hour')}, {_bars_sql('4 hours', 'f')}, u AS (SELECT symbol, ts, close, 0 AS s FROM f UNION ALL SELECT symbol, ts, close, 1 FROM b) SELECT symbol, ts, round(close, 6) AS close FROM u QUALIFY row_number() OVER (PARTITION BY symbol, ts ORDER BY s) = 1")
+def union_upsert(spark, sf_dir):
+    return clean.upsert(bars(spark, sf_dir, "4 hours").select("symbol", "ts", "close"), bars(spark, sf_dir).select("symbol", "ts", "close"))
+
+
+# --- labels and splits ---
+
+
+@query(f"{_B}, l AS (SELECT symbol, ts, lead(close) OVER {_W} / nullif(close, 0) - 1 AS r FROM b) SELECT symbol, ts, round(r, 6) AS target_return_next, coalesce(CAST(r > 0 AS INT), 0) AS target_up_next FROM l")
+def next_bar_label(spark, sf_dir):
+    return labels.next_bar(bars(spark, sf_dir)).select("symbol", "ts", "target_return_next", "target_up_next")
+
+
+for _h in (4, 16, 96):
+    query(f"{_B} SELECT symbol, ts, round(lead(close, {_h}) OVER {_W} / nullif(close, 0) - 1, 6) AS target_return_next_{_h} FROM b", f"forward_return_{_h}")(
+        lambda spark, sf_dir, h=_h: _add(spark, sf_dir, **{f"target_return_next_{h}": C.forward_return(F.col("close"), h, C.series())})
+    )
+
+
+def _labels_sql(h: int, t: float) -> str:
+    f = f"(PARTITION BY symbol ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING)"
+    return f"""{_B}, s AS (SELECT symbol, ts, close, {_pct('close', 1)} AS r1 FROM b), l AS (SELECT symbol, ts, lead(close, {h}) OVER {_W} / nullif(close, 0) - 1 AS r,
+ CASE WHEN count(r1) OVER {f} = {h} THEN stddev_samp(r1) OVER {f} END AS v FROM s), q AS (SELECT symbol, quantile_cont(v, 0.7) AS q FROM l GROUP BY 1)"""
+
+
+@query(_labels_sql(4, 0.01) + " SELECT symbol, ts, round(v, 6) AS target_volatility_next_4 FROM l")
+def forward_vol(spark, sf_dir):
+    return labels.horizon_labels(bars(spark, sf_dir), 4).select("symbol", "ts", "target_volatility_next_4")
+
+
+@query(_labels_sql(4, 0.01) + " SELECT symbol, ts, round(abs(r), 6) AS target_abs_return_next_4, " + ", ".join(f"coalesce(CAST({c} AS INT), 0) AS target_{n}_next_4" for n, c in (("big_move", "abs(r) >= 0.01"), ("drop", "r <= -0.01"), ("pump", "r >= 0.01"))) + " FROM l")
+def event_labels(spark, sf_dir):
+    return labels.horizon_labels(bars(spark, sf_dir), 4).select("symbol", "ts", *[f"target_{n}_next_4" for n in ("abs_return", "big_move", "drop", "pump")])
+
+
+@query(_labels_sql(4, 0.01) + " SELECT l.symbol, ts, coalesce(CAST(v >= q AS INT), 0) AS target_volatility_high_next_4 FROM l JOIN q ON l.symbol = q.symbol")
+def high_vol_label(spark, sf_dir):
+    return labels.horizon_labels(bars(spark, sf_dir), 4).select("symbol", "ts", "target_volatility_high_next_4")
+
+
+@query(_labels_sql(4, 0.01) + ", f AS (SELECT l.symbol, v >= q AS y FROM l JOIN q ON l.symbol = q.symbol WHERE v IS NOT NULL AND r IS NOT NULL) SELECT symbol, count(*) FILTER (NOT y) AS n_0, count(*) FILTER (y) AS n_1, round(count(*) FILTER (NOT y) / count(*), 6) AS ratio_0, round(count(*) FILTER (y) / count(*), 6) AS ratio_1 FROM f GROUP BY 1")
+def class_ratio(spark, sf_dir):
+    return labels.class_ratios(labels.risk_labels(bars(spark, sf_dir)), "target_volatility_high_next_4")
+
+
+_RN = f"{_B}, n AS (SELECT symbol, ts, row_number() OVER {_W} AS rn, count(*) OVER (PARTITION BY symbol) AS n FROM b)"
+
+
+@query(_RN + " SELECT symbol, ts, CASE WHEN rn <= floor(n * 0.8) THEN 'train' ELSE 'test' END AS split FROM n")
+def split_80_20(spark, sf_dir):
+    return split.split_two(bars(spark, sf_dir)).select("symbol", "ts", "split")
+
+
+@query(_RN + ", s AS (SELECT symbol, ts, CASE WHEN rn <= floor(n * 0.7) THEN 'train' WHEN rn <= floor(n * 0.85) THEN 'valid' ELSE 'test' END AS split FROM n) SELECT symbol, split, count(*) AS n_rows, min(ts) AS first_ts, max(ts) AS last_ts FROM s GROUP BY 1, 2")
+def split_70_15_15(spark, sf_dir):
+    return split.split_periods(split.split_three(bars(spark, sf_dir)))
+
+
+@query(_RN + " SELECT symbol, ts FROM n WHERE rn - 1 >= floor(n * 0.3) AND (rn - 1 - floor(n * 0.3)) % 16 = 0 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) <= 20")
+def step_sample(spark, sf_dir):
+    return split.step_sample(bars(spark, sf_dir), 16, 20).select("symbol", "ts")
+
+
+# --- patterns and similarity ---
+
+
+@query(f"{_R} SELECT 'r' AS feature, round(avg(r), 6) AS mean, round(stddev_pop(r), 6) AS std FROM x UNION ALL SELECT 'p', round(avg(p), 6), round(stddev_pop(p), 6) FROM x")
+def scaler_fit(spark, sf_dir):
+    return patterns.fit_scaler(bounded(spark, sf_dir).withColumn("flat", F.lit(1.0)), ["r", "p", "flat"])
+
+
+@query(f"{_R}, m AS (SELECT avg(p) AS m, stddev_pop(p) AS s FROM x) SELECT symbol, ts, round((p - m) / s, 6) AS p FROM x, m")
+def zscore(spark, sf_dir):
+    x = bounded(spark, sf_dir)
+    return patterns.scale(x, patterns.fit_scaler(x, ["p"])).select("symbol", "ts", "p")
+
+
+_F16 = _frame(16)
+
+
+@query(f"{_R} SELECT symbol, lag(ts, 15) OVER {_W} AS window_start_ts, ts AS window_end_ts, 16 AS pattern_length, round(avg(p) OVER {_F16}, 6) AS p_mean, round(stddev_pop(p) OVER {_F16}, 6) AS p_std, round(min(p) OVER {_F16}, 6) AS p_min, round(max(p) OVER {_F16}, 6) AS p_max, round(p, 6) AS p_last, round(lag(p, 15) OVER {_W}, 6) AS p_first, round(p - lag(p, 15) OVER {_W}, 6) AS p_change FROM x QUALIFY row_number() OVER {_W} >= 16")
+def window_stats(spark, sf_dir):
+    return patterns.pattern_summary(bounded(spark, sf_dir), ["p"], 16)
+
+
+@query(f"{_R} SELECT symbol, ts AS window_end_ts, CAST(32 AS INT) AS n_values, round(sum(CAST(CAST(p AS FLOAT) AS DOUBLE)) OVER {_F16} + 1000 * sum(CAST(CAST(r AS FLOAT) AS DOUBLE)) OVER {_F16}, 6) AS total FROM x QUALIFY row_number() OVER {_W} >= 16")
+def window_vector(spark, sf_dir):
+    v = patterns.pattern_vectors(bounded(spark, sf_dir), ["p", "r"], 16)
+    part = lambda i: F.aggregate(F.slice("vector", i, 16), F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return v.select("symbol", "window_end_ts", F.size("vector").alias("n_values"), (part(1) + 1000 * part(17)).alias("total"))
+
+
+@query(f"{_R}, l AS (SELECT symbol, ts AS window_end_ts, unnest(range(4)) AS lag, [p, lag(p, 1) OVER {_W}, lag(p, 2) OVER {_W}, lag(p, 3) OVER {_W}] AS v, row_number() OVER {_W} AS rn FROM x) SELECT symbol, window_end_ts, 'p' AS feature, CAST(lag AS INT) AS lag, round(CAST(CAST(v[lag + 1] AS FLOAT) AS DOUBLE), 5) AS value FROM l WHERE rn >= 4")
+def lag_explode(spark, sf_dir):
+    rows = patterns.lag_rows(patterns.pattern_vectors(bounded(spark, sf_dir), ["p"], 4), ["p"], 4)
+    return rows.withColumns({"value": F.round(F.col("value").cast("double"), 5), "lag": F.col("lag").cast("int")})
+
+
+_COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
+
+
+@query(f"WITH q AS (SELECT * FROM embeddings ORDER BY vec_id DESC LIMIT 1) SELECT b.vec_id, round({_COS}, 6) AS similarity, CAST(row_number() OVER (ORDER BY {_COS} DESC, b.vec_id) AS INT) AS rank FROM q a, embeddings b WHERE b.vec_id < a.vec_id QUALIFY rank <= 10")
+def cosine_topk_latest(spark, sf_dir):
+    e = _table(spark, sf_dir, "embeddings").withColumnRenamed("embedding", "vector")
+    last = e.orderBy(F.desc("vec_id")).limit(1)
+    return similarity.topk_latest(e, last, 10, "vec_id", F.col("vec_id") < last.first()["vec_id"]).select("vec_id", "similarity", "rank")
+
+
+def _per_eval(spark, sf_dir) -> DataFrame:
+    e = _table(spark, sf_dir, "embeddings").withColumnRenamed("embedding", "vector")
+    return similarity.topk_per_eval(e, e.where("vec_id % 50 = 49"), 10, "vec_id", F.col("vec_id") < F.col("eval_vec_id") - 5)
+
+
+_TOP = f"WITH t AS (SELECT a.vec_id AS eval_vec_id, a.label AS eval_label, b.vec_id, b.label, {_COS} AS similarity, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON b.vec_id < a.vec_id - 5 WHERE a.vec_id % 50 = 49 QUALIFY rank <= 10)"
+
+
+@query(_TOP + " SELECT eval_vec_id, vec_id, round(similarity, 6) AS similarity, CAST(rank AS INT) AS rank FROM t")
+def cosine_topk_per_eval(spark, sf_dir):
+    return _per_eval(spark, sf_dir).select("eval_vec_id", "vec_id", "similarity", "rank")
+
+
+_SUM = _TOP + """, s AS (SELECT eval_vec_id, count(*) AS n_similar, avg(similarity) AS mean_similarity, min(similarity) AS min_similarity, max(similarity) AS max_similarity, avg(CAST(label % 2 = 1 AS INT)) AS similar_up_ratio,
+ avg(label) AS similar_avg_label, median(label) AS similar_median_label, avg(CAST(label % 3 = 0 AS INT)) AS similar_high_vol_ratio, avg(CAST(label = 1 AS INT)) AS similar_drop_ratio FROM t GROUP BY 1)"""
+
+
+def _summary(spark, sf_dir) -> DataFrame:
+    top = _per_eval(spark, sf_dir).withColumns({"up": (F.col("label") % 2 == 1).cast("int"), "hv": (F.col("label") % 3 == 0).cast("int"), "dp": (F.col("label") == 1).cast("int")})
+    return similarity.similar_summary(top, ["eval_vec_id"], "up", ["label"], {"similar_high_vol_ratio": "hv", "similar_drop_ratio": "dp"})
+
+
+@query(_SUM + " SELECT eval_vec_id, n_similar, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("mean_similarity", "min_similarity", "max_similarity", "similar_up_ratio", "similar_avg_label", "similar_median_label", "similar_high_vol_ratio", "similar_drop_ratio")) + " FROM s")
+def similar_risk_summary(spark, sf_dir):
+    return _summary(spark, sf_dir)
+
+
+@query(
+    _SUM
+    + """, l AS (SELECT eval_vec_id, CASE WHEN similar_high_vol_ratio >= 0.6 THEN 'HIGH' WHEN similar_high_vol_ratio >= 0.4 THEN 'MEDIUM' ELSE 'LOW' END AS high_vol_level,
+ CASE WHEN similar_drop_ratio >= 0.15 THEN 'HIGH' WHEN similar_drop_ratio >= 0.07 THEN 'MEDIUM' ELSE 'LOW' END AS drop_risk_level, CASE WHEN similar_up_ratio >= 0.6 THEN 'BULLISH_HINT' WHEN similar_up_ratio <= 0.4 THEN 'BEARISH_HINT' ELSE 'NO_CLEAR_EDGE' END AS direction_hint FROM s)
+ SELECT *, CASE WHEN high_vol_level = 'HIGH' AND drop_risk_level IN ('MEDIUM', 'HIGH') THEN 'NO_TRADE' WHEN high_vol_level = 'HIGH' OR drop_risk_level = 'MEDIUM' THEN 'CAUTION' ELSE 'NORMAL' END AS action_hint FROM l"""
+)
+def risk_levels(spark, sf_dir):
+    return similarity.with_levels(_summary(spark, sf_dir)).select("eval_vec_id", "high_vol_level", "drop_risk_level", "direction_hint", "action_hint")
+
+
+# --- statistics ---
+
+
+@query("SELECT round(corr(l_quantity, l_extendedprice), 6) AS pearson FROM lineitem")
+def pearson(spark, sf_dir):
+    return _table(spark, sf_dir, "lineitem").agg(stats.pearson(F.col("l_quantity"), F.col("l_extendedprice")).alias("pearson"))
+
+
+@query(f"{_R}, k AS (SELECT rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2 AS a, rank() OVER (ORDER BY volume) + (count(*) OVER (PARTITION BY volume) - 1) / 2 AS b FROM x) SELECT round(corr(a, b), 6) AS spearman FROM k")
+def spearman(spark, sf_dir):
+    return stats.spearman(bounded(spark, sf_dir), "p", "volume")
+
+
+@query(f"{_R} SELECT 'p' AS x, 'volume' AS y, round(corr(p, volume), 6) AS pearson FROM x UNION ALL SELECT 'r', 'volume', round(corr(r, volume), 6) FROM x UNION ALL SELECT 'r', 'flat', NULL")
+def correlation_table(spark, sf_dir):
+    return stats.correlations(bounded(spark, sf_dir).withColumn("flat", F.lit(1.0)), [("p", "volume"), ("r", "volume"), ("r", "flat")])
+
+
+def _buckets(spark, sf_dir) -> DataFrame:
+    _, edges, names = stats.BUCKETS["high_vol"]
+    return stats.bucket_table(bounded(spark, sf_dir).where("p < 0.4 OR p >= 0.6"), "p", edges, names, {"avg_r": "r", "avg_volume": "volume"})
+
+
+_BUCKET = f"""{_R}, n AS (SELECT unnest([0, 1, 2, 3, 4]) AS bucket_order, unnest(['0.0-0.2', '0.2-0.4', '0.4-0.6', '0.6-0.8', '0.8-1.0']) AS bucket),
+ k AS (SELECT bucket_order, bucket, count(r) AS count, avg(r) AS avg_r, avg(volume) AS avg_volume FROM n LEFT JOIN (SELECT *, CASE WHEN p < 0.2 THEN 0 WHEN p < 0.4 THEN 1 WHEN p < 0.6 THEN 2 WHEN p < 0.8 THEN 3 ELSE 4 END AS i FROM x WHERE p < 0.4 OR p >= 0.6) z ON z.i = bucket_order GROUP BY 1, 2)"""
+
+
+@query(_BUCKET + " SELECT bucket_order, bucket, count, round(avg_r, 6) AS avg_r, round(avg_volume, 6) AS avg_volume FROM k")
+def bucket_table(spark, sf_dir):
+    return _buckets(spark, sf_dir)
+
+
+@query(_BUCKET + ", s AS (SELECT avg_r - lag(avg_r) OVER (ORDER BY bucket_order) AS d FROM k WHERE count > 0) SELECT CASE WHEN bool_and(d >= 0) THEN 'increasing' WHEN bool_and(d <= 0) THEN 'decreasing' ELSE 'mixed' END AS direction FROM s")
+def monotonic(spark, sf_dir):
+    return stats.monotonic(_buckets(spark, sf_dir), "avg_r")
+
+
+@query("SELECT l_returnflag, count(l_quantity) AS count, round(avg(l_quantity), 6) AS mean, round(stddev_samp(l_quantity), 6) AS std, round(min(l_quantity), 6) AS min, round(quantile_cont(l_quantity, 0.25), 6) AS q25, round(quantile_cont(l_quantity, 0.5), 6) AS q50, round(quantile_cont(l_quantity, 0.75), 6) AS q75, round(max(l_quantity), 6) AS max FROM lineitem GROUP BY 1")
+def describe(spark, sf_dir):
+    return stats.describe(_table(spark, sf_dir, "lineitem"), "l_quantity", ("l_returnflag",))
+
+
+# --- backtests ---
+
+_EQ = f"{_R}, q AS (SELECT *, product(1 + r) OVER {_RUN} AS equity FROM x)"
+
+
+@query(_EQ + " SELECT symbol, ts, round(equity, 6) AS equity FROM q")
+def equity_curve(spark, sf_dir):
+    return B.equity(bounded(spark, sf_dir)).select("symbol", "ts", "equity")
+
+
+@query(_EQ + f" SELECT symbol, ts, round(equity / max(equity) OVER {_RUN} - 1, 6) AS drawdown FROM q")
+def drawdown(spark, sf_dir):
+    return B.drawdown(B.equity(bounded(spark, sf_dir))).select("symbol", "ts", "drawdown")
+
+
+@query(f"{_R}, f AS (SELECT symbol, product(1 + r) OVER {_frame(96)} - 1 AS c FROM x) SELECT symbol, round(min(c), 6) AS worst_96 FROM f GROUP BY 1")
+def worst_rolling(spark, sf_dir):
+    return B.worst_rolling(bounded(spark, sf_dir), 96)
+
+
+_POS = f"{_R}, s AS (SELECT *, CAST(p >= 0.6 AS INT) AS signal FROM x), o AS (SELECT *, coalesce(lag(signal) OVER {_W}, 0) AS position FROM s)"
+
+
+def _positioned(spark, sf_dir) -> DataFrame:
+    x = bounded(spark, sf_dir)
+    return x.withColumn("position", B.delayed((F.col("p") >= 0.6).cast("int"), C.series(), 0).cast("int"))
+
+
+@query(_POS + " SELECT symbol, ts, position FROM o")
+def signal_delay(spark, sf_dir):
+    return _positioned(spark, sf_dir).select("symbol", "ts", "position")
+
+
+@query(_POS + f", c AS (SELECT symbol, ts, coalesce(abs(position - lag(position) OVER {_W}), position) AS changed FROM o) SELECT symbol, ts, CAST(changed AS INT) AS changed FROM c")
+def position_changes(spark, sf_dir):
+    return _positioned(spark, sf_dir).select("symbol", "ts", B.change(F.col("position"), C.series(), F.col("position")).cast("int").alias("changed"))
+
+
+_TRADES = _POS + f", m AS (SELECT *, CAST(position = 1 AND coalesce(lag(position) OVER {_W}, 0) <> 1 AS INT) AS s FROM o), i AS (SELECT *, CAST(sum(s) OVER {_RUN} AS BIGINT) AS trade_id FROM m)"
+
+
+@query(_TRADES + " SELECT symbol, trade_id, min(ts) AS entry_ts, count(*) AS n_bars, round(product(1 + r) - 1, 6) AS trade_return FROM i WHERE position = 1 GROUP BY 1, 2")
+def trade_segments(spark, sf_dir):
+    return B.trades(_positioned(spark, sf_dir), r="r")
+
+
+_TH = f"""{_R}, h AS (SELECT x.*, t.threshold FROM x, (SELECT unnest([0.55, 0.60, 0.65, 0.70, 0.75])::DOUBLE AS threshold) t),
+ o AS (SELECT *, coalesce(lag(CAST(p >= threshold AS INT)) OVER (PARTITION BY symbol, threshold ORDER BY ts), 0) AS position FROM h),
+ c AS (SELECT *, coalesce(abs(position - lag(position) OVER (PARTITION BY symbol, threshold ORDER BY ts)), position) AS trade, coalesce(lag(position) OVER (PARTITION BY symbol, threshold ORDER BY ts), 0) AS before FROM o),
+ s AS (SELECT *, position * r - trade * 0.0006 AS sr, sum(CAST(position = 1 AND before <> 1 AS INT)) OVER (PARTITION BY symbol, threshold ORDER BY ts ROWS UNBOUNDED PRECEDING) AS tid FROM c),
+ e2 AS (SELECT *, product(1 + sr) OVER (PARTITION BY symbol, threshold ORDER BY ts ROWS UNBOUNDED PRECEDING) AS equity FROM s),
+ d AS (SELECT *, equity / max(equity) OVER (PARTITION BY symbol, threshold ORDER BY ts ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM e2),
+ base AS (SELECT symbol, threshold, product(1 + sr) - 1 AS total_return, product(1 + r) - 1 AS buy_and_hold_return, min(dd) AS max_drawdown, CAST(sum(trade) AS BIGINT) AS number_of_trades FROM d GROUP BY 1, 2),
+ tr AS (SELECT symbol, threshold, tid, product(1 + position * r) - 1 AS t FROM s WHERE position = 1 GROUP BY 1, 2, 3),
+ per AS (SELECT symbol, threshold, count(*) AS completed_trades, count(*) FILTER (t > 0) AS won, avg(t) FILTER (t > 0) AS aw, avg(t) FILTER (t < 0) AS al, avg(t) AS ev, coalesce(sum(t) FILTER (t > 0), 0) AS profit, coalesce(abs(sum(t) FILTER (t < 0)), 0) AS loss FROM tr GROUP BY 1, 2),
+ th AS (SELECT base.symbol, base.threshold, round(total_return, 6) AS total_return, round(buy_and_hold_return, 6) AS buy_and_hold_return, round(max_drawdown, 6) AS max_drawdown, number_of_trades, coalesce(completed_trades, 0) AS completed_trades,
+ round(coalesce(won / nullif(completed_trades, 0), 0), 6) AS win_rate, round(coalesce(aw, 0), 6) AS average_win, round(coalesce(al, 0), 6) AS average_loss, round(coalesce(ev, 0), 6) AS expected_value_per_trade,
+ round(CASE WHEN loss > 0 THEN profit / loss WHEN profit > 0 THEN 1e300 ELSE 0 END, 6) AS profit_factor FROM base LEFT JOIN per ON base.symbol = per.symbol AND base.threshold = per.threshold)"""
+_TH_COLUMNS = ["symbol", "threshold", "total_return", "buy_and_hold_return", "max_drawdown", "number_of_trades", "completed_trades", "win_rate", "average_win", "average_loss", "expected_value_per_trade", "profit_factor"]
+
+
+@query(f"{_TH} SELECT {', '.join(_TH_COLUMNS)} FROM th")
+def threshold_backtest(spark, sf_dir):
+    return B.threshold_backtest(bounded(spark, sf_dir), "p", "r").select(*_TH_COLUMNS)
+
+
+@query(f"{_TH} SELECT symbol, threshold, total_return FROM th QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY total_return DESC, max_drawdown DESC, least(profit_factor, 1e6) DESC, threshold) = 1")
+def best_threshold(spark, sf_dir):
+    return B.best_threshold(rounded(B.threshold_backtest(bounded(spark, sf_dir), "p", "r"))).select("symbol", "threshold", "total_return")
+
+
+def _risk_rows(spark, sf_dir) -> DataFrame:
+    flags = {"target_volatility_high_next_4": F.col("volume") >= 100, "target_drop_next_4": F.col("r") < -0.002, "target_big_move_next_4": F.abs("r") > 0.003}
+    return bounded(spark, sf_dir).withColumns({k: v.cast("int") for k, v in flags.items()})
+
+
+_PW = "(PARTITION BY symbol, strategy, threshold ORDER BY ts)"
+_PR = "(PARTITION BY symbol, strategy, threshold ORDER BY ts ROWS UNBOUNDED PRECEDING)"
+_RISK = f"""{_R}, h AS (SELECT x.*, volume >= 100 AS hv, r < -0.002 AS dp, abs(r) > 0.003 AS bm, s.strategy, s.exposure, t.threshold FROM x, (SELECT unnest(['cash', 'half']) AS strategy, unnest([0.0, 0.5])::DOUBLE AS exposure) s, (SELECT unnest([0.3, 0.4, 0.5, 0.6, 0.7, 0.8])::DOUBLE AS threshold) t),
+ o AS (SELECT *, coalesce(lag(CASE WHEN p >= threshold THEN exposure ELSE 1.0 END) OVER {_PW}, 1.0) AS position FROM h), c AS (SELECT *, coalesce(abs(position - lag(position) OVER {_PW}), 0) AS changed FROM o),
+ s AS (SELECT *, position * r - changed * 0.0006 AS sr FROM c), e2 AS (SELECT *, product(1 + sr) OVER {_PR} AS equity, product(1 + r) OVER {_PR} AS bh, product(1 + sr) OVER (PARTITION BY symbol, strategy, threshold ORDER BY ts ROWS 95 PRECEDING) - 1 AS w1, product(1 + sr) OVER (PARTITION BY symbol, strategy, threshold ORDER BY ts ROWS 671 PRECEDING) - 1 AS w7 FROM s),
+ d AS (SELECT *, equity / max(equity) OVER {_PR} - 1 AS dd, bh / max(bh) OVER {_PR} - 1 AS bdd FROM e2),
+ k AS (SELECT symbol, strategy, threshold, count(*) AS n, product(1 + sr) - 1 AS total_return, product(1 + r) - 1 AS buy_and_hold_return, min(dd) AS max_drawdown, min(bdd) AS buy_and_hold_max_drawdown, stddev_pop(sr) * sqrt(35040) AS annualized_volatility, avg(position) AS exposure_ratio, avg(CAST(position < 1 AS INT)) AS risk_off_ratio,
+ count(*) FILTER (changed > 0) AS number_of_position_changes, sum(changed * 0.0006) AS total_fee_paid, min(w1) AS worst_1d_return, min(w7) AS worst_7d_return, count(*) FILTER (position < 1) AS off, count(*) FILTER (hv) AS nhv, count(*) FILTER (dp) AS ndp, count(*) FILTER (bm) AS nbm,
+ count(*) FILTER (hv AND position < 1) AS ohv, count(*) FILTER (dp AND position < 1) AS odp, count(*) FILTER (bm AND position < 1) AS obm FROM d GROUP BY 1, 2, 3)"""
+_RISK_COLUMNS = {
+    "total_return": "total_return", "buy_and_hold_return": "buy_and_hold_return", "excess_return_vs_bh": "total_return - buy_and_hold_return", "max_drawdown": "max_drawdown", "buy_and_hold_max_drawdown": "buy_and_hold_max_drawdown", "mdd_improvement": "max_drawdown - buy_and_hold_max_drawdown",
+    "annualized_volatility": "annualized_volatility", "exposure_ratio": "exposure_ratio", "average_position": "exposure_ratio", "risk_off_ratio": "risk_off_ratio", "total_fee_paid": "total_fee_paid", "worst_1d_return": "worst_1d_return", "worst_7d_return": "worst_7d_return",
+    "avoided_high_vol_ratio": "coalesce(ohv / nullif(nhv, 0), 0)", "missed_high_vol_ratio": "coalesce((nhv - ohv) / nullif(nhv, 0), 0)", "risk_off_precision": "coalesce(ohv / nullif(off, 0), 0)", "risk_off_recall": "coalesce(ohv / nullif(nhv, 0), 0)", "avoided_drop_ratio": "coalesce(odp / nullif(ndp, 0), 0)", "risk_off_during_big_move_ratio": "coalesce(obm / nullif(nbm, 0), 0)",
+}
+
+
+@query(f"{_RISK} SELECT symbol, strategy, threshold, number_of_position_changes, {', '.join(f'round({v}, 6) AS {k}' for k, v in _RISK_COLUMNS.items())} FROM k")
+def risk_filter_sweep(spark, sf_dir):
+    return B.risk_filter_sweep(_risk_rows(spark, sf_dir), "p", "r").select("symbol", "strategy", "threshold", "number_of_position_changes", *_RISK_COLUMNS)
+
+
+@query(f"{_R}, t AS (SELECT symbol, count(*) AS n, product(1 + r / 50) - 1 AS t, stddev_pop(r / 50) * sqrt(35040) AS v FROM x GROUP BY 1), a AS (SELECT symbol, CASE WHEN t <= -1 THEN -1 ELSE pow(1 + t, 35040.0 / n) - 1 END AS a, v FROM t) SELECT symbol, round(a, 6) AS annualized_return, round(v, 6) AS annualized_volatility, round(a / nullif(v, 0), 6) AS sharpe_like FROM a")
+def annualised(spark, sf_dir):
+    small = F.col("r") / 50
+    t = bounded(spark, sf_dir).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), (F.product(1 + small) - 1).alias("t"), (F.stddev_pop(small) * F.sqrt(F.lit(float(C.BARS_A_YEAR)))).alias("annualized_volatility"))
+    t = t.withColumn("annualized_return", C.annualised_return(F.col("t"), F.col("n")))
+    return t.select("symbol", "annualized_return", "annualized_volatility", F.try_divide("annualized_return", "annualized_volatility").alias("sharpe_like"))
+
+
+_FW = "(PARTITION BY symbol, filter_name ORDER BY ts)"
+_FR = "(PARTITION BY symbol, filter_name ORDER BY ts ROWS UNBOUNDED PRECEDING)"
+
+
+@query(
+    f"""{_R}, h AS (SELECT x.*, f.* FROM x, (SELECT unnest(['hv040_drop007', 'hv050_drop010', 'hv060_drop015']) AS filter_name, unnest([0.4, 0.5, 0.6])::DOUBLE AS threshold_high_vol, unnest([0.07, 0.10, 0.15])::DOUBLE AS threshold_drop) f),
+ o AS (SELECT *, coalesce(lag(CAST(NOT (p >= threshold_high_vol OR volume / 1000 >= threshold_drop) AS DOUBLE)) OVER {_FW}, 1.0) AS position FROM h), c AS (SELECT *, coalesce(abs(position - lag(position) OVER {_FW}), 0) AS changed FROM o), s AS (SELECT *, position * r - changed * 0.0006 AS sr FROM c),
+ e2 AS (SELECT *, product(1 + sr) OVER {_FR} AS equity, product(1 + r) OVER {_FR} AS bh FROM s), d AS (SELECT *, equity / max(equity) OVER {_FR} - 1 AS dd, bh / max(bh) OVER {_FR} - 1 AS bdd FROM e2)
+ SELECT symbol, filter_name, threshold_high_vol, threshold_drop, round(product(1 + sr) - 1, 6) AS total_return, round(product(1 + r) - 1, 6) AS buy_and_hold_return, round(min(dd), 6) AS max_drawdown, round(min(bdd), 6) AS buy_and_hold_max_drawdown, round(avg(position), 6) AS exposure_ratio, round(avg(CAST(position < 1 AS INT)), 6) AS risk_off_ratio,
+ count(*) FILTER (changed > 0) AS number_of_position_changes, round(sum(changed) * 0.0006, 6) AS total_fee_paid, round(avg(r) FILTER (position >= 1), 6) AS avg_return_when_risk_on, round(avg(r) FILTER (position < 1), 6) AS avg_return_when_risk_off, round(avg(CAST(volume >= 100 AS INT)) FILTER (position < 1), 6) AS actual_high_vol_rate_when_risk_off, round(avg(CAST(r < 0 AS INT)) FILTER (position < 1), 6) AS actual_drop_rate_when_risk_off FROM d GROUP BY 1, 2, 3, 4"""
+)
+def similarity_filters(spark, sf_dir):
+    x = bounded(spark, sf_dir).withColumns({"similar_high_vol_ratio": F.col("p"), "similar_drop_ratio": F.col("volume") / 1000, "actual_high_vol": (F.col("volume") >= 100).cast("int"), "actual_drop": (F.col("r") < 0).cast("int"), "actual_return_next_4": F.col("r")})
+    return B.similarity_filters(x)
+
+
+# --- simulation ---
+
+
+def _simulated(spark, sf_dir) -> DataFrame:
+    x = bounded(spark, sf_dir)
+    flat = x.select("symbol", "ts", (F.col("r") * 2).alias("y_pred"), (100 + F.col("p")).alias("close"), (100 + F.col("p") + F.col("volume") / 100).alias("high"), (100 + F.col("p") - F.col("volume") / 150).alias("low"))
+    return simulate.simulate(simulate.next_bar_view(flat))
+
+
+_SIM = f"""WITH RECURSIVE {_R[5:]}, v AS (SELECT symbol, ts, r * 2 AS pred, 100 + p AS close, lead(100 + p + volume / 100) OVER {_W} AS nh, lead(100 + p - volume / 150) OVER {_W} AS nl, lead(100 + p) OVER {_W} AS nc FROM x),
+ n AS (SELECT *, row_number() OVER {_W} AS rn FROM v WHERE nc IS NOT NULL),
+ f AS (SELECT symbol, CAST(0 AS BIGINT) AS rn, CAST(NULL AS TIMESTAMP) AS ts, 0 AS side, CAST(NULL AS DOUBLE) AS entry, 0 AS wait, CAST(0 AS DOUBLE) AS gross, 0 AS fees, 0 AS moves, 0 AS tp, 0 AS sl, 0 AS te, 0 AS cb FROM (SELECT DISTINCT symbol FROM n)
+ UNION ALL SELECT symbol, rn, ts, CASE WHEN sl + tp > 0 THEN 0 ELSE s2 END, CASE WHEN sl + tp > 0 OR s2 = 0 THEN NULL ELSE e2 END, CASE WHEN sl + tp > 0 THEN 4 WHEN wait > 0 AND s2 = 0 THEN wait - 1 ELSE wait END,
+ CASE WHEN sl = 1 THEN -0.008 WHEN tp = 1 THEN 0.015 WHEN s2 <> 0 THEN s2 * (nc / close - 1) ELSE 0 END, fees + sl + tp, moves + sl + tp, tp, sl, te, cb FROM (
+ SELECT *, CASE WHEN s2 <> 0 AND sl = 0 AND s2 * ((CASE WHEN s2 > 0 THEN nh ELSE nl END) - e2 * (1 + s2 * 0.015)) >= 0 THEN 1 ELSE 0 END AS tp FROM (
+ SELECT *, CASE WHEN s2 <> 0 AND s2 * ((CASE WHEN s2 > 0 THEN nl ELSE nh END) - e2 * (1 - s2 * 0.008)) <= 0 THEN 1 ELSE 0 END AS sl FROM (
+ SELECT *, CASE WHEN s1 = 0 AND wait = 0 AND abs(pred) > 0.005 THEN CAST(sign(pred) AS INT) ELSE s1 END AS s2, CASE WHEN s1 = 0 AND wait = 0 AND abs(pred) > 0.005 THEN close ELSE e1 END AS e2, f1 + CASE WHEN s1 = 0 AND wait = 0 AND abs(pred) > 0.005 THEN 1 ELSE 0 END AS fees, m1 + CASE WHEN s1 = 0 AND wait = 0 AND abs(pred) > 0.005 THEN 1 ELSE 0 END AS moves, CASE WHEN s1 = 0 AND wait > 0 THEN 1 ELSE 0 END AS cb FROM (
+ SELECT n.*, f.wait, CASE WHEN f.side <> 0 AND -f.side * n.pred > 0.005 THEN -f.side WHEN f.side <> 0 AND -f.side * n.pred > 0.001 THEN 0 ELSE f.side END AS s1, CASE WHEN f.side <> 0 AND -f.side * n.pred > 0.005 THEN n.close WHEN f.side <> 0 AND -f.side * n.pred > 0.001 THEN NULL ELSE f.entry END AS e1,
+ CASE WHEN f.side <> 0 AND -f.side * n.pred > 0.005 THEN 2 WHEN f.side <> 0 AND -f.side * n.pred > 0.001 THEN 1 ELSE 0 END AS f1, CASE WHEN f.side <> 0 AND -f.side * n.pred > 0.001 THEN 1 ELSE 0 END AS m1, CASE WHEN f.side <> 0 AND -f.side * n.pred > 0.001 THEN 1 ELSE 0 END AS te FROM f JOIN n ON f.symbol = n.symbol AND n.rn = f.rn + 1)))))"""
+
+
+@query(_SIM + " SELECT symbol, ts, CAST(side AS INT) AS position, round(gross, 6) AS gross_return, round(gross - fees * 0.0005, 6) AS net_return, CAST(fees AS INT) AS fee_events, CAST(moves AS INT) AS position_change, CAST(tp AS INT) AS take_profit_exit, CAST(sl AS INT) AS stop_loss_exit, CAST(te AS INT) AS threshold_exit, CAST(cb AS INT) AS cooldown_blocked, CAST(wait AS INT) AS cooldown_remaining FROM f WHERE rn > 0")
+def futures_state_machine(spark, sf_dir):
+    return _simulated(spark, sf_dir).select("symbol", "ts", "position", "gross_return", "net_return", "fee_events", "position_change", "take_profit_exit", "stop_loss_exit", "threshold_exit", "cooldown_blocked", "cooldown_remaining")
+
+
+@query(f"{_R}, s AS (SELECT symbol, ts, CAST(r > 0 AS INT) AS l FROM x), c AS (SELECT symbol, abs(l - coalesce(lag(l) OVER {_W}, 0)) AS c FROM s) SELECT symbol, CAST(sum(c) AS BIGINT) AS n_changes FROM c GROUP BY 1")
+def zero_threshold_changes(spark, sf_dir):
+    return B.zero_threshold_changes(bounded(spark, sf_dir), "r")
+
+
+# --- metrics and models ---
+
+_SCORED = "WITH s AS (SELECT l.quality AS y, least(greatest(d.n_chars / 5000.0, 0.01), 0.99) AS p FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"
+
+
+def _scored(spark, sf_dir) -> DataFrame:
+    d = _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels"), "doc_id")
+    return d.select(F.col("quality").alias("y"), F.least(F.greatest(F.col("n_chars") / 5000.0, F.lit(0.01)), F.lit(0.99)).alias("p"))
+
+
+def _confusion_sql(thresholds: str) -> str:
+    return f"""{_SCORED}, t AS (SELECT s.*, t.threshold FROM s, (SELECT unnest([{thresholds}])::DOUBLE AS threshold) t), k AS (SELECT threshold, count(*) FILTER (y = 1 AND p >= threshold) AS tp, count(*) FILTER (y <> 1 AND p >= threshold) AS fp, count(*) FILTER (y = 1 AND p < threshold) AS fn, count(*) FILTER (y <> 1 AND p < threshold) AS tn FROM t GROUP BY 1),
+ m AS (SELECT *, (tp + tn) / (tp + tn + fp + fn) AS accuracy, coalesce(tp / nullif(tp + fp, 0), 0) AS pr, coalesce(tp / nullif(tp + fn, 0), 0) AS re FROM k) SELECT threshold, tp, fp, fn, tn, round(accuracy, 6) AS accuracy, round(pr, 6) AS precision, round(re, 6) AS recall, round(coalesce(2 * pr * re / nullif(pr + re, 0), 0), 6) AS f1 FROM m"""
+
+
+@query(_confusion_sql("0.5"))
+def confusion(spark, sf_dir):
+    return metrics.confusion(_scored(spark, sf_dir), "y", "p")
+
+
+@query(_confusion_sql("0.3, 0.4, 0.5, 0.6, 0.7, 0.8"))
+def threshold_sweep(spark, sf_dir):
+    return metrics.confusion(_scored(spark, sf_dir), "y", "p", [0.3, 0.4, 0.5, 0.6, 0.7, 0.8])
+
+
+@query(_SCORED + ", k AS (SELECT y, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2 AS r FROM s) SELECT round((sum(r) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2) / nullif(count(*) FILTER (y = 1) * count(*) FILTER (y = 0), 0), 6) AS roc_auc FROM k")
+def roc_auc(spark, sf_dir):
+    return metrics.roc_auc(_scored(spark, sf_dir), "y", "p")
+
+
+@query(_SCORED + ", d AS (SELECT p, count(*) FILTER (y = 1) AS k, count(*) AS n FROM s GROUP BY 1), c AS (SELECT k, sum(k) OVER (ORDER BY p DESC) AS ck, sum(n) OVER (ORDER BY p DESC) AS cn FROM d) SELECT round(sum(k * ck / cn) / sum(k), 6) AS average_precision FROM c")
+def average_precision(spark, sf_dir):
+    return metrics.average_precision(_scored(spark, sf_dir), "y", "p")
+
+
+@query(_SCORED + " SELECT round(avg(CASE WHEN y = 1 THEN -ln(p) ELSE -ln(1 - p) END), 6) AS log_loss FROM s")
+def log_loss(spark, sf_dir):
+    return metrics.log_loss(_scored(spark, sf_dir), "y", "p")
+
+
+@query(f"{_R}, y AS (SELECT r AS a, lag(r) OVER {_W} AS b FROM x), z AS (SELECT * FROM y WHERE b IS NOT NULL) SELECT round(avg(abs(a - b)), 6) AS mae, round(sqrt(avg((a - b) * (a - b))), 6) AS rmse, round(1 - sum((a - b) * (a - b)) / nullif(var_pop(a) * count(*), 0), 6) AS r2, round(100 * avg(CAST((a >= 0) = (b >= 0) AS INT)), 6) AS direction_accuracy FROM z")
+def regression_metrics(spark, sf_dir):
+    x = bounded(spark, sf_dir).withColumn("b", F.lag("r").over(C.series())).where("b IS NOT NULL")
+    return metrics.regression(x, "r", "b")
+
+
+_FEATURES = ["return_1", "ma_distance_20", "volatility_20", "rsi_14", "high_low_range"]
+
+
+def _training(spark, sf_dir) -> DataFrame:
+    rows = labels.risk_labels(labels.next_bar(indicators.main_features(bars(spark, sf_dir)).drop("ma_60", "ma_120", "ma_distance_60", "volatility_60")))
+    return split.split_three(rows)
+
+
+@query()
+def gbt_classify(spark, sf_dir):
+    rows = _training(spark, sf_dir).cache()
+    model = models.fit_classifier(rows.where("split = 'train'"), _FEATURES, "target_volatility_high_next_4", models.Settings(5, 0.1, 3, weighted=True))
+    out = models.predict_classes(model, rows.where("split = 'test'"))
+    return out.select("symbol", "ts", "target_volatility_high_next_4", "pred_proba_0", "pred_proba_1", "pred_label")
+
+
+@query()
+def gbt_regress(spark, sf_dir):
+    rows = _training(spark, sf_dir).cache()
+    model = models.fit_regressor(rows.where("split = 'train'"), _FEATURES, "target_return_next", models.Settings(5, 0.1, 3))
+    return models.predict_values(model, rows.where("split = 'test'")).select("symbol", "ts", "target_return_next", "y_pred")
+
+
+@query()
+def feature_importance(spark, sf_dir):
+    rows = _training(spark, sf_dir)
+    model = models.fit_classifier(rows.where("split = 'train'"), _FEATURES, "target_up_next", models.Settings(5, 0.1, 3))
+    return models.importance(model, _FEATURES, 10)
+
+
+@query()
+def simulation_summary(spark, sf_dir):
+    return simulate.simulation_summary(_simulated(spark, sf_dir))
+
+
+@query()
+def full_features(spark, sf_dir):
+    """Cleaned, labelled rows of two timeframes: the whole chain in one plan."""
+    main = labels.next_bar(indicators.main_features(bars(spark, sf_dir)))
+    rows = joins.asof_join(main, indicators.aux_features(bars(spark, sf_dir, "4 hours"), "h4", "4 hours"))
+    return labels.risk_labels(rows)

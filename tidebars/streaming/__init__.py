@@ -1 +1 @@
-
+"""Streaming bars."""
