@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe import in_groups
-from .common import components, spread_join, stored
+from .common import components, shuffle_cleanup, spread_join, stored
 from .substring_dedup import split_words
 from .superkmers import keyed, mix, rows_of_runs, window_hash
 
@@ -214,13 +214,16 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     sets = stored(set_table(rows, n), "jaccard-sets")
     # equal signatures: a chain through the sets that share one, in order of set_id, streaming within the sort
     chain = signature_table(rows, n, percent).select("set_id", F.lag("set_id").over(W.partitionBy("signature").orderBy("set_id")).alias("before")).where("before <> set_id")
-    clusters = components(chain.groupBy(F.col("before").alias("u"), F.col("set_id").alias("v")).agg(F.count(F.lit(1)).alias("n")).select("u", "v"), "jaccard-candidates")
+    with shuffle_cleanup(docs.sparkSession):
+        pairs = stored(chain.select(F.col("before").alias("u"), F.col("set_id").alias("v")).distinct(), "jaccard-chains")
+    clusters = components(pairs, "jaccard-candidates")
     classes = sets.where("n_shingles > 0").groupBy("set_id").agg(F.min(F.struct("key", "row_hash")).alias("row"), F.max("n_shingles").alias("size"), F.count(F.lit(1)).alias("copies"))
     members = stored(classes.join(clusters.select(F.col("node").alias("set_id"), F.col("component").alias("cluster")), "set_id").select("set_id", "cluster", "size", "copies", "row.*"), "jaccard-members")
     blocks = members.groupBy("cluster").agg(F.ceil(F.sum("size") / BLOCK_ELEMENTS).cast("int").alias("blocks"))
     tasks = max(16, int((members.agg(F.sum("size")).first()[0] or 0) / TASK_ELEMENTS))
     placed = members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
-    texts = rows.select("key", "row_hash", "text").join(placed, ["key", "row_hash"]).dropDuplicates(["set_id"])
+    # one plan at every size: the members grow with the input, so they are never broadcast
+    texts = rows.select("key", "row_hash", "text").join(placed.hint("merge"), ["key", "row_hash"]).dropDuplicates(["set_id"])
     links = stored(cluster_links(texts.select("cluster", "set_id", "text", "copies", "block", "blocks"), n, percent, tasks), "jaccard-links")
     found = components(links.where("u <> v").select("u", "v"), "jaccard-components")
     counts = links.where("u = v").groupBy(F.col("u").alias("set_id")).agg(F.sum("links").alias("links"))
