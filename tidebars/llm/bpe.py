@@ -10,14 +10,16 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import regex
 
-#: Fixed value: the split pattern of byte-level BPE pre-tokenisers, with \s as Unicode white space.
-SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
+#: Fixed value: the split pattern of byte-level BPE pre-tokenisers. ``\s`` is Unicode white space there.
+SPLIT_TEXT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+SPLIT = regex.compile(SPLIT_TEXT.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
 #: Pieces never cross a single space between two visible characters.
 _EDGE, _RUN = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"\s\s")
-CACHE = 400_000
+CACHE = 800_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -162,16 +164,16 @@ class Vocabulary:
             self.first.clear()
         if len(self.words) > CACHE:
             self.words.clear()
-        new = [(self.later, c, " " + c) for c in {c for s in split for c in s[1:]}.difference(self.later)]
-        new += [(self.first, c, c) for c in {s[0] for s in split}.difference(self.first)]
+        heads = [s.pop(0) for s in split]
+        new = [(self.later, c, " " + c) for c in set(chain.from_iterable(split)).difference(self.later)]
+        new += [(self.first, c, c) for c in set(heads).difference(self.first)]
         parts = [self.pieces(c) for _, _, c in new]
         self.trie_encode({p for ps in parts for p in ps if isinstance(p, str)}.difference(self.words))
         for (cache, key, _), ps in zip(new, parts):
             cache[key] = tuple(i for p in ps for i in (self.words[p] if isinstance(p, str) else (p,)))
-        for s in split:
-            ids = list(self.first[s[0]])
-            for part in map(self.later.__getitem__, s[1:]):
-                ids += part
+        for head, s in zip(heads, split):
+            ids = list(self.first[head])
+            ids.extend(chain.from_iterable(map(self.later.__getitem__, s)))
             yield ids
 
     def prefix_counts(self, chunk: str) -> tuple[bytes, int]:
