@@ -8,10 +8,9 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 
-from .superkmers import Space, bucket_count, covered, hashed_groups, keyed, packed_blocks, settled_spans, with_spans
+from .superkmers import Space, bucket_count, covered, hashed_groups, keyed, packed_blocks, settled_spans, with_spans, word_values
 
 BUCKET_BYTES = 32_000_000
 
@@ -23,8 +22,7 @@ def split_words(texts: list[str | bytes]) -> tuple[np.ndarray, np.ndarray, np.nd
     code = {w: i for i, w in enumerate(words)}
     n = sum(map(len, lists))
     codes = np.fromiter(map(code.__getitem__, chain.from_iterable(lists)), np.int32, n)
-    values = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    return codes, values[codes], np.array([len(ws) for ws in lists], np.int64), words
+    return codes, word_values(words)[codes], np.array([len(ws) for ws in lists], np.int64), words
 
 
 def word_space(window: int, minimiser: int) -> Space:

@@ -22,20 +22,27 @@ from .superkmers import Space, bucket_count, byte_values, covered, keyed, packed
 BUCKET_BYTES = 32_000_000
 
 
-def _names(keys: list[np.ndarray]) -> np.ndarray:
-    """Dense ranks of rows by several keys, the first key leading."""
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), bool)
-    for key in keys:
-        sorted_key = key[order]
-        new[1:] |= sorted_key[1:] != sorted_key[:-1]
-    names = np.empty(len(order), np.int64)
-    names[order] = np.cumsum(new)
-    return names
+def _ranks(key: np.ndarray) -> np.ndarray:
+    """Dense ranks from 1."""
+    order = np.argsort(key)
+    new = np.ones(len(order), np.int64)
+    new[1:] = key[order[1:]] != key[order[:-1]]
+    ranks = np.empty(len(order), np.int64)
+    ranks[order] = np.cumsum(new)
+    return ranks
+
+
+def _triple_names(names: np.ndarray, at: np.ndarray, step: int) -> np.ndarray:
+    """Ranks of the triples of names at ``at``, one and two steps on; names beyond the end are 0."""
+    first, second, third = (names[np.minimum(at + i * step, len(names) - 1)] for i in range(3))
+    bits = int(names.max()).bit_length()
+    if 3 * bits <= 63:
+        return _ranks(first << 2 * bits | second << bits | third)
+    return _ranks(_ranks(first << 31 | second) << 31 | third)
 
 
 def _letters(text: np.ndarray) -> np.ndarray:
-    """The 8 bytes from each position on as one big-endian number; text must have 8 bytes to spare."""
+    """The 8 bytes from each position on as one big-endian number; shorter than text by 7."""
     n = len(text) - 7
     out = text[:n].astype(np.uint64)
     for j in range(1, 8):
@@ -44,36 +51,43 @@ def _letters(text: np.ndarray) -> np.ndarray:
     return out
 
 
-def sampled_names(text: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    """Ranks, by position in text, of the suffixes at ``at`` (a sorted array) in order of at least ``depth`` bytes."""
-    span, steps = 24, []
+def sampled_names(letters: np.ndarray, sample: np.ndarray, depth: int) -> np.ndarray:
+    """Ranks, by position, of the marked suffixes in order of at least ``depth`` bytes; 0 elsewhere."""
+    marked, steps, span = sample.copy(), [], 24
     while span < depth:
         steps.append(span)
         span *= 3
-    need = at
+    for s in reversed(steps):  # triples of names need names further on
+        before = np.flatnonzero(marked)
+        for p in (before + s, before + 2 * s):
+            marked[p[p < len(marked)]] = True
+    need = np.flatnonzero(marked)
+    for p in (need + 8, need + 16):
+        marked[p[p < len(marked)]] = True
+    named = np.flatnonzero(marked)
+    names = np.zeros(len(marked), np.int64)
+    names[named] = _ranks(letters[named])
+    triples = _triple_names(names, need, 8)
+    names[:] = 0
+    names[need] = triples
     for s in steps:
-        need = np.union1d(need, np.concatenate([need + s, need + 2 * s]))
-    need = need[need < len(text) - 32]
-    letters = _letters(text)
-    rank = np.zeros(len(text), np.int64)
-    rank[need] = _names([letters[need], letters[need + 8], letters[need + 16]]) + 1
-    for s in steps:  # recurse: triples of names; names beyond the end stay 0
-        inside = lambda p: rank[np.minimum(p, len(rank) - 1)]
-        rank[need] = _names([rank[need], inside(need + s), inside(need + 2 * s)]) + 1
-    return rank
+        names[need] = _triple_names(names, need, s)
+    return names
 
 
 def suffix_order(text: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     """Order of the suffixes at the sorted positions ``at`` by at least their first ``depth`` bytes (difference cover modulo 3)."""
-    text = np.concatenate([text, np.zeros(200, np.uint8)])
+    text = np.concatenate([text, np.zeros(depth + 32, np.uint8)])
     third, mine = at[at % 3 == 0], at[at % 3 != 0]
-    sample = np.union1d(np.concatenate([third + 1, third + 2]), np.concatenate([mine, mine + mine % 3]))
-    rank = sampled_names(text, sample, depth)
-    mine = mine[np.argsort(rank[mine], kind="stable")]
-    wide = np.int64(len(text) + 2).item().bit_length()
+    sample = np.zeros(len(text) - 7, bool)
+    for p in (third + 1, third + 2, mine, mine + mine % 3):
+        sample[p] = True
+    rank = sampled_names(_letters(text), sample, depth)
+    mine = mine[np.argsort(rank[mine])]
+    wide = len(rank).bit_length() + 1
     one = lambda p: text[p].astype(np.int64) << wide | rank[p + 1]
     two = lambda p: (text[p].astype(np.int64) << 8 | text[p + 1]) << wide | rank[p + 2]
-    third = third[np.argsort(one(third), kind="stable")]
+    third = third[np.argsort(one(third))]
     # merge: a third suffix meets those at 1 mod 3 one letter on, those at 2 mod 3 two letters on
     ones, twos = mine % 3 == 1, mine % 3 == 2
     before = np.zeros(len(mine), np.int64)
@@ -87,15 +101,18 @@ def suffix_order(text: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
 
 
 def difference_cover_groups(k: int):
-    """Groups of equal windows in suffix order, split where neighbours differ in their first k bytes."""
+    """Groups of equal windows in suffix order, split where neighbours differ in their first k bytes (k of 8 or more)."""
 
     def group(tokens: np.ndarray, at: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = suffix_order(tokens, at, k)
-        new = np.ones(len(order), bool)
-        new[1:] = False
-        for j in range(k):
-            new[1:] |= tokens[order[1:] + j] != tokens[order[:-1] + j]
-        return np.searchsorted(at, order), new
+        order, letters = suffix_order(tokens, at, k), _letters(tokens)
+        new = np.zeros(len(order), bool)
+        new[0] = True
+        for j in {*range(0, k - 7, 8), k - 8}:
+            here = letters[order + j]
+            new[1:] |= here[1:] != here[:-1]
+        place = np.empty(len(tokens), np.int64)
+        place[at] = np.arange(len(at))
+        return place[order], new
 
     return group
 

@@ -8,11 +8,12 @@ to one packed string for each task before the shuffle. The text operators on wor
 from __future__ import annotations
 
 import pickle
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -94,6 +95,14 @@ def repeated(hashes: np.ndarray) -> np.ndarray:
     return np.flatnonzero(twice[slot])
 
 
+def not_alone(values: np.ndarray) -> np.ndarray:
+    """Indices, in order, of the values that occur more than once."""
+    by = np.argsort(values)
+    alone = np.ones(len(by) + 1, bool)
+    alone[1:-1] = values[by[1:]] != values[by[:-1]]
+    return np.sort(by[~(alone[1:] & alone[:-1])])
+
+
 def _small(x: np.ndarray) -> np.ndarray:
     """The array in the narrowest integer type that holds it."""
     return x.astype(np.min_scalar_type(-int(max(abs(int(x.min())), abs(int(x.max())))) - 1)) if len(x) else x.astype(np.int8)
@@ -115,6 +124,7 @@ def later_windows(space: Space, tokens: np.ndarray, hashes: np.ndarray, at: np.n
     """True for each window at tokens[at] that has an equal one of lesser rank (or of equal rank and lesser start)."""
     late = np.zeros(len(at), bool)
     maybe = repeated(hashes)
+    maybe = maybe[not_alone(hashes[maybe])]
     if not len(maybe):
         return late
     order, new = space.group(tokens, at[maybe], hashes[maybe])
@@ -125,6 +135,36 @@ def later_windows(space: Space, tokens: np.ndarray, hashes: np.ndarray, at: np.n
     return late
 
 
+def later_runs(space: Space, tokens: np.ndarray, values: np.ndarray, at: np.ndarray, n: np.ndarray, rank: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """True for each run of n windows at tokens[at] that equals, token by token, a run of lesser rank (or start).
+
+    Runs are looked up by their first and last window, which cover a run of at most k windows; longer runs are left.
+    """
+    late = np.zeros(len(at), bool)
+    with np.errstate(over="ignore"):
+        first, last = (hash_at(values, at + shift, space.k) for shift in (0, n - 1))
+        key = mix(first ^ mix(last + n.astype(_U)))
+    code = rank if space.by_document else rank << np.int64(36) | start
+    order = np.lexsort([code, key])
+    new = np.ones(len(order), bool)
+    new[1:] = key[order[1:]] != key[order[:-1]]
+    head = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    some = np.flatnonzero((code[order] > code[head]) & (n[order] <= space.k) & (n[order] == n[head]))
+    if len(some):
+        mine, theirs, size = order[some], head[some], n[order[some]] + space.k - 1
+        equal = tokens[rows_of_runs(at[mine], size)] == tokens[rows_of_runs(at[theirs], size)]
+        late[mine] = np.logical_and.reduceat(equal, np.cumsum(size) - size)
+    return late
+
+
+def hash_at(values: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    out = np.zeros(len(at), _U)
+    with np.errstate(over="ignore"):
+        for j in range(k):
+            out = out * _U(_P) + values[at + j]
+    return out
+
+
 def hashed_groups(k: int) -> Callable:
     """Exact groups of equal windows: sort by hash, then compare every window with the first of its run."""
 
@@ -161,27 +201,21 @@ def packed_blocks(docs: DataFrame, space: Space, n_buckets: int) -> DataFrame:
         ends = np.cumsum(lengths)
         if len(codes) < space.k:
             return
-        windows = window_hash(values, space.k)
-        doc = np.repeat(np.arange(len(lengths)), lengths)[: len(windows)]
-        at = np.flatnonzero(np.arange(len(windows)) + space.k <= ends[doc])
-        if not len(at):
-            return
-        rank = np.unique(doc_keys, return_inverse=True)[1] if space.by_document else np.arange(len(doc_keys))
-        start = np.arange(len(windows)) - (ends - lengths)[doc]
-        late = np.zeros(len(windows), bool)
-        late[at] = later_windows(space, codes, mix(windows[at]), at, rank[doc[at]], start[at])
-        sent = np.zeros(len(windows), bool)
-        sent[at] = True
-        sent &= ~late
         least = sliding_min(mix(window_hash(values, space.m)), space.k - space.m + 1)
-        breaks = np.ones(len(windows), bool)
+        doc = np.repeat(np.arange(len(lengths)), lengths)[: len(least)]
+        start = np.arange(len(least)) - (ends - lengths)[doc]
+        breaks = np.ones(len(least), bool)
         breaks[1:] = (doc[1:] != doc[:-1]) | (least[1:] != least[:-1])
-        run_at, run_n = runs_of_flags(sent, breaks)
+        run_at, run_n = runs_of_flags(np.arange(len(least)) + space.k <= ends[doc], breaks)
+        if not len(run_at):
+            return
+        rank = np.unique(doc_keys, return_inverse=True)[1] if space.by_document else np.arange(len(doc_keys))
+        late = later_runs(space, codes, values, run_at, run_n, rank[doc[run_at]], start[run_at])
+        span_at, span_n, run_at, run_n = run_at[late], run_n[late], run_at[~late], run_n[~late]
         bucket = (mix(least[run_at]) % _U(n_buckets * SECTIONS)).astype(np.int64)
         by = np.argsort(bucket, kind="stable")
         run_at, run_n, bucket = run_at[by], run_n[by], bucket[by]
         edges = np.searchsorted(bucket, np.arange(n_buckets * SECTIONS + 1))
-        span_at, span_n = runs_of_flags(late, np.r_[True, doc[1:] != doc[:-1]])
         span_bucket = doc[span_at] % n_buckets
         press = zstandard.ZstdCompressor(level=3)
         lut = np.zeros(len(words), np.int32) if words is not None else None
@@ -248,7 +282,7 @@ def spans_of_blocks(blocks: DataFrame, space: Space) -> DataFrame:
                 lut = np.array([ids.setdefault(w, len(ids)) for w in names.split(b" ")], np.int32)
                 tokens = [lut[t] for t in tokens]
             packed.append(tokens)
-        values = mix(np.arange(1, len(ids) + 1, dtype=_U) * _U(_P)) if ids else byte_values()
+        values = word_values(ids) if ids else byte_values()  # those that the minimisers were found with
         keys, row_hashes = np.concatenate(keys), np.concatenate(row_hashes)
         order = np.lexsort([row_hashes, keys])
         new = np.ones(len(order), bool)
@@ -265,7 +299,21 @@ def spans_of_blocks(blocks: DataFrame, space: Space) -> DataFrame:
             tokens = np.concatenate([p[i] for p in packed])
             doc = np.concatenate([d[r] for d, r in zip(docs, part)])
             start = np.concatenate([s[r] for s, r in zip(starts, part)])
-            at = rows_of_runs(np.cumsum(count + space.k - 1) - (count + space.k - 1), count)
+            # a run whose minimiser no other run has, and which has it once, holds nothing that repeats
+            size = count + space.k - 1
+            run_at = np.cumsum(size) - size
+            grams = mix(window_hash(values[tokens], space.m))
+            least = np.minimum.reduceat(np.append(grams, _U(0)), np.column_stack([run_at, run_at + size - space.m + 1]).ravel())[::2]
+            kept = not_alone(least)
+            if not space.by_document:
+                padded = np.append(grams, np.zeros(len(tokens) - len(grams), _U))
+                twice = np.add.reduceat((padded == np.repeat(least, size)).astype(np.int64), run_at) > 1
+                kept = np.union1d(kept, np.flatnonzero(twice))
+            if not len(kept):
+                continue
+            tokens = tokens[rows_of_runs(run_at[kept], size[kept])]
+            doc, start, count = doc[kept], start[kept], count[kept]
+            at = rows_of_runs(np.cumsum(size[kept]) - size[kept], count)
             begin = rows_of_runs(start, count)
             late = later_windows(space, tokens, mix(window_hash(values[tokens], space.k)[at]), at, np.repeat(rank[doc], count), begin)
             head = np.zeros(len(at), bool)
@@ -287,6 +335,10 @@ def settled_spans(blocks: DataFrame, space: Space) -> DataFrame:
 _BYTES: list[np.ndarray] = []
 
 
+def word_values(words: Iterable[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), _U)
+
+
 def byte_values() -> np.ndarray:
     if not _BYTES:
         _BYTES.append(mix(np.arange(1, 257, dtype=_U) * _U(_P)))
