@@ -606,9 +606,11 @@ _SIM = f"""WITH RECURSIVE {_R[5:]}, v AS (SELECT symbol, ts, r * 2 AS pred, 100
  CASE WHEN f.side <> 0 AND -f.side * n.pred > 0.005 THEN 2 WHEN f.side <> 0 AND -f.side * n.pred > 0.001 THEN 1 ELSE 0 END AS f1, CASE WHEN f.side <> 0 AND -f.side * n.pred > 0.001 THEN 1 ELSE 0 END AS m1, CASE WHEN f.side <> 0 AND -f.side * n.pred > 0.001 THEN 1 ELSE 0 END AS te FROM f JOIN n ON f.symbol = n.symbol AND n.rn = f.rn + 1)))))"""
 
 
-@query(_SIM + " SELECT symbol, ts, CAST(side AS INT) AS position, round(gross, 6) AS gross_return, round(gross - fees * 0.0005, 6) AS net_return, CAST(fees AS INT) AS fee_events, CAST(moves AS INT) AS position_change, CAST(tp AS INT) AS take_profit_exit, CAST(sl AS INT) AS stop_loss_exit, CAST(te AS INT) AS threshold_exit, CAST(cb AS INT) AS cooldown_blocked, CAST(wait AS INT) AS cooldown_remaining FROM f WHERE rn > 0")
+@query(_SIM + " SELECT symbol, ts, CAST(side AS INT) AS position, round(gross, 6) + 0.0 AS gross_return, round(gross - fees * 0.0005, 6) + 0.0 AS net_return, CAST(fees AS INT) AS fee_events, CAST(moves AS INT) AS position_change, CAST(tp AS INT) AS take_profit_exit, CAST(sl AS INT) AS stop_loss_exit, CAST(te AS INT) AS threshold_exit, CAST(cb AS INT) AS cooldown_blocked, CAST(wait AS INT) AS cooldown_remaining FROM f WHERE rn > 0")
 def futures_state_machine(spark, sf_dir):
-    return _simulated(spark, sf_dir).select("symbol", "ts", "position", "gross_return", "net_return", "fee_events", "position_change", "take_profit_exit", "stop_loss_exit", "threshold_exit", "cooldown_blocked", "cooldown_remaining")
+    # rounded as in the SQL; adding zero gives both engines one zero
+    rounded = [(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("gross_return", "net_return")]
+    return _simulated(spark, sf_dir).select("symbol", "ts", "position", *rounded, "fee_events", "position_change", "take_profit_exit", "stop_loss_exit", "threshold_exit", "cooldown_blocked", "cooldown_remaining")
 
 
 @query(f"{_R}, s AS (SELECT symbol, ts, CAST(r > 0 AS INT) AS l FROM x), c AS (SELECT symbol, abs(l - coalesce(lag(l) OVER {_W}, 0)) AS c FROM s) SELECT symbol, CAST(sum(c) AS BIGINT) AS n_changes FROM c GROUP BY 1")
