@@ -10,11 +10,11 @@ from .common import table
 from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
 from .jaccard import jaccard_components
+from .oracles import ORACLE_SQL as ORACLE_SQL
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 from .token_store import store_and_read
 from .tokens import bpe_round_trip, prefix_token_counts
-
 from .toxicity import toxicity
 from .url_filter import url_verdicts
 
@@ -77,13 +77,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_url_filter": op10_url_filter,
 }
-
-#: Lower-casing of A-Z only, in DuckDB.
-_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-
-ORACLE_SQL: dict[str, str] = {
-    "op6_exact_dedup": f"""
-        WITH n AS (SELECT doc_id, {_LOW} AS t FROM documents)
-        SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
-               doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM n""",
-}
