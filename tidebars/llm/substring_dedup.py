@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .superkmers import Space, bucket_count, covered, hashed_groups, keyed, packed_blocks, settled_spans, with_spans, word_values
+from .superkmers import Space, bucket_count, covered, hashed_groups, keyed, packed_blocks, settled_spans, spans_of, with_spans, word_values
 
 BUCKET_BYTES = 32_000_000
 
@@ -44,9 +44,9 @@ def substring_dedup(docs: DataFrame, window: int = 20, minimiser: int = 3, keep_
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, removed, sha, kept = [], [], [], []
-            for text, spans in zip(batch.column(1), batch.column(2)):
-                words, spans = text.as_py().encode().split(), spans.as_py()
-                gone = covered(len(words), spans, window) if spans else None
+            for text, (starts, counts) in zip(batch.column(1), spans_of(batch.column(2))):
+                words = text.as_py().encode().split()
+                gone = covered(len(words), starts, counts, window) if len(starts) else None
                 left = b" ".join(words if gone is None else [w for w, g in zip(words, gone.tolist()) if not g])
                 total.append(len(words))
                 removed.append(0 if gone is None else int(gone.sum()))

@@ -17,9 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .superkmers import Space, bucket_count, byte_values, covered, keyed, packed_blocks, settled_spans, with_spans
+from .superkmers import Space, bucket_count, byte_values, covered, keyed, packed_blocks, settled_spans, spans_of, with_spans
 
-BUCKET_BYTES = 32_000_000
+BUCKET_BYTES = 20_000_000
 
 
 def _ranks(key: np.ndarray) -> np.ndarray:
@@ -141,11 +141,11 @@ def suffix_dedup(docs: DataFrame, length: int = 50, minimiser: int = 12, keep_by
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, removed, runs, sha, kept = [], [], [], [], []
-            for text, spans in zip(batch.column(1), batch.column(2)):
-                data, spans = text.as_py().encode(), spans.as_py()
+            for text, (starts, counts) in zip(batch.column(1), spans_of(batch.column(2))):
+                data = text.as_py().encode()
                 total.append(len(data))
-                if spans:
-                    gone = covered(len(data), spans, length)
+                if len(starts):
+                    gone = covered(len(data), starts, counts, length)
                     removed.append(int(gone.sum()))
                     runs.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
                     data = np.frombuffer(data, np.uint8)[~gone].tobytes()

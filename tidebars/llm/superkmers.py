@@ -25,22 +25,37 @@ _P = 0x9E3779B97F4A7C15 | 1
 #: A null doc_id goes ahead of all others.
 NULL_KEY = -(1 << 63)
 #: A bucket's windows are settled in this many sections, one after the other, to bound the memory of a task.
-SECTIONS = 8
+SECTIONS = 16
 BLOCK_SCHEMA = "bucket int, block binary"
 SPAN_SCHEMA = "key long, row_hash long, start long, count long"
 
 
-def mix(x: np.ndarray) -> np.ndarray:
+#: Long arrays are worked on in pieces of this length, which stay in a core's cache.
+PIECE = 1 << 15
+
+
+def in_pieces(f: Callable[[np.ndarray], np.ndarray], x: np.ndarray, k: int = 1) -> np.ndarray:
+    """f(x), of which each value depends on k consecutive ones of x."""
+    if len(x) <= PIECE + k:
+        return f(x)
+    out = np.empty(len(x) - k + 1, x.dtype)
+    for i in range(0, len(out), PIECE):
+        out[i : i + PIECE] = f(x[i : i + PIECE + k - 1])
+    return out
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
         return x ^ (x >> _U(31))
 
 
-def window_hash(h: np.ndarray, k: int) -> np.ndarray:
-    """Polynomial hash of each k consecutive values, by doubling; shorter by k - 1."""
-    if len(h) < k:
-        return h[:0]
+def mix(x: np.ndarray) -> np.ndarray:
+    return in_pieces(_mix, x) if x.ndim == 1 else _mix(x)
+
+
+def _window_hash(h: np.ndarray, k: int) -> np.ndarray:
     out, have, power, size = None, 0, h, 1
     with np.errstate(over="ignore"):
         while True:
@@ -58,8 +73,12 @@ def window_hash(h: np.ndarray, k: int) -> np.ndarray:
             size *= 2
 
 
-def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
-    """Least of each w consecutive values; shorter by w - 1."""
+def window_hash(h: np.ndarray, k: int) -> np.ndarray:
+    """Polynomial hash of each k consecutive values, by doubling; shorter by k - 1."""
+    return in_pieces(lambda x: _window_hash(x, k), h, k) if len(h) >= k else h[:0]
+
+
+def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     size = 1
     while size * 2 <= w:
         x = np.minimum(x[:-size], x[size:])
@@ -67,6 +86,11 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (w - size)], x[w - size :]) if w > size else x
 
 
+def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
+    """Least of each w consecutive values; shorter by w - 1."""
+    return in_pieces(lambda y: _sliding_min(y, w), x, w)
+
+
 def rows_of_runs(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """starts[0], starts[0]+1, ... (counts[0] of them), then those of the next run, and so on."""
     ends = np.cumsum(counts)
@@ -127,7 +151,13 @@ def later_windows(space: Space, tokens: np.ndarray, hashes: np.ndarray, at: np.n
     maybe = maybe[not_alone(hashes[maybe])]
     if not len(maybe):
         return late
-    order, new = space.group(tokens, at[maybe], hashes[maybe])
+    # only the tokens of these windows are ordered
+    edge = np.zeros(len(tokens) + 1, np.int8)
+    edge[at[maybe]] = 1
+    edge[at[maybe] + space.k] -= 1
+    inside = np.cumsum(edge[:-1], dtype=np.int32) > 0
+    place = np.cumsum(inside, dtype=np.int64) - 1
+    order, new = space.group(tokens[inside], place[at[maybe]], hashes[maybe])
     order, first = maybe[order], np.flatnonzero(new)
     code = rank if space.by_document else rank << np.int64(36) | start
     least = np.minimum.reduceat(code[order], first)
@@ -135,15 +165,15 @@ def later_windows(space: Space, tokens: np.ndarray, hashes: np.ndarray, at: np.n
     return late
 
 
-def later_runs(space: Space, tokens: np.ndarray, values: np.ndarray, at: np.ndarray, n: np.ndarray, rank: np.ndarray, start: np.ndarray) -> np.ndarray:
+def later_runs(space: Space, tokens: np.ndarray, hashes: np.ndarray, at: np.ndarray, n: np.ndarray, rank: np.ndarray, start: np.ndarray) -> np.ndarray:
     """True for each run of n windows at tokens[at] that equals, token by token, a run of lesser rank (or start).
 
-    Runs are looked up by their first and last window, which cover a run of at most k windows; longer runs are left.
+    ``hashes``: of the window at each token. Runs are looked up by their first and last window, which cover a run
+    of at most k windows; longer runs are left.
     """
     late = np.zeros(len(at), bool)
     with np.errstate(over="ignore"):
-        first, last = (hash_at(values, at + shift, space.k) for shift in (0, n - 1))
-        key = mix(first ^ mix(last + n.astype(_U)))
+        key = mix(hashes[at] ^ mix(hashes[at + n - 1] + n.astype(_U)))
     code = rank if space.by_document else rank << np.int64(36) | start
     order = np.lexsort([code, key])
     new = np.ones(len(order), bool)
@@ -157,14 +187,6 @@ def later_runs(space: Space, tokens: np.ndarray, values: np.ndarray, at: np.ndar
     return late
 
 
-def hash_at(values: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
-    out = np.zeros(len(at), _U)
-    with np.errstate(over="ignore"):
-        for j in range(k):
-            out = out * _U(_P) + values[at + j]
-    return out
-
-
 def hashed_groups(k: int) -> Callable:
     """Exact groups of equal windows: sort by hash, then compare every window with the first of its run."""
 
@@ -210,32 +232,29 @@ def packed_blocks(docs: DataFrame, space: Space, n_buckets: int) -> DataFrame:
         if not len(run_at):
             return
         rank = np.unique(doc_keys, return_inverse=True)[1] if space.by_document else np.arange(len(doc_keys))
-        late = later_runs(space, codes, values, run_at, run_n, rank[doc[run_at]], start[run_at])
+        late = later_runs(space, codes, window_hash(values, space.k), run_at, run_n, rank[doc[run_at]], start[run_at])
         span_at, span_n, run_at, run_n = run_at[late], run_n[late], run_at[~late], run_n[~late]
         bucket = (mix(least[run_at]) % _U(n_buckets * SECTIONS)).astype(np.int64)
         by = np.argsort(bucket, kind="stable")
         run_at, run_n, bucket = run_at[by], run_n[by], bucket[by]
         edges = np.searchsorted(bucket, np.arange(n_buckets * SECTIONS + 1))
         span_bucket = doc[span_at] % n_buckets
-        press = zstandard.ZstdCompressor(level=3)
+        press = zstandard.ZstdCompressor(level=2)
         lut = np.zeros(len(words), np.int32) if words is not None else None
         for b in np.union1d(np.unique(bucket // SECTIONS), np.unique(span_bucket)):
-            sections = [slice(edges[i], edges[i + 1]) for i in range(b * SECTIONS, (b + 1) * SECTIONS)]
-            packed = [codes[rows_of_runs(run_at[r], run_n[r] + space.k - 1)] for r in sections]
-            names = None
+            whole, names = slice(edges[b * SECTIONS], edges[(b + 1) * SECTIONS]), None
+            packed = codes[rows_of_runs(run_at[whole], run_n[whole] + space.k - 1)]
             if words is not None:
                 seen = np.zeros(len(words), bool)
-                for p in packed:
-                    seen[p] = True
+                seen[packed] = True
                 used = np.flatnonzero(seen)
                 lut[used] = np.arange(len(used))
-                packed = [lut[p].astype(np.uint16 if len(used) <= 1 << 16 else np.uint32) for p in packed]
+                packed = lut[packed].astype(np.uint16 if len(used) <= 1 << 16 else np.uint32)
                 names = b" ".join([words[i] for i in used])
-            s = span_bucket == b
-            whole = slice(edges[b * SECTIONS], edges[(b + 1) * SECTIONS])
+            s, sections = span_bucket == b, np.diff(edges[b * SECTIONS : (b + 1) * SECTIONS + 1])
             seen_docs, local = np.unique(np.concatenate([doc[run_at[whole]], doc[span_at[s]]]), return_inverse=True)
             n = whole.stop - whole.start
-            fields = (_small(np.diff(doc_keys[seen_docs], prepend=0)), doc_hashes[seen_docs].astype(np.int32), _small(local[:n]), _small(start[run_at[whole]]), _small(run_n[whole]), [r.stop - r.start for r in sections], packed, names, _small(local[n:]), _small(start[span_at[s]]), _small(span_n[s]))
+            fields = (_small(np.diff(doc_keys[seen_docs], prepend=0)), doc_hashes[seen_docs].astype(np.int32), _small(local[:n]), _small(start[run_at[whole]]), _small(run_n[whole]), _small(sections), packed, names, _small(local[n:]), _small(start[span_at[s]]), _small(span_n[s]))
             yield int(b), press.compress(pickle.dumps(fields, 5))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +285,7 @@ def spans_of_blocks(blocks: DataFrame, space: Space) -> DataFrame:
     def settle(table: pa.Table) -> pa.Table:
         press = zstandard.ZstdDecompressor()
         ids: dict[bytes, int] = {}
-        keys, row_hashes, docs, starts, counts, splits, packed, n_docs = [], [], [], [], [], [], [], 0
+        keys, row_hashes, docs, starts, counts, splits, cuts, packed, n_docs = [], [], [], [], [], [], [], [], 0
         found: list[tuple[np.ndarray, ...]] = []
         for b in table.column("block"):
             key_steps, hashes, doc, start, count, sections, tokens, names, span_doc, span_at, span_n = pickle.loads(press.decompress(b.as_py()))
@@ -277,10 +296,10 @@ def spans_of_blocks(blocks: DataFrame, space: Space) -> DataFrame:
             n_docs += len(hashes)
             starts.append(start.astype(np.int64))
             counts.append(count.astype(np.int64))
-            splits.append(np.concatenate(([0], np.cumsum(sections))))
-            if names is not None and sum(sections):
-                lut = np.array([ids.setdefault(w, len(ids)) for w in names.split(b" ")], np.int32)
-                tokens = [lut[t] for t in tokens]
+            splits.append(np.concatenate(([0], np.cumsum(sections, dtype=np.int64))))
+            cuts.append(np.concatenate(([0], np.cumsum(counts[-1] + space.k - 1)))[splits[-1]])
+            if names is not None and len(tokens):
+                tokens = np.array([ids.setdefault(w, len(ids)) for w in names.split(b" ")], np.int32)[tokens]
             packed.append(tokens)
         values = word_values(ids) if ids else byte_values()  # those that the minimisers were found with
         keys, row_hashes = np.concatenate(keys), np.concatenate(row_hashes)
@@ -296,7 +315,7 @@ def spans_of_blocks(blocks: DataFrame, space: Space) -> DataFrame:
             count = np.concatenate([c[r] for c, r in zip(counts, part)])
             if not len(count):
                 continue
-            tokens = np.concatenate([p[i] for p in packed])
+            tokens = np.concatenate([p[c[i] : c[i + 1]] for p, c in zip(packed, cuts)])
             doc = np.concatenate([d[r] for d, r in zip(docs, part)])
             start = np.concatenate([s[r] for s, r in zip(starts, part)])
             # a run whose minimiser no other run has, and which has it once, holds nothing that repeats
@@ -312,10 +331,15 @@ def spans_of_blocks(blocks: DataFrame, space: Space) -> DataFrame:
             if not len(kept):
                 continue
             tokens = tokens[rows_of_runs(run_at[kept], size[kept])]
-            doc, start, count = doc[kept], start[kept], count[kept]
-            at = rows_of_runs(np.cumsum(size[kept]) - size[kept], count)
+            doc, start, count, size = doc[kept], start[kept], count[kept], size[kept]
+            run_at, windows = np.cumsum(size) - size, window_hash(values[tokens], space.k)
+            # whole runs that equal an earlier one first, then the windows of the others
+            late = later_runs(space, tokens, windows, run_at, count, rank[doc], start)
+            found.append((keys[doc[late]], row_hashes[doc[late]], start[late], count[late]))
+            doc, start, count, run_at = doc[~late], start[~late], count[~late], run_at[~late]
+            at = rows_of_runs(run_at, count)
             begin = rows_of_runs(start, count)
-            late = later_windows(space, tokens, mix(window_hash(values[tokens], space.k)[at]), at, np.repeat(rank[doc], count), begin)
+            late = later_windows(space, tokens, mix(windows[at]), at, np.repeat(rank[doc], count), begin)
             head = np.zeros(len(at), bool)
             head[np.cumsum(count) - count] = True
             span_at, span_n = runs_of_flags(late, head)
@@ -363,10 +387,15 @@ def with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
     return rows.join(own, ["key", "row_hash"], "left").select("doc_id", "text", "spans")
 
 
-def covered(n: int, spans: list[dict] | None, k: int) -> np.ndarray:
+def spans_of(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Starts and counts of each row's spans; none for null."""
+    offsets, flat = column.offsets.to_numpy(), column.values
+    starts, counts = (flat.field(n).to_numpy() for n in ("start", "count"))
+    for begin, end in zip(offsets[:-1], offsets[1:]):
+        yield starts[begin:end], counts[begin:end]
+
+
+def covered(n: int, starts: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
     """Which of n tokens lie in a window of a span."""
-    change = np.zeros(n + 1, np.int32)
-    for s in spans or ():
-        change[s["start"]] += 1
-        change[min(n, s["start"] + s["count"] + k - 1)] -= 1
+    change = np.bincount(starts, minlength=n + 1) - np.bincount(np.minimum(n, starts + counts + k - 1), minlength=n + 1)
     return np.cumsum(change[:n]) > 0
