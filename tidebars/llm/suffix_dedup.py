@@ -124,7 +124,7 @@ def split_bytes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, N
 
 
 def byte_space(length: int, minimiser: int) -> Space:
-    return Space(length, minimiser, True, split_bytes, difference_cover_groups(length), 3_000_000)
+    return Space(length, minimiser, True, split_bytes, difference_cover_groups(length), 2_000_000)
 
 
 def suffix_dedup(docs: DataFrame, length: int = 50, minimiser: int = 12, keep_bytes: bool = False) -> DataFrame:

@@ -7,6 +7,7 @@ to one packed string for each task before the shuffle. The text operators on wor
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
@@ -30,6 +31,13 @@ BLOCK_SCHEMA = "bucket int, block binary"
 SPAN_SCHEMA = "key long, row_hash long, start long, count long"
 
 
+def return_freed_memory() -> None:
+    """Have the C library give arrays of over a megabyte back to the system when they are freed, where it can be told so."""
+    mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
+    if mallopt is not None:
+        mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+
+
 #: Long arrays are worked on in pieces of this length, which stay in a core's cache.
 PIECE = 1 << 15
 
@@ -258,6 +266,7 @@ def packed_blocks(docs: DataFrame, space: Space, n_buckets: int) -> DataFrame:
             yield int(b), press.compress(pickle.dumps(fields, 5))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return_freed_memory()
         keys, hashes, texts, size = [], [], [], 0
 
         def out() -> pa.RecordBatch:
@@ -283,6 +292,7 @@ def spans_of_blocks(blocks: DataFrame, space: Space) -> DataFrame:
     """Spans (key, row_hash, start, count) of later windows: ``count`` consecutive ones from window ``start`` on."""
 
     def settle(table: pa.Table) -> pa.Table:
+        return_freed_memory()
         press = zstandard.ZstdDecompressor()
         ids: dict[bytes, int] = {}
         keys, row_hashes, docs, starts, counts, splits, cuts, packed, n_docs = [], [], [], [], [], [], [], [], 0
