@@ -190,6 +190,21 @@ def test_decontamination_finds_leaks_and_paraphrases(spark, tiny):
     assert kept.columns == docs.columns and kept.count() == len(rows) - len({d for d, _ in want})
 
 
+def test_verbatim_items_of_any_length_are_found_in_a_large_corpus(spark, monkeypatch):
+    rng, counted = np.random.default_rng(4), decontaminate._frequencies
+    # as if every document stood there a million times
+    monkeypatch.setattr(decontaminate, "_frequencies", lambda docs, code: tuple(x * 10**6 for x in counted(docs, code)))
+    common, words = [f"c{i}" for i in range(40)], lambda k, stem: [f"{stem}{i}" for i in rng.integers(0, 5_000, k)]
+    items = [(0, " ".join(words(300, "rare")))] + [(n, " ".join(rng.choice(common, n, replace=False))) for n in (2, 4, 7, 8, 9, 12, 16, 24)] + [(99, "never seen anywhere")]
+    filler = [(i, " ".join([*rng.choice(common, 30), *words(60, "x")])) for i in range(100)]
+    planted = [(1_000 + i, " ".join([*words(37, "y"), x, *words(41, "y")])) for i, x in items[:-1]]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(frame(spark, filler + planted), benchmark).collect()}
+    assert {(1_000 + i, i) for i, _ in items[:-1]} <= found
+    kept = {r["doc_id"] for r in decontaminate.without_contaminated(frame(spark, planted), benchmark).collect()}
+    assert not kept
+
+
 def test_decontamination_without_items_or_documents(spark):
     docs, none = frame(spark, EDGE), spark.createDataFrame([(1, None)], "item_id long, text string")
     assert decontaminate.contaminated(docs, none).count() == 0 and decontaminate.without_contaminated(docs, none).count() == len(EDGE)
