@@ -114,6 +114,48 @@ def test_suffix_dedup(data):
     assert got(suffix_dedup.suffix_dedup(df)) == brute.suffix(rows)
 
 
+def periodic_rows():
+    rng, rows = np.random.default_rng(6), []
+    for i in range(60):
+        unit = ["-", "=-", "ab c", "word ", "".join(map(chr, 97 + rng.integers(0, 26, 39))) if i % 2 else "the period is as long as a window. it is."][i % 5]
+        rows.append((i, f"start{i} " + unit * int(rng.integers(20, 90)) + f" end{i} " + "dull " * int(rng.integers(10, 70))))
+    return rows
+
+
+def test_periodic_text_is_deduplicated(spark):
+    rows = periodic_rows()
+    assert got(suffix_dedup.suffix_dedup(frame(spark, rows))) == brute.suffix(rows)
+    assert got(substring_dedup.substring_dedup(frame(spark, rows))) == brute.substring(rows)
+
+
+@pytest.mark.parametrize("space,line", [(suffix_dedup.byte_space(50, 12), "-" * 200), (substring_dedup.word_space(20, 3), "dull " * 70)])
+def test_copies_of_a_periodic_line_are_settled_before_the_shuffle(spark, space, line):
+    import pickle
+
+    import zstandard
+
+    def sent(n):
+        rows = [(i, i, line) for i in range(n)]
+        blocks = superkmers.packed_blocks(spark.createDataFrame(rows, "key long, row_hash long, text string").coalesce(1), space, 16).collect()
+        return sum(int(pickle.loads(zstandard.ZstdDecompressor().decompress(bytes(b["block"])))[4].sum()) for b in blocks)
+
+    assert 0 < sent(1) and sent(200) == sent(1)
+
+
+def test_windows_with_a_repeated_minimiser():
+    rng = np.random.default_rng(8)
+    for w in (2, 5, 9):
+        for size in (2, 3, 30):
+            grams = rng.integers(1, size + 1, 300).astype(np.uint64)
+            least = superkmers.sliding_min(grams, w)
+            again, moved = superkmers.repeated_minimisers(grams, least, w)
+            places = [np.flatnonzero(grams[s : s + w] == least[s]) + s for s in range(len(least))]
+            assert again.tolist() == [len(p) > 1 for p in places]
+            for s in range(1, len(least)):
+                if len(places[s]) == len(places[s - 1]) == 1 and least[s] == least[s - 1]:
+                    assert moved[s] == (places[s][0] != places[s - 1][0])
+
+
 def test_suffix_order_is_lexicographic():
     rng = np.random.default_rng(5)
     for n in (60, 200, 900):

@@ -3,6 +3,10 @@
 Equal windows have equal minimisers, so they meet in one bucket whatever document they stand in. Inside a
 task, windows that the task itself has seen earlier are settled at once and not sent: groups of copies shrink
 to one packed string for each task before the shuffle. The text operators on words and on bytes both use it.
+
+Periodic text has one minimiser throughout. A window that holds its minimiser more than once is therefore a run
+of its own, dealt by the hash of the whole window, and a run ends where the minimiser is found at another
+place: no run is longer than the grams of a window, so all can be settled before they are sent.
 """
 
 from __future__ import annotations
@@ -99,6 +103,27 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return in_pieces(lambda y: _sliding_min(y, w), x, w)
 
 
+def repeated_minimisers(grams: np.ndarray, least: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of w grams: does it hold its least one twice or more; is that at another place than in the window before.
+
+    Places where a gram is the least of some window come first. Two equal ones in a window are neighbours among
+    those: a window with one between them would hold either of them. The second answer is given only where a
+    place is followed by an equal one exactly w on, as the windows around others differ in the first.
+    """
+    edge = np.zeros(w - 1, _U)
+    place = np.flatnonzero(~sliding_min(~np.concatenate([edge, least, edge]), w) == grams)
+    pair = np.flatnonzero((grams[place[1:]] == grams[place[:-1]]) & (np.diff(place) <= w))
+    p, q = place[pair], place[pair + 1]
+    again, moved = np.zeros(len(least), bool), np.zeros(len(least), bool)
+    begin = np.maximum(q - w + 1, 0)
+    count = np.maximum(np.minimum(p, len(least) - 1) - begin + 1, 0)
+    windows = rows_of_runs(begin, count)
+    again[windows[least[windows] == np.repeat(grams[p], count)]] = True
+    step = p[(q - p == w) & (p + 1 < len(least))] + 1
+    moved[step] = True
+    return again, moved
+
+
 def rows_of_runs(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """starts[0], starts[0]+1, ... (counts[0] of them), then those of the next run, and so on."""
     ends = np.cumsum(counts)
@@ -231,18 +256,23 @@ def packed_blocks(docs: DataFrame, space: Space, n_buckets: int) -> DataFrame:
         ends = np.cumsum(lengths)
         if len(codes) < space.k:
             return
-        least = sliding_min(mix(window_hash(values, space.m)), space.k - space.m + 1)
+        grams, windows = mix(window_hash(values, space.m)), window_hash(values, space.k)
+        least = sliding_min(grams, space.k - space.m + 1)
+        again, moved = repeated_minimisers(grams, least, space.k - space.m + 1)
         doc = np.repeat(np.arange(len(lengths)), lengths)[: len(least)]
         start = np.arange(len(least)) - (ends - lengths)[doc]
         breaks = np.ones(len(least), bool)
-        breaks[1:] = (doc[1:] != doc[:-1]) | (least[1:] != least[:-1])
+        breaks[1:] = (doc[1:] != doc[:-1]) | (least[1:] != least[:-1]) | again[1:] | again[:-1] | moved[1:]
         run_at, run_n = runs_of_flags(np.arange(len(least)) + space.k <= ends[doc], breaks)
         if not len(run_at):
             return
         rank = np.unique(doc_keys, return_inverse=True)[1] if space.by_document else np.arange(len(doc_keys))
-        late = later_runs(space, codes, window_hash(values, space.k), run_at, run_n, rank[doc[run_at]], start[run_at])
+        late = later_runs(space, codes, windows, run_at, run_n, rank[doc[run_at]], start[run_at])
         span_at, span_n, run_at, run_n = run_at[late], run_n[late], run_at[~late], run_n[~late]
-        bucket = (mix(least[run_at]) % _U(n_buckets * SECTIONS)).astype(np.int64)
+        if len(span_at):  # spans that follow one another are one
+            first = np.flatnonzero(np.append(True, (span_at[1:] != span_at[:-1] + span_n[:-1]) | (doc[span_at[1:]] != doc[span_at[:-1]])))
+            span_at, span_n = span_at[first], np.add.reduceat(span_n, first)
+        bucket = (mix(np.where(again[run_at], windows[run_at], least[run_at])) % _U(n_buckets * SECTIONS)).astype(np.int64)
         by = np.argsort(bucket, kind="stable")
         run_at, run_n, bucket = run_at[by], run_n[by], bucket[by]
         edges = np.searchsorted(bucket, np.arange(n_buckets * SECTIONS + 1))
