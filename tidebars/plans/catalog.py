@@ -675,7 +675,7 @@ def _training(spark, sf_dir) -> DataFrame:
 @query()
 def gbt_classify(spark, sf_dir):
     rows = _training(spark, sf_dir).cache()
-    model = models.fit_classifier(rows.where("split = 'train'"), _FEATURES, "target_volatility_high_next_4", models.Settings(5, 0.1, 3, weighted=True))
+    model = models.fit_classifier(rows.where("split = 'train'"), _FEATURES, "target_volatility_high_next_4", models.HIGH_VOLATILITY)
     out = models.predict_classes(model, rows.where("split = 'test'"))
     return out.select("symbol", "ts", "target_volatility_high_next_4", "pred_proba_0", "pred_proba_1", "pred_label")
 
@@ -683,14 +683,14 @@ def gbt_classify(spark, sf_dir):
 @query()
 def gbt_regress(spark, sf_dir):
     rows = _training(spark, sf_dir).cache()
-    model = models.fit_regressor(rows.where("split = 'train'"), _FEATURES, "target_return_next", models.Settings(5, 0.1, 3))
+    model = models.fit_regressor(rows.where("split = 'train'"), _FEATURES, "target_return_next", models.DAY_RETURN)
     return models.predict_values(model, rows.where("split = 'test'")).select("symbol", "ts", "target_return_next", "y_pred")
 
 
 @query()
 def feature_importance(spark, sf_dir):
     rows = _training(spark, sf_dir)
-    model = models.fit_classifier(rows.where("split = 'train'"), _FEATURES, "target_up_next", models.Settings(5, 0.1, 3))
+    model = models.fit_classifier(rows.where("split = 'train'"), _FEATURES, "target_up_next", models.DIRECTION)
     return models.importance(model, _FEATURES, 10)
 
 
