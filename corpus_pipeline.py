@@ -10,18 +10,13 @@ from pyspark.sql import functions as F
 
 from tidebars.llm.common import stored, table
 from tidebars.llm.decontaminate import without_contaminated
-from tidebars.llm.exact_dedup import exact_dedup
-from tidebars.llm.jaccard import jaccard_components
+from tidebars.llm.exact_dedup import without_copies
+from tidebars.llm.jaccard import without_near_copies
 from tidebars.llm.queries import tokenizer_path
 from tidebars.llm.tokens import bpe_round_trip
 from tidebars.llm.toxicity import learn, scorer
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is not among ``dropped``; rows without a doc_id stay."""
-    return docs.join(dropped.where("doc_id IS NOT NULL").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows with a toxicity score below one half; null text counts as empty."""
     score = scorer(learn(docs, table(spark, sf_dir, "labels")))
@@ -29,13 +24,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts (A-Z folded) the row of largest doc_id; of rows that repeat doc_id and text, one."""
-    return _without(docs, exact_dedup(docs).where("NOT kept")).dropDuplicates(["doc_id", "text"])
+    """Of equal texts (A-Z folded) the row of largest doc_id; of rows that repeat its doc_id too, one."""
+    return without_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of rows connected by a 5-word shingle similarity of 0.8 or more, the one of least doc_id."""
-    return _without(docs, jaccard_components(docs, n=5, percent=80).where("doc_id <> component_id"))
+    return without_near_copies(docs, n=5, percent=80)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

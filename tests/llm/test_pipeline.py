@@ -46,3 +46,18 @@ def test_repeated_and_null_rows_pass_the_filters(spark, tiny):
     for _, stage in corpus_pipeline.STAGES:
         docs = stored(stage(spark, docs, tiny), "test")
     assert sorted(str(r["doc_id"]) for r in docs.collect()) == ["1", "3", "None"]
+
+
+def test_repeated_ids_with_other_texts_lose_no_row(spark, tiny):
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, "alpha beta gamma"), (1, "a unique text of row one"), (2, "ALPHA beta gamma"), (2, "alpha beta gamma"), (None, "nobody has this"), (None, "nobody has THIS"), (None, words), (5, words + " end"), (5, "entirely other words here"), (4, words), (4, words), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    kept = lambda f: sorted(((r["doc_id"], r["text"]) for r in stored(f(spark, docs, tiny), "test").collect()), key=str)
+    # equal texts: the largest doc_id stays, once; a null id stays only where no other has the text
+    assert kept(corpus_pipeline.drop_copies) == sorted([(1, "a unique text of row one"), (2, "ALPHA beta gamma"), (None, "nobody has THIS"), (4, words), (5, words + " end"), (5, "entirely other words here"), (None, "")], key=str)
+    # near copies: the least doc_id stays, once; rows without words stay
+    found = kept(corpus_pipeline.drop_near_copies)
+    assert [r for r in found if r[0] is not None] == sorted([(1, "a unique text of row one"), (1, "alpha beta gamma"), (4, words), (5, "entirely other words here")], key=str)
+    assert [r[1].lower() for r in found if r[0] is None] == ["", "nobody has this"]
+    for stage in (corpus_pipeline.drop_toxic, corpus_pipeline.drop_leaks):
+        assert kept(stage) == sorted(rows, key=str)

@@ -313,14 +313,40 @@ def test_pages_against_plain_rules(spark, small):
         fits = [(len(h + p), h + p, v) for v, h, p in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
         rule, verdict = max(fits)[1:] if fits else (None, None)
         f = found[r["page_id"]]
-        assert (f["host"], f["path"], f["rule"]) == (host, path, rule) and f["verdict"] == (verdict or f["verdict"])
-
-
-def test_template_purity_merges_alike_branches(spark):
-    rows = [("h", ["a", "{n}"], 9, 10), ("h", ["b", "{n}"], 18, 20), ("h", ["c", "{n}"], 0, 40), ("h", ["d"], 0, 0)]
-    t = spark.createDataFrame(rows, "host string, template array<string>, blocked long, labelled long")
-    p = {r["template"][0]: r["purity"] for r in url_filter.template_purity(t).collect()}
-    assert p["a"] > 0.8 and p["b"] > 0.8 and p["c"] < 0.2 and 0.2 < p["d"] < 0.8
+        assert (f["host"], f["path"], f["rule"]) == (host, path, rule)
+        # without a rule the tree decides, by labels of the host's own pages: none are blocked where rules block none
+        assert f["verdict"] == (verdict or ("block" if f["purity"] >= url_filter.PURITY else "allow"))
+        assert verdict or f["verdict"] == "allow" or host.endswith("example.com")
+
+
+def planted_urls():
+    """(url, should the tree block it) of a host with spam templates, of which the rules know one in five, and of ordinary pages beside them."""
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(map(chr, 97 + rng.integers(0, 26, 9)))
+    rows = [(f"http://shop.test/win/{word()}/deal-{i}", i % 5 != 0) for i in range(200)]  # open segment, then a number
+    rows += [(f"http://shop.test/about/{w}", False) for w in ("us", "press", "jobs") for _ in range(30)]
+    rows += [(f"http://other.test/win/{word()}/deal-{i}", False) for i in range(50)]  # no labels in this host
+    return rows, [("block", "shop.test", f"/win/{u.split('/')[4]}") for u, tree in rows if "shop" in u and "win" in u and not tree]
+
+
+def test_unruled_pages_of_spam_templates_are_blocked(spark):
+    rows, rules = planted_urls()
+    df = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id long, url string")
+    found = {r["page_id"]: r for r in url_filter.url_verdicts(df, rules).collect()}
+    for i, (u, tree) in enumerate(rows):
+        ruled = "shop" in u and "win" in u and not tree
+        assert (found[i]["rule"] is not None) == ruled and found[i]["verdict"] == ("block" if tree or ruled else "allow")
+    assert len({tuple(found[i]["template"]) for i, (u, _) in enumerate(rows) if "shop.test/win" in u}) == 1
+
+
+def test_branches_that_differ_in_labels_or_shape_stay_apart(spark):
+    urls = [f"http://h.test/a/{i}" for i in range(40)] + [f"http://h.test/b/{i}" for i in range(40)] + [f"http://h.test/c/{i}/deep/er" for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = [("block", "h.test", "/a/"), ("allow", "h.test", "/b/")]
+    found = [r["verdict"] for r in url_filter.url_verdicts(df, rules).orderBy("page_id").collect()]
+    assert found == ["block"] * 40 + ["allow"] * 80
+    one = [r["verdict"] for r in url_filter.url_verdicts(df.where("page_id < 80"), rules[:1]).orderBy("page_id").collect()]
+    assert one == ["block"] * 80  # alike in shape, and no label says otherwise
 
 
 @pytest.mark.parametrize("f", [lambda d: exact_dedup(d), lambda d: substring_dedup.substring_dedup(d), lambda d: suffix_dedup.suffix_dedup(d), lambda d: jaccard.jaccard_components(d), lambda d: tokens.prefix_token_counts(d, PATH), lambda d: tokens.bpe_round_trip(d, PATH), lambda d: token_store.store_and_read(d, PATH)])

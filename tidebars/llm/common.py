@@ -17,12 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that all executors share (spark.checkpoint.dir); a temporary one only where that is unset."""
+    """A new path in the folder that all executors share (spark.checkpoint.dir).
+
+    Where that is unset, a temporary folder serves in local mode, and a cluster's warehouse on a cluster.
+    """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
+    if not base and spark.sparkContext.master.partition("[")[0] == "local":
         base = getattr(shared_path, "own", None)
         if base is None:
             base = shared_path.own = "file://" + tempfile.mkdtemp(prefix="tidebars-")
+    base = base or spark.conf.get("spark.sql.warehouse.dir") + "/_tidebars"
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
@@ -66,14 +70,27 @@ def with_group_totals(rows: DataFrame, key: str, order: str, aggs: dict[str, tup
     return salted.join(spread, [key, "_salt"]).drop("_salt")
 
 
-def spread_join(rows: DataFrame, facts: DataFrame, key: str, order: str, salts: int = 64) -> DataFrame:
+def one_row_each(docs: DataFrame, kept: DataFrame, identity: Column) -> DataFrame:
+    """Rows of docs, all columns, whose doc_id and ``identity`` are in ``kept`` (doc_id, identity), null-safe; of rows that share both, the one of least text.
+
+    A doc_id alone is no identity: rows of one doc_id with other texts are rows of their own.
+    """
+    key = [F.col("doc_id").isNull().alias("_null"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id")]
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    keys = kept.select(*key, F.col("identity").alias("_same"))
+    found = docs.select(whole, *key, identity.alias("_same")).join(keys, ["_null", "_id", "_same"], "left_semi")
+    return found.groupBy("_null", "_id", "_same").agg(F.min_by("_row", F.coalesce(F.col("_row.text"), F.lit(""))).alias("_row")).select("_row.*")
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, key: str | list[str], order: str, salts: int = 64) -> DataFrame:
     """Inner join of rows with one row of facts for each key; rows of a hot key go to up to ``salts`` tasks.
 
     Facts are repeated only for the salts that a key uses.
     """
+    keys = [key] if isinstance(key, str) else key
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(order), F.lit(salts)).cast("int"))
-    used = salted.select(key, "_salt").distinct()
-    return salted.join(used.join(facts, key), [key, "_salt"]).drop("_salt")
+    used = salted.select(*keys, "_salt").distinct()
+    return salted.join(used.join(facts, keys), [*keys, "_salt"]).drop("_salt")
 
 
 def components(edges: DataFrame, label: str) -> DataFrame:

@@ -9,12 +9,14 @@ and each cluster is then compared exactly; a large cluster is compared by pairs
 
 Shingles and sets are told apart by 64-bit hashes. A projection without elements tells nothing and would
 tie unrelated sets together; where a set has three parts or more it is left out. Linked sets agree on about
-half of all parts, so a link is lost only if all of those are empty for both: below 1e-5 for a
-borderline pair with three parts, and below 1e-12 from 24 parts on.
+half of all parts, so a link is lost only if every part that they agree on is empty for both. Where there
+are few parts, or thinly filled ones, the whole scheme is repeated with other partitions of the domain, until the
+chance that a borderline pair is lost in all of them is below ``LOSS``.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
@@ -26,12 +28,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe import in_groups
-from .common import components, shuffle_cleanup, spread_join, stored
+from .common import components, one_row_each, shuffle_cleanup, spread_join, stored
 from .substring_dedup import split_words
-from .superkmers import keyed, mix, rows_of_runs, window_hash
+from .superkmers import NULL_KEY, keyed, mix, rows_of_runs, window_hash
 
-_U = np.uint64
-GROUP_CHARS, BLOCK_ELEMENTS, TASK_ELEMENTS = 4_000_000, 1_000_000, 4_000_000
+_U, _SEED = np.uint64, 0x9E3779B97F4A7C15
+GROUP_CHARS, BLOCK_ELEMENTS, TASK_ELEMENTS, KNOWN_SETS, LOSS = 1_500_000, 500_000, 2_000_000, 100_000, 1e-8
 
 
 @lru_cache(1 << 16)
@@ -44,30 +46,34 @@ def band(size: int, percent: int) -> int:
 
 
 @lru_cache(1 << 12)
-def instance(i: int, percent: int) -> tuple[int, int, np.ndarray]:
-    """n1, n2 and the cell choices of instance i, for sets of bands i - 1 and i."""
-    low = 1
+def instance(i: int, percent: int) -> tuple[int, int, np.ndarray, int]:
+    """n1, n2, the cell choices and the repetitions of instance i, for sets of bands i - 1 and i."""
+    before = low = 1
     for _ in range(i):
-        low = low * 100 // percent + 1
+        before, low = low, low * 100 // percent + 1
     k = 2 * (low * 100 // percent) * (100 - percent) // (100 + percent)
     n1, k2, n2 = (1, 0, 1) if k == 0 else (1, k, k + 3) if k <= 3 else (-(-(k + 1) // 2), 1, 3)
-    return n1, n2, np.array(list(combinations(range(n2), n2 - k2)))
+    # a part of three cells is agreed on by half of all borderline pairs; lost if it is the only one and its projection is empty
+    lost = n1 * 0.515 * 0.485 ** (n1 - 1) * (1 - 2 / (3 * n1)) ** before
+    times = max(1, math.ceil(math.log(LOSS) / math.log(lost))) if n1 >= 3 else 1
+    return n1, n2, np.array(list(combinations(range(n2), n2 - k2))), times
 
 
 def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
     """Signatures of a set of 64-bit elements, for both of its instances."""
     out, own = [], band(len(elements), percent)
     with np.errstate(over="ignore"):
-        values = mix(elements + _U(0x632BE59BD9B4E019))
         for i in (own, own + 1):
-            n1, n2, choices = instance(i, percent)
-            cell = (elements % _U(n1 * n2)).astype(np.int64)
-            sums, counts = np.zeros(n1 * n2, _U), np.bincount(cell, minlength=n1 * n2).reshape(n1, n2)
-            np.add.at(sums, cell, values)
-            chosen = sums.reshape(n1, n2)[:, choices].sum(2)
-            label = mix((_U(i) << _U(40)) + np.arange(chosen.size, dtype=_U)).reshape(chosen.shape)
-            found = mix(chosen + label)
-            out.append(found[counts[:, choices].sum(2) > 0] if n1 >= 3 else found.ravel())
+            n1, n2, choices, times = instance(i, percent)
+            for again in range(times):
+                dealt = mix(elements + _U(again * _SEED & (1 << 64) - 1)) if again else elements
+                cell = (dealt % _U(n1 * n2)).astype(np.int64)
+                sums, counts = np.zeros(n1 * n2, _U), np.bincount(cell, minlength=n1 * n2).reshape(n1, n2)
+                np.add.at(sums, cell, mix(dealt + _U(0x632BE59BD9B4E019)))
+                chosen = sums.reshape(n1, n2)[:, choices].sum(2)
+                label = mix((_U(i) << _U(40)) + (_U(again) << _U(32)) + np.arange(chosen.size, dtype=_U)).reshape(chosen.shape)
+                found = mix(chosen + label)
+                out.append(found[counts[:, choices].sum(2) > 0] if n1 >= 3 else found.ravel())
     return np.concatenate(out)
 
 
@@ -116,7 +122,7 @@ def signature_table(rows: DataFrame, n: int, percent: int) -> DataFrame:
             texts = batch.column(0).to_pylist()
             for s in in_groups(texts, GROUP_CHARS):
                 ids, found = [], []
-                if len(done) > 1_000_000:
+                if len(done) > KNOWN_SETS:
                     done.clear()
                 for elements in shingle_sets(texts[s], n):
                     if len(elements) and (own := set_id(elements)) not in done:
@@ -187,7 +193,9 @@ def cluster_links(members: DataFrame, n: int, percent: int, tasks: int) -> DataF
                 return x
 
             links = [0] * len(ids)
-            for i, j in compare_group(list(shingle_sets(c["text"][s], n)), c["block"][s] if keys[s.start][1] != keys[s.start][2] else [0] * len(ids), percent):
+            texts = c["text"][s]
+            sets = [x for part in in_groups(texts, GROUP_CHARS) for x in shingle_sets(texts[part], n)]
+            for i, j in compare_group(sets, c["block"][s] if keys[s.start][1] != keys[s.start][2] else [0] * len(ids), percent):
                 links[i] += copies[j]
                 links[j] += copies[i]
                 if (a := root(i)) != (b := root(j)):
@@ -200,15 +208,12 @@ def cluster_links(members: DataFrame, n: int, percent: int, tasks: int) -> DataF
     return pairs.groupBy("task").applyInArrow(run, "u long, v long, links long")
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links of every row of docs.
+def jaccard_rows(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, identity, n_shingles, component_id, n_links, kept of every row of docs.
 
-    A row's set holds the distinct n-word shingles of its text (words: runs without x20 and x09-x0D, A-Z folded);
-    shorter texts have one shingle, the whole sequence. Rows link when 100 * common >= percent * union.
-    component_id: the least doc_id reachable by links; n_links: the number of other rows linked with. Null or
-    empty text has an empty set and links with nothing. Rows that repeat are linked with each other, as equal
-    texts are. Null doc_ids take part; they are component_id only where no other id is reachable. Long texts
-    are processed whole, an empty table gives an empty result. Only doc_id and text are read.
+    ``identity``: a hash of the text, which tells rows of one doc_id apart; ``kept``: true for one row of a
+    component, that of least doc_id and then least identity (rows that repeat doc_id and text share it), and for
+    every row with an empty set. The rest is as ``jaccard_components`` says.
     """
     rows = keyed(docs)
     sets = stored(set_table(rows, n), "jaccard-sets")
@@ -217,23 +222,47 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     with shuffle_cleanup(docs.sparkSession):
         pairs = stored(chain.select(F.col("before").alias("u"), F.col("set_id").alias("v")).distinct(), "jaccard-chains")
     clusters = components(pairs, "jaccard-candidates")
-    classes = sets.where("n_shingles > 0").groupBy("set_id").agg(F.min(F.struct("key", "row_hash")).alias("row"), F.max("n_shingles").alias("size"), F.count(F.lit(1)).alias("copies"))
-    members = stored(classes.join(clusters.select(F.col("node").alias("set_id"), F.col("component").alias("cluster")), "set_id").select("set_id", "cluster", "size", "copies", "row.*"), "jaccard-members")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_hash")).alias("first")
+    classes = sets.where("n_shingles > 0").groupBy("set_id").agg(first, F.max("n_shingles").alias("size"), F.count(F.lit(1)).alias("copies"))
+    members = stored(classes.join(clusters.select(F.col("node").alias("set_id"), F.col("component").alias("cluster")), "set_id").select("set_id", "cluster", "size", "copies", F.coalesce("first.doc_id", F.lit(NULL_KEY)).alias("key"), "first.row_hash"), "jaccard-members")
     blocks = members.groupBy("cluster").agg(F.ceil(F.sum("size") / BLOCK_ELEMENTS).cast("int").alias("blocks"))
-    tasks = max(16, int((members.agg(F.sum("size")).first()[0] or 0) / TASK_ELEMENTS))
     placed = members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    # a member is sent once for each block of its cluster
+    tasks = max(16, int((placed.agg(F.sum(F.col("size") * F.col("blocks"))).first()[0] or 0) / TASK_ELEMENTS))
     # one plan at every size: the members grow with the input, so they are never broadcast
     texts = rows.select("key", "row_hash", "text").join(placed.hint("merge"), ["key", "row_hash"]).dropDuplicates(["set_id"])
     links = stored(cluster_links(texts.select("cluster", "set_id", "text", "copies", "block", "blocks"), n, percent, tasks), "jaccard-links")
     found = components(links.where("u <> v").select("u", "v"), "jaccard-components")
     counts = links.where("u = v").groupBy(F.col("u").alias("set_id")).agg(F.sum("links").alias("links"))
-    known = classes.select("set_id", "copies").join(found.select(F.col("node").alias("set_id"), "component"), "set_id", "left").join(counts, "set_id", "left")
-    known = known.select("set_id", F.coalesce("component", "set_id").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    known = classes.select("set_id", "copies", "first").join(found.select(F.col("node").alias("set_id"), "component"), "set_id", "left").join(counts, "set_id", "left")
+    known = known.select("set_id", F.coalesce("component", "set_id").alias("component"), "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    names = spread_join(known.drop("first"), known.groupBy("component").agg(F.min("first").alias("first")), "component", "set_id").drop("component")
     # rows of many copies are spread before they meet what is known of their set
-    full = sets.where("n_shingles > 0").withColumn("spread", F.xxhash64("key", "row_hash"))
-    names = full.groupBy("set_id").agg(F.min("doc_id").alias("least")).join(known, "set_id")
-    least = names.groupBy("component").agg(F.min("least").alias("component_id"))
-    names = names.join(least, "component").select("set_id", "component_id", "n_links")
-    out = spread_join(full, names, "set_id", "spread")
-    empty = sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    return out.select("doc_id", "n_shingles", "component_id", "n_links").unionByName(empty)
+    out = spread_join(sets.where("n_shingles > 0").withColumn("spread", F.xxhash64("key", "row_hash")), names, "set_id", "spread")
+    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row_hash") == F.col("first.row_hash"))
+    out = out.select("doc_id", F.col("row_hash").alias("identity"), "n_shingles", F.col("first.doc_id").alias("component_id"), "n_links", kept.alias("kept"))
+    empty = sets.where("n_shingles = 0").select("doc_id", F.col("row_hash").alias("identity"), "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"))
+    return out.unionByName(empty)
+
+
+def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links of every row of docs.
+
+    A row's set holds the distinct n-word shingles of its text (words: runs without x20 and x09-x0D, A-Z folded);
+    shorter texts have one shingle, the whole sequence. Rows link when 100 * common >= percent * union.
+    component_id: the least doc_id reachable by links; n_links: the number of other rows linked with. Null or
+    empty text has an empty set and links with nothing. Rows that repeat are linked with each other, as equal
+    texts are. Null doc_ids take part; they are component_id only where no other id is reachable. Long texts
+    are processed whole, an empty table gives an empty result. Only doc_id and text are read.
+    """
+    return jaccard_rows(docs, n, percent).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+def without_near_copies(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """Rows of docs, all columns: of each component the one of least doc_id; rows without words all stay.
+
+    Of rows that repeat doc_id and text one stays; rows of one doc_id with other texts are rows of their own.
+    """
+    words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    kept = jaccard_rows(docs, n, percent).where("kept AND n_shingles > 0")
+    return one_row_each(docs.where(words), kept, F.xxhash64("text")).unionByName(docs.where(~words))

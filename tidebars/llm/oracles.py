@@ -49,23 +49,41 @@ SELECT d.doc_id, coalesce(n, 0) AS n_bytes, coalesce(r, 0) AS n_removed, coalesc
 _AFTER = "CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END"
 _FITS = "(host = '{0}' OR host LIKE '%.{0}') AND starts_with(path, '{1}')"
 
+def _decided(name: str, paths: str, child: str, under: str, symbol: str, out: str) -> str:
+    """Common tables that end in ``name``: ``paths`` with the array ``out``, the symbol of each segment of ``child`` in the family of its place in ``under``."""
+    of = "(PARTITION BY host, depth, family)"
+    totals = ", ".join(f"sum({c}) OVER {of} AS f_{c}" for c in ("rows", "blocked", "labelled", "ends", "opens"))
+    return f"""{name}_s AS MATERIALIZED (SELECT host, path, rows, blocked, labelled, depth, {child}[depth + 1] AS own, array_to_string({under}[1:depth], '/') AS family, depth = len({child}) - 1 AS e, coalesce({child}[depth + 2] LIKE '{{%', false) AS o FROM (SELECT *, unnest(range(len({child}))) AS depth FROM {paths})),
+ {name}_n AS (SELECT host, depth, family, own, sum(rows) AS rows, sum(blocked) AS blocked, sum(labelled) AS labelled, coalesce(sum(rows) FILTER (e), 0) AS ends, coalesce(sum(rows) FILTER (o), 0) AS opens FROM {name}_s GROUP BY 1, 2, 3, 4),
+ {name}_f AS (SELECT *, {totals}, count(*) FILTER (rows = 1) OVER {of} AS f_single FROM {name}_n),
+ {name}_d AS (SELECT host, depth, family, own, {symbol} AS symbol FROM {name}_f),
+ {name}_p AS (SELECT s.host, s.path, list(symbol ORDER BY s.depth) AS {out} FROM {name}_s s JOIN {name}_d d ON s.host = d.host AND s.depth = d.depth AND s.family = d.family AND s.own = d.own GROUP BY 1, 2),
+ {name} AS MATERIALIZED (SELECT p.*, coalesce({out}, []) AS {out} FROM {paths} p LEFT JOIN {name}_p q ON p.host = q.host AND p.path = q.path)"""
+
+
+_OPEN = "CASE WHEN own LIKE '{%' THEN own WHEN f_rows >= 8 AND 2 * f_single >= f_rows AND rows * rows <= f_rows THEN '{*}' ELSE own END"
+_ALIKE = "coalesce(abs({0}::DOUBLE / nullif({1}, 0) - f_{0}::DOUBLE / nullif(f_{1}, 0)) <= 1.96e0 * sqrt(f_{0}::DOUBLE / nullif(f_{1}, 0) * (1e0 - f_{0}::DOUBLE / nullif(f_{1}, 0)) * (1e0 / nullif({1}, 0) + 1e0 / nullif(f_{1}, 0))), true)"
+_MERGED = f"CASE WHEN {' AND '.join(_ALIKE.format(x, of) for x, of in (('ends', 'rows'), ('opens', 'rows'), ('blocked', 'labelled')))} THEN '{{~}}' ELSE own END"
+_UNSURE = "0.1e0 * (e.r - e.n)"
+
 URL_FILTER = f"""
 WITH a AS (SELECT page_id, {_AFTER} AS after FROM pages),
  p AS (SELECT page_id, translate(coalesce(regexp_extract(after, '^([^/?#]*)([^?#]*)', 1), ''), '{UPPER}', '{LOWER}') AS host, coalesce(regexp_extract(after, '^([^/?#]*)([^?#]*)', 2), '') AS path FROM a),
- r AS (SELECT *, CASE WHEN {_FITS.format("example.com", "/de/")} THEN 'example.com/de/' WHEN {_FITS.format("example.net", "/en/")} THEN 'example.net/en/' WHEN {_FITS.format("org", "/fr/")} THEN 'org/fr/' WHEN {_FITS.format("net", "/")} THEN 'net/' END AS rule,
-   list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: CASE WHEN regexp_matches(s, '^[0-9a-fA-F-]{{16,}}$') THEN '{{id}}' WHEN length(s) > 40 THEN '{{slug}}' ELSE regexp_replace(s, '[0-9]+', '{{n}}', 'g') END) AS template FROM p),
- j AS (SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS ruled FROM r),
- t AS (SELECT host, template, count(*) FILTER (ruled = 'block') AS blocked, count(ruled) AS labelled FROM j GROUP BY 1, 2),
- u AS (SELECT *, unnest(range(0, len(template) + 1)) AS depth FROM t),
- s AS (SELECT *, array_to_string(template[1:depth], '/') AS node, CASE WHEN depth > 0 THEN array_to_string(template[1:depth - 1], '/') END AS parent FROM u),
- n AS (SELECT host, depth, parent, node, sum(blocked)::DOUBLE AS b, sum(labelled)::DOUBLE AS n FROM s GROUP BY 1, 2, 3, 4),
- f AS (SELECT *, sum(b) OVER o AS fb, sum(n) OVER o AS fn, count(*) OVER o > 32 AS wide FROM n WINDOW o AS (PARTITION BY host, depth, parent)),
- q AS (SELECT *, fb / nullif(fn, 0) AS rate FROM f),
- v AS (SELECT *, coalesce(wide OR n > 0 AND abs(b / nullif(n, 0) - rate) <= 1.96e0 * sqrt(rate * (1 - rate) * (1e0 / nullif(n, 0) + 1e0 / nullif(fn, 0))), false) AS alike FROM q),
- w AS (SELECT *, CASE WHEN alike THEN sum(b) OVER o ELSE b END AS pb, CASE WHEN alike THEN sum(n) OVER o ELSE n END AS pn FROM v WINDOW o AS (PARTITION BY host, depth, parent, alike)),
- x AS (SELECT s.host, s.template, list({{'p': 0e0, 'b': pb, 'n': pn}} ORDER BY s.depth) AS steps FROM s JOIN w ON s.host = w.host AND s.depth = w.depth AND s.node = w.node GROUP BY 1, 2),
- y AS (SELECT host, template, list_reduce(steps, lambda z, e: {{'p': (e.b + 4e0 * (z.p + 0.5e0) / 2) / (e.n + 4e0), 'b': e.b, 'n': e.n}}, {{'p': 0.5e0, 'b': 0e0, 'n': 0e0}}).p AS purity FROM x)
-SELECT page_id, j.host, path, rule, coalesce(ruled, CASE WHEN purity >= 0.8e0 THEN 'block' ELSE 'allow' END) AS verdict FROM j JOIN y ON j.host = y.host AND j.template = y.template"""
+ r AS (SELECT *, CASE WHEN {_FITS.format("example.com", "/de/")} THEN 'example.com/de/' WHEN {_FITS.format("example.net", "/en/")} THEN 'example.net/en/' WHEN {_FITS.format("org", "/fr/")} THEN 'org/fr/' WHEN {_FITS.format("net", "/")} THEN 'net/' END AS rule FROM p),
+ j AS MATERIALIZED (SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS ruled FROM r),
+ g AS MATERIALIZED (SELECT host, path, count(*) AS rows, count(*) FILTER (ruled = 'block') AS blocked, count(ruled) AS labelled,
+   list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: CASE WHEN regexp_matches(s, '^[0-9a-fA-F-]{{16,}}$') THEN '{{id}}' WHEN length(s) > 40 THEN '{{slug}}' ELSE regexp_replace(s, '[0-9]+', '{{n}}', 'g') END) AS shape FROM j GROUP BY 1, 2),
+ {_decided("t1", "g", "shape", "shape", _OPEN.replace("own LIKE '{%' THEN own WHEN ", ""), "f1")},
+ {_decided("t2", "t1", "shape", "f1", _OPEN, "f2")},
+ {_decided("t3", "t2", "f2", "f2", _MERGED, "f3")},
+ {_decided("t4", "t3", "f2", "f3", _MERGED, "template")},
+ t AS (SELECT host, template, sum(rows) AS rows, sum(blocked) AS blocked, sum(labelled) AS labelled FROM t4 GROUP BY 1, 2),
+ s AS (SELECT *, array_to_string(template[1:depth], '/') AS node FROM (SELECT *, unnest(range(0, len(template) + 1)) AS depth FROM t)),
+ n AS (SELECT host, depth, node, sum(blocked)::DOUBLE AS b, sum(labelled)::DOUBLE AS n, sum(rows)::DOUBLE AS r FROM s GROUP BY 1, 2, 3),
+ x AS (SELECT s.host, s.template, list({{'p': 0e0, 'b': b, 'n': n, 'r': r}} ORDER BY s.depth) AS steps FROM s JOIN n ON s.host = n.host AND s.depth = n.depth AND s.node = n.node GROUP BY 1, 2),
+ y AS (SELECT host, template, list_reduce(steps, lambda z, e: {{'p': (e.b + 2e0 * ((z.p + 0.5e0) / 2) + {_UNSURE} * 0.5e0) / (e.n + 2e0 + {_UNSURE}), 'b': e.b, 'n': e.n, 'r': e.r}}, {{'p': 0.5e0, 'b': 0e0, 'n': 0e0, 'r': 0e0}}).p AS purity FROM x)
+SELECT page_id, j.host, j.path, rule, coalesce(ruled, CASE WHEN purity >= 0.8e0 THEN 'block' ELSE 'allow' END) AS verdict
+FROM j JOIN t4 ON j.host = t4.host AND j.path = t4.path JOIN y ON j.host = y.host AND t4.template = y.template"""
 
 ORACLE_SQL: dict[str, str] = {
     "op2_ngram_jaccard": NGRAM_JACCARD,

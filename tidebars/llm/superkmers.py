@@ -292,7 +292,7 @@ def packed_blocks(docs: DataFrame, space: Space, n_buckets: int) -> DataFrame:
             s, sections = span_bucket == b, np.diff(edges[b * SECTIONS : (b + 1) * SECTIONS + 1])
             seen_docs, local = np.unique(np.concatenate([doc[run_at[whole]], doc[span_at[s]]]), return_inverse=True)
             n = whole.stop - whole.start
-            fields = (_small(np.diff(doc_keys[seen_docs], prepend=0)), doc_hashes[seen_docs].astype(np.int32), _small(local[:n]), _small(start[run_at[whole]]), _small(run_n[whole]), _small(sections), packed, names, _small(local[n:]), _small(start[span_at[s]]), _small(span_n[s]))
+            fields = (_small(np.diff(doc_keys[seen_docs], prepend=0)), doc_hashes[seen_docs], _small(local[:n]), _small(start[run_at[whole]]), _small(run_n[whole]), _small(sections), packed, names, _small(local[n:]), _small(start[span_at[s]]), _small(span_n[s]))
             yield int(b), press.compress(pickle.dumps(fields, 5))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -410,9 +410,9 @@ def byte_values() -> np.ndarray:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, key, row_hash, text: null doc_id as the least key, null text as empty."""
+    """doc_id, key, row_hash, text: null doc_id as the least key, null text as empty. Rows are told apart by key and a 64-bit hash of the text."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("key"), F.hash(text).cast("long").alias("row_hash"), text.alias("text"))
+    return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("key"), F.xxhash64(text).alias("row_hash"), text.alias("text"))
 
 
 def bucket_count(docs: DataFrame, bytes_a_bucket: int, growth: float = 3.3) -> int:
