@@ -89,19 +89,28 @@ def test_token_store(data, library):
 
 def test_perfect_hash_is_minimal_and_rejects_strangers():
     doc, copy = np.arange(5_000) * 7 - 900, np.zeros(5_000, np.int64)
-    sizes, bits, slot = token_store.build_index(doc, copy)
-    assert sorted(slot) == list(range(5_000)) and (token_store.find_slots(doc, copy, sizes, bits) == slot).all()
+    sizes, bits, before, slot = token_store.build_index(doc, copy)
+    assert sorted(slot) == list(range(5_000)) and (token_store.find_slots(doc, copy, sizes, bits, before) == slot).all()
     prints = token_store._print_of(doc, copy)[np.argsort(slot)]
-    at = token_store.find_slots(doc, copy + 1, sizes, bits)
+    at = token_store.find_slots(doc, copy + 1, sizes, bits, before)
     assert ((at < 0) | (prints[np.maximum(at, 0)] != token_store._print_of(doc, copy + 1))).all()
     with pytest.raises(ValueError):
         token_store.build_index(np.zeros(2, np.int64), np.zeros(2, np.int64))
 
 
 def test_stored_ids_are_read_by_key(spark):
-    store = token_store.write_store(frame(spark, EDGE), PATH)
-    rows = store.read(spark.createDataFrame([(4, 0), (99, 0)], "doc_id long, copy long")).collect()
-    assert [(r["key"], np.frombuffer(r["ids"], "<u4")[-1]) for r in rows] == [(4, 0)]
+    rows = EDGE + [(i, f"text number {i}") for i in range(100, 400)]
+    store = token_store.write_store(frame(spark, rows).repartition(6), PATH)
+    few = store.read(spark.createDataFrame([(4, 0), (99, 0), (250, 0)], "doc_id long, copy long"))
+    assert sorted((r["key"], np.frombuffer(r["ids"], "<u4")[-1]) for r in few.collect()) == [(4, 0), (250, 0)]
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(shard" in plan or "PartitionFilters: [shard" in plan  # one directory for each shard that is asked for
+    assert any("payload" in scan and "part" in scan and "block" in scan for scan in plan.split("PushedFilters: ")[1:])  # and of the payload its buckets and blocks
+    many = store.read(spark.createDataFrame([(i, 0) for i, _ in rows], "doc_id long, copy long"))
+    assert many.count() == len(rows)
+    index = store.index().count()
+    store.drop()
+    assert index >= 1 and not spark.catalog.tableExists(store.blocks_table)
 
 
 def test_substring_dedup(data):
@@ -286,6 +295,37 @@ def test_toxicity_without_labels_and_edges(spark):
     assert len(rows) == len(EDGE) + 2 and all(r["predicted"] == 0 for r in rows)
 
 
+def test_scores_equal_a_plain_count_of_terms(spark, small):
+    docs, rows = documents(spark, small)
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    lexicon = toxicity.learn(docs, labels)
+    assert lexicon.weights
+    c, a, b = lexicon.curve
+    found = {r["doc_id"]: r for r in toxicity.toxicity(docs, labels).collect()}
+    for i, text in rows:
+        folded = toxicity.fold(text or "")
+        if len(folded) > 3_000:
+            continue
+        total = max(0.0, sum(w * sum(folded.startswith(term, at) for at in range(len(folded))) for term, w in lexicon.weights.items() if term in folded))
+        score = 1 / (1 + np.exp(-np.clip(c + a * np.log1p(total) + b * np.log1p(100 * total / max(1, len(folded.split()))), -30, 30)))
+        assert abs(found[i]["score"] - score) < 1e-9 and found[i]["predicted"] == int(score >= 0.5)
+        assert found[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0)
+
+
+def test_lexicon_weights_are_log_odds_of_the_training_rows(spark, small):
+    docs, rows = documents(spark, small)
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    toxic = {r["doc_id"]: r["toxic"] for r in labels.collect() if r["toxic"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5}
+    terms = {i: toxicity._terms(toxicity.fold(t or "")) for i, t in rows if i in toxic}
+    n = [sum(toxic[i] == y for i in terms) for y in (0, 1)]
+    weights = toxicity.learn(docs, labels).weights
+    words = [t for t in weights if " " not in t.strip()]
+    assert words
+    for term in words:
+        k = [sum(term in ts for i, ts in terms.items() if toxic[i] == y) for y in (0, 1)]
+        assert k[1] >= toxicity.MIN_DOCS and abs(weights[term] - (np.log((k[1] + 0.5) / (n[1] + 1)) - np.log((k[0] + 0.5) / (n[0] + 1)))) < 1e-9
+
+
 def test_exception_phrases_take_weight_back():
     lexicon = toxicity.Lexicon({" idiot ": 5.0, " such idiot ": -5.0}, (-2.0, 2.0, 0.0))
     m = lexicon.matcher()
@@ -364,3 +404,56 @@ def test_components_and_spreading(spark):
     total = with_group_totals(rows, "k", "id", {"n": (F.count(F.lit(1)), F.sum("n"))}, 8)
     assert total.count() == 100 and {r["n"] for r in total.collect()} == {50}
     assert spread_join(rows, rows.groupBy("k").agg(F.max("id").alias("m")), "k", "id", 8).count() == 100
+
+
+def brute_contaminated(texts, items):
+    """All (document, item) pairs by the stated criteria, every window of every text compared with every item."""
+    found = set()
+    for d, t in texts:
+        words = decontaminate.words_of(t)
+        for i, x in items:
+            item, answer = decontaminate.words_of(x), decontaminate.answer_of(x)
+            n, masks, masks_a = len(item), decontaminate.masks_of(item), decontaminate.masks_of(answer)
+            for at in range(max(1, len(words) - n + 1)):
+                part = words[at : at + 2 * n]
+                share = float(part[:n] == item) if n < decontaminate.SHORT else decontaminate.common_length(masks, n, part) / n
+                if share >= decontaminate.VERBATIM or share >= decontaminate.PARAPHRASE and decontaminate.common_length(masks_a, len(answer), part) >= decontaminate.ANSWER * len(answer):
+                    found.add((d, i))
+                    break
+    return found
+
+
+@pytest.fixture(scope="module")
+def leaks(spark, tiny):
+    """Documents that hold items of many lengths, verbatim and with words replaced."""
+    rng, (docs, rows) = np.random.default_rng(12), documents(spark, tiny)
+    filler = [w for _, t in rows for w in (t or "").split()][:20_000]
+    some = lambda k: [filler[i] for i in rng.integers(0, len(filler), k)]
+    items = [(n * 100 + j, " ".join(some(n - n // 3)) + ". " * (n > 3) + " ".join(some(n // 3))) for n in (2, 4, 6, 8, 12, 24, 40, 90) for j in range(6)]
+    texts = []
+    for i, x in items:
+        for share in (0.0, 0.1, 0.2, 0.3):
+            words = [w if rng.random() >= share else str(some(1)[0]) for w in x.split()]
+            texts.append((len(texts), " ".join(some(int(rng.integers(0, 60))) + words + some(int(rng.integers(0, 90))))))
+    texts += [(len(texts) + 1, None), (len(texts) + 2, ""), (len(texts) + 3, "one"), (0, texts[5][1]), (len(texts) + 4, " ".join(some(20_000)) + " " + items[30][1])]
+    return items, texts
+
+
+def test_recall_of_leaks_against_brute_force(spark, leaks):
+    items, texts = leaks
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(frame(spark, texts), benchmark).collect()}
+    want = brute_contaminated([(d, t or "") for d, t in texts], items)
+    assert found <= want and len(found) >= 0.97 * len(want)
+    verbatim = {(4 * k, i) for k, (i, _) in enumerate(items)}
+    assert verbatim <= found and (len(texts) - 1, items[30][0]) in found
+
+
+def test_parts_of_items_and_blocks_change_no_result(spark, leaks, monkeypatch):
+    items, texts = leaks
+    benchmark, df = spark.createDataFrame(items, "item_id long, text string"), frame(spark, texts)
+    whole = sorted(map(str, decontaminate.contaminated(df, benchmark).select("doc_id", "item_id", "item_share", "answer_share").collect()))
+    monkeypatch.setattr(decontaminate, "ITEM_BYTES", 2_000)
+    monkeypatch.setattr(decontaminate, "ITEMS_AT_ONCE", 7)
+    assert len(list(decontaminate.build_indexes(df, benchmark))) > 2
+    assert sorted(map(str, decontaminate.contaminated(df, benchmark).select("doc_id", "item_id", "item_share", "answer_share").collect())) == whole

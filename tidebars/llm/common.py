@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +19,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Spark sends Python workers this many bytes at a time, so that neither side holds thousands of long texts.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Set the session's limit of Arrow batches to ``BATCH_BYTES``, if it is higher. It is set once and stays: no result depends on it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
+def lean(run: Callable) -> Callable:
+    """Have a function of a Python worker, on batches or on one table, leave no freed memory with the worker, which Spark keeps for later tasks."""
+
+    @wraps(run)
+    def wrapped(given):
+        c = ctypes.CDLL(None)
+        if hasattr(c, "mallopt"):
+            c.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: arrays of over a megabyte go back when they are freed
+        out = run(given)
+        if isinstance(out, Iterator):
+            return _to_the_end(out)
+        _give_back()
+        return out
+
+    return wrapped
+
+
+def _to_the_end(out: Iterator) -> Iterator:
+    try:
+        yield from out
+    finally:
+        _give_back()
+
+
+def _give_back() -> None:
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    c = ctypes.CDLL(None)
+    if hasattr(c, "malloc_trim"):
+        c.malloc_trim(0)
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
     """A new path in the folder that all executors share (spark.checkpoint.dir).
 
