@@ -19,14 +19,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import in_groups
+from .common import bounded_batches, lean, stored
+
 #: Letters of other alphabets that look like Latin ones, and signs used in their place.
 HOMOGLYPHS = {
     "а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "к": "k", "м": "m", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y", "х": "x", "ѵ": "v", "ԝ": "w",
     "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ω": "w", "ı": "i", "ɡ": "g", "ł": "l", "ø": "o", "ß": "s",
 }
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "i", "l": "i"}
-#: Training rows are bounded by this many, drawn by hash; the lexicon by this many terms.
-SAMPLE, TERMS = 20_000, 2_000
+#: Training rows are bounded by this many, drawn by hash. Terms and phrases are all those that pass the tests below.
+SAMPLE, GROUP_CHARS = 20_000, 500_000
 MIN_DOCS, MIN_WEIGHT, MIN_RATIO, STEMS = 5, 1.5, 24.0, (4, 5, 6, 7)
 
 _SPACED = {c: " " for c in range(128) if not chr(c).isalnum()}
@@ -115,15 +118,18 @@ def held_out(doc_id: Column) -> Column:
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
     """Fit lexicon, exceptions and curve on the training rows. No toxic or no other rows: an empty lexicon."""
-    train = training_rows(docs, labels, sample)
+    bounded_batches(docs.sparkSession)
+    train = stored(training_rows(docs, labels, sample), "toxicity-training")
 
+    @lean
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sums = {0: Counter(), 1: Counter()}
-            for text, toxic in zip(b["text"], b["toxic"]):
-                sums[int(toxic > 0)].update(_terms(fold(text)) | {""})
-            yield pd.DataFrame([(t, sums[1][t], sums[0][t]) for t in sums[1].keys() | {""}], columns=["term", "pos", "neg"])
-            yield pd.DataFrame([(t, 0, n) for t, n in sums[0].items() if t not in sums[1] and t], columns=["term", "pos", "neg"])
+            texts, toxic = b["text"].tolist(), b["toxic"].tolist()
+            for s in in_groups(texts, GROUP_CHARS):
+                sums = {0: Counter(), 1: Counter()}
+                for text, y in zip(texts[s], toxic[s]):
+                    sums[int(y > 0)].update(_terms(fold(text)) | {""})
+                yield pd.DataFrame([(t, sums[1][t], sums[0][t]) for t in sums[0].keys() | sums[1].keys()], columns=["term", "pos", "neg"])
 
     counts = train.mapInPandas(count, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     p, n = F.col("pos") + 0.5, F.col("neg") + 0.5
@@ -135,9 +141,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
     expected = (F.col("pos") + F.col("neg")) * (n_pos / (n_pos + n_neg))
     ratio = 2 * (F.col("pos") * F.log(F.col("pos") / expected) + F.coalesce(F.col("neg") * F.log(F.nullif(F.col("neg"), F.lit(0)) / (F.col("pos") + F.col("neg") - expected)), F.lit(0.0)))
     strong = counts.where((F.col("term") != "") & (F.col("pos") >= MIN_DOCS) & (weight >= MIN_WEIGHT) & (ratio >= MIN_RATIO))
-    lexicon = Lexicon(_weights(strong.orderBy(ratio.desc(), "term").limit(TERMS).toPandas(), n_pos, n_neg))
+    lexicon = Lexicon(_weights(strong.orderBy("term").toPandas(), n_pos, n_neg))
     words = lexicon.weights
 
+    @lean
     def phrases(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = Counter()
@@ -149,10 +156,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
             yield pd.DataFrame([(*k, v) for k, v in rows.items()], columns=["phrase", "term", "toxic", "n"])
 
     seen = train.mapInPandas(phrases, "phrase string, term string, toxic int, n long").groupBy("phrase", "term").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("neg"))
-    harmless = seen.where((F.col("neg") >= MIN_DOCS) & (F.col("pos") * n_neg < F.col("neg") * n_pos)).orderBy(F.desc("neg"), "phrase").limit(TERMS).collect()
+    harmless = seen.where((F.col("neg") >= MIN_DOCS) & (F.col("pos") * n_neg < F.col("neg") * n_pos)).orderBy("phrase", "term").collect()
     for r in harmless:
         words[r["phrase"]] = words.get(r["phrase"], 0.0) - words[r["term"]]
 
+    @lean
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matcher = lexicon.matcher()
         for b in batches:
