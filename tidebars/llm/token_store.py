@@ -2,9 +2,11 @@
 
 Payload: blocks of raw little-endian unsigned 32-bit ids, in ascending doc_id order, each document followed by
 an end id. A block row also lists its documents and their lengths. Index: document keys are dealt to
-shards by hash; a shard holds a minimal perfect hash (levels of bit sets, ranked by bit counts), and for each
-slot a stored 32-bit fingerprint and the document's block, offset, length and start in the whole id sequence.
-A lookup costs a few hashes and one slot, whatever the size of the store.
+shards by hash; a shard holds a minimal perfect hash (levels of bit sets, with the number of bits before each
+64-bit word), and for each slot a stored 32-bit fingerprint and the document's block, offset, length and start in the
+whole id sequence. A key costs a few hashes, one word and one slot of its shard. Shards are directories of
+the index and parts of the payload are buckets of its table, so a few keys cost a few files, of bounded size,
+whatever the size of the store.
 """
 
 from __future__ import annotations
@@ -21,10 +23,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .bpe import SPLIT_TEXT, Vocabulary
-from .common import shared_path
+from .common import lean, shared_path
 from .tokens import _raw
 
-BLOCK_TOKENS, KEYS_PER_SHARD = 1 << 18, 50_000
+#: Up to FEW shards or blocks are named in the filter of a scan; beyond, all are read, with the same result.
+BLOCK_TOKENS, KEYS_PER_SHARD, FEW = 1 << 18, 200_000, 64
 _U = np.uint64
 
 
@@ -38,13 +41,13 @@ def key_hash(doc: np.ndarray, copy: np.ndarray, seed: int) -> np.ndarray:
         return x ^ (x >> _U(31))
 
 
-def build_index(doc: np.ndarray, copy: np.ndarray) -> tuple[list[int], bytes, np.ndarray]:
-    """Level sizes, level bits and the slot of each key. Keys must be distinct."""
-    left, slot, sizes, bits, used = np.arange(len(doc)), np.zeros(len(doc), np.int64), [], [], 0
+def build_index(doc: np.ndarray, copy: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+    """Level sizes, level bits as 64-bit words, bits set before each word, and the slot of each key. Keys must be distinct."""
+    left, slot, sizes, words, used = np.arange(len(doc)), np.zeros(len(doc), np.int64), [], [], 0
     while len(left):
         if len(sizes) > 64:
             raise ValueError("keys are not distinct")
-        size = -(-max(64, 2 * len(left)) // 8) * 8
+        size = -(-2 * len(left) // 64) * 64
         at = (key_hash(doc[left], copy[left], len(sizes)) % _U(size)).astype(np.int64)
         alone = np.bincount(at, minlength=size) == 1
         rank = np.cumsum(alone) - 1 + used
@@ -52,20 +55,23 @@ def build_index(doc: np.ndarray, copy: np.ndarray) -> tuple[list[int], bytes, np
         slot[left[placed]] = rank[at[placed]]
         used += int(alone.sum())
         sizes.append(size)
-        bits.append(np.packbits(alone).tobytes())
+        words.append(np.packbits(alone, bitorder="little").view("<u8"))
         left = left[~placed]
-    return sizes, b"".join(bits), slot
+    bits = np.concatenate([np.zeros(0, "<u8"), *words])
+    counts = np.bitwise_count(bits).astype(np.int64)
+    return sizes, bits, np.cumsum(counts) - counts, slot
 
 
-def find_slots(doc: np.ndarray, copy: np.ndarray, sizes: list[int], bits: bytes) -> np.ndarray:
+def find_slots(doc: np.ndarray, copy: np.ndarray, sizes: list[int], bits: np.ndarray, before: np.ndarray) -> np.ndarray:
     """Slot of each key; -1 if no level holds it. Unknown keys may get a slot: fingerprints tell."""
-    slot, left, at, used = np.full(len(doc), -1, np.int64), np.arange(len(doc)), 0, 0
+    slot, left, base = np.full(len(doc), -1, np.int64), np.arange(len(doc)), 0
     for level, size in enumerate(sizes):
-        set_bits = np.unpackbits(np.frombuffer(bits, np.uint8, size // 8, at)).astype(bool)
-        pos = (key_hash(doc[left], copy[left], level) % _U(size)).astype(np.int64)
-        hit = set_bits[pos]
-        slot[left[hit]] = (np.cumsum(set_bits) - 1 + used)[pos[hit]]
-        used, at, left = used + int(set_bits.sum()), at + size // 8, left[~hit]
+        pos = key_hash(doc[left], copy[left], level) % _U(size)
+        word, bit = (pos >> _U(6)).astype(np.int64) + base, pos & _U(63)
+        hit = (bits[word] >> bit & _U(1)).astype(bool)
+        word, bit = word[hit], bit[hit]
+        slot[left[hit]] = before[word] + np.bitwise_count(bits[word] & ((_U(1) << bit) - _U(1)))
+        base, left = base + size // 64, left[~hit]
     return slot
 
 
@@ -96,15 +102,35 @@ def _print_of(doc: np.ndarray, copy: np.ndarray) -> np.ndarray:
 
 @dataclass
 class TokenStore:
-    """Names where a store lies: a bucketed table of blocks and a Parquet index."""
+    """Names where a store lies: a bucketed table of blocks and a Parquet index with a directory for each shard."""
 
     spark: SparkSession
     blocks_table: str
     index_path: str
     n_shards: int
 
-    def lookup(self, keys: DataFrame) -> DataFrame:
-        """Places of the keys (doc_id, copy): doc_id, copy, block, offset, length, start. Unknown keys give no row."""
+    def drop(self) -> None:
+        """Remove the store from the catalog and its files."""
+        paths = [self.spark.sql(f"DESCRIBE EXTENDED {self.blocks_table}").where("col_name = 'Location'").first()["data_type"], self.index_path]
+        self.spark.sql(f"DROP TABLE {self.blocks_table}")
+        jvm = self.spark.sparkContext._jvm
+        for p in paths:
+            path = jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def index(self, asked: DataFrame | None = None) -> DataFrame:
+        """The shards of the index; of those that ``asked`` names, only they where they are few."""
+        whole = self.spark.read.schema(INDEX_SCHEMA).parquet(self.index_path)
+        if asked is None:
+            return whole
+        some = [r["shard"] for r in asked.select("shard").distinct().limit(FEW + 1).collect()]
+        return whole.where(F.col("shard").isin(some)) if len(some) <= FEW else whole
+
+    def lookup(self, keys: DataFrame, prune: bool = True) -> DataFrame:
+        """Places of the keys (doc_id, copy): key, copy, block, offset, length, start. Unknown keys give no row.
+
+        ``prune``: ask first which shards are needed, and read no others where they are few.
+        """
 
         def find(key: tuple, asked: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
             empty = pd.DataFrame({"key": [], "copy": [], "block": [], "offset": [], "length": [], "start": []}).astype("int64")
@@ -112,36 +138,42 @@ class TokenStore:
                 return empty
             row = shard.iloc[0]
             doc, copy = asked["key"].to_numpy(), asked["copy"].to_numpy()
-            slot = find_slots(doc, copy, list(row["sizes"]), row["bits"])
-            known = (slot >= 0) & (np.frombuffer(row["prints"], np.uint32)[np.maximum(slot, 0)] == _print_of(doc, copy))
-            places = {n: np.frombuffer(row[n], np.int64)[slot[known]] for n in ("block", "offset", "length", "start")}
+            slot = find_slots(doc, copy, list(row["sizes"]), np.frombuffer(row["bits"], "<u8"), np.frombuffer(row["before"], "<i8"))
+            known = (slot >= 0) & (np.frombuffer(row["prints"], "<u4")[np.maximum(slot, 0)] == _print_of(doc, copy))
+            places = {n: np.frombuffer(row[n], "<i8")[slot[known]] for n in ("block", "offset", "length", "start")}
             return pd.DataFrame({"key": doc[known], "copy": copy[known]} | places)
 
-        index = self.spark.read.parquet(self.index_path)
         asked = keys.select(_key("doc_id").alias("key"), F.col("copy").cast("long").alias("copy")).withColumn("shard", _shard(self.n_shards))
-        return asked.groupBy("shard").cogroup(index.groupBy("shard")).applyInPandas(find, "key long, copy long, block long, offset long, length long, start long")
+        return asked.groupBy("shard").cogroup(self.index(asked if prune else None).groupBy("shard")).applyInPandas(find, "key long, copy long, block long, offset long, length long, start long")
 
     def checksums(self, keys: DataFrame) -> DataFrame:
-        """doc key, copy, start, n_tokens and ids_crc32 of the stored ids of the keys, read through the index.
+        """doc key, copy, start, n_tokens and ids_crc32 of the stored ids of many keys, read through the index.
 
-        Places meet the bucketed blocks without moving the payload, and ids are cut out of a block in the JVM.
+        Places meet the payload by its buckets, without moving it, and ids are cut out of a block in the JVM.
         """
-        places = self.lookup(keys).groupBy("block").agg(F.collect_list(F.struct("key", "copy", "offset", "length", "start")).alias("places"))
-        payload = self.spark.table(self.blocks_table).select("block", "payload")
+        places = self.lookup(keys, prune=False).groupBy("block").agg(F.collect_list(F.struct("key", "copy", "offset", "length", "start")).alias("places"))
+        by_part = places.groupBy(_part("block").alias("part")).agg(F.map_from_entries(F.collect_list(F.struct("block", "places"))).alias("held"))
+        payload = self.spark.table(self.blocks_table).select("part", "block", "payload")
+
         def cut(block, p):
             return F.struct(p["key"].alias("key"), p["copy"].alias("copy"), p["start"].alias("start"), p["length"].alias("n_tokens"), F.crc32(F.substring(block, (p["offset"] * 4 + 1).cast("int"), (p["length"] * 4).cast("int"))).alias("ids_crc32"))
 
         # through a lambda variable a block is taken out of its row once, not once for each document
         crc = F.flatten(F.transform(F.array("payload"), lambda block: F.transform("places", lambda p: cut(block, p))))
-        return payload.join(places.hint("shuffle_hash"), "block").select(F.explode(crc).alias("d")).select("d.*")
+        met = payload.join(by_part.hint("shuffle_hash"), "part").select("payload", F.try_element_at("held", "block").alias("places"))
+        return met.where("places IS NOT NULL").select(F.explode(crc).alias("d")).select("d.*")
 
     def read(self, keys: DataFrame) -> DataFrame:
-        """doc key, copy and ids (binary, 4 bytes each) of the keys."""
-        places = self.lookup(keys)
-        payload = self.spark.table(self.blocks_table).select("block", "payload")
-        return payload.join(places.hint("shuffle_hash"), "block").select("key", "copy", F.substring("payload", (F.col("offset") * 4 + 1).cast("int"), (F.col("length") * 4).cast("int")).alias("ids"))
+        """doc key, copy and ids (binary, 4 bytes each) of the keys. A few keys cost a few shards and buckets."""
+        places = self.lookup(keys).withColumn("part", _part("block"))
+        payload = self.spark.table(self.blocks_table).select("part", "block", "payload")
+        some = places.select("part", "block").distinct().limit(FEW + 1).collect()
+        if len(some) <= FEW:
+            payload = payload.where(F.col("part").isin([r["part"] for r in some]) & F.col("block").isin([r["block"] for r in some]))
+        return payload.join(places, ["part", "block"]).select("key", "copy", F.substring("payload", (F.col("offset") * 4 + 1).cast("int"), (F.col("length") * 4).cast("int")).alias("ids"))
 
 
+INDEX_SCHEMA = "n_keys long, sizes array<long>, bits binary, before binary, prints binary, block binary, offset binary, length binary, start binary, shard int"
 #: A null doc_id is stored under this key, ahead of all others as nulls sort.
 NULL_KEY = -(1 << 63)
 
@@ -150,6 +182,10 @@ def _key(name: str):
     return F.coalesce(F.col(name).cast("long"), F.lit(NULL_KEY))
 
 
+def _part(block: str):
+    return F.shiftright(block, 32).cast("int")
+
+
 def _shard(n: int):
     return F.pmod(F.xxhash64("key", "copy"), F.lit(n)).cast("int")
 
@@ -163,6 +199,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> TokenS
     """
     spark, raw = docs.sparkSession, _raw(docs, tokenizer_path)
 
+    @lean
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -197,28 +234,29 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> TokenS
     blocks = ordered.mapInArrow(encode, "block long, part int, part_start long, keys array<long>, copies array<int>, lengths array<long>, offsets array<long>, payload binary")
     name = "token_blocks_" + shared_path(spark, "x").rsplit("-", 1)[1]
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    blocks.write.bucketBy(buckets, "block").option("path", shared_path(spark, "token-blocks")).option("compression", "zstd").option("parquet.enable.dictionary", "false").saveAsTable(name)
+    # a task writes one part, so there are as many files as tasks
+    blocks.write.bucketBy(buckets, "part").option("path", shared_path(spark, "token-blocks")).option("compression", "zstd").option("parquet.enable.dictionary", "false").saveAsTable(name)
     written = spark.table(name)
     # totals of the parts: as many rows as the writing job had tasks
     parts = written.groupBy("part").agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"), F.sum(F.size("keys")).alias("docs"))
-    bases = parts.select("part", "docs", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("base"))
+    bases = parts.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("base"))
     n_shards = max(16, (parts.agg(F.sum("docs")).first()[0] or 0) // KEYS_PER_SHARD)
     zipped = F.explode(F.arrays_zip("keys", "copies", "lengths", "offsets")).alias("e")
     entries = (
-        written.join(bases.select("part", "base"), "part")
+        written.join(bases, "part")
         .select("block", (F.col("base") + F.col("part_start")).alias("block_start"), zipped)
         .select(F.col("e.keys").alias("key"), F.col("e.copies").cast("long").alias("copy"), "block", F.col("e.offsets").alias("offset"), F.col("e.lengths").alias("length"), (F.col("block_start") + F.col("e.offsets")).alias("start"))
     )
 
     def build(key: tuple, keys: pd.DataFrame) -> pd.DataFrame:
         doc, copy = keys["key"].to_numpy(), keys["copy"].to_numpy()
-        sizes, bits, slot = build_index(doc, copy)
+        sizes, bits, before, slot = build_index(doc, copy)
         order = np.argsort(slot)
-        filled = {n: keys[n].to_numpy(np.int64)[order].tobytes() for n in ("block", "offset", "length", "start")}
-        return pd.DataFrame([{"shard": key[0], "n_keys": len(doc), "sizes": sizes, "bits": bits, "prints": _print_of(doc, copy)[order].tobytes()} | filled])
+        filled = {n: keys[n].to_numpy("<i8")[order].tobytes() for n in ("block", "offset", "length", "start")}
+        return pd.DataFrame([{"n_keys": len(doc), "sizes": sizes, "bits": bits.tobytes(), "before": before.astype("<i8").tobytes(), "prints": _print_of(doc, copy)[order].astype("<u4").tobytes()} | filled | {"shard": key[0]}])
 
     index_path = shared_path(spark, "token-index")
-    entries.withColumn("shard", _shard(n_shards)).groupBy("shard").applyInPandas(build, "shard int, n_keys long, sizes array<long>, bits binary, prints binary, block binary, offset binary, length binary, start binary").write.parquet(index_path)
+    entries.withColumn("shard", _shard(n_shards)).groupBy("shard").applyInPandas(build, INDEX_SCHEMA).write.partitionBy("shard").parquet(index_path)
     return TokenStore(spark, name, index_path, n_shards)
 
 
