@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe import in_groups
-from .common import components, one_row_each, shuffle_cleanup, spread_join, stored
+from .common import components, lean, one_row_each, shuffle_cleanup, spread_join, stored
 from .substring_dedup import split_words
 from .superkmers import NULL_KEY, keyed, mix, rows_of_runs, window_hash
 
@@ -101,6 +101,7 @@ def set_id(elements: np.ndarray) -> int:
 def set_table(rows: DataFrame, n: int) -> DataFrame:
     """doc_id, key, row_hash, n_shingles, set_id for every row of ``keyed``."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, ids, texts = [], [], batch.column(3).to_pylist()
@@ -116,6 +117,7 @@ def set_table(rows: DataFrame, n: int) -> DataFrame:
 def signature_table(rows: DataFrame, n: int, percent: int) -> DataFrame:
     """(signature, set_id) of every distinct set; a task gives those of equal sets that it meets close together once."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for batch in batches:
@@ -172,6 +174,7 @@ def cluster_links(members: DataFrame, n: int, percent: int, tasks: int) -> DataF
     pairs = members.withColumn("other", F.explode(other)).select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set_id", "copies", "text")
     pairs = pairs.withColumn("task", F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(tasks)).cast("int"))
 
+    @lean
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("cluster", "ascending"), ("i", "ascending"), ("j", "ascending"), ("set_id", "ascending")])
         c = {k: table.column(k).to_pylist() for k in ("cluster", "i", "j", "block", "set_id", "copies", "text")}

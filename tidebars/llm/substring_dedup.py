@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import lean
 from .superkmers import Space, bucket_count, covered, hashed_groups, keyed, packed_blocks, settled_spans, spans_of, with_spans, word_values
 
 BUCKET_BYTES = 32_000_000
@@ -41,6 +42,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, minimiser: int = 3, keep_
     rows, space = keyed(docs), word_space(window, minimiser)
     blocks = packed_blocks(rows.select("key", "row_hash", "text"), space, bucket_count(docs, BUCKET_BYTES))
 
+    @lean
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, removed, sha, kept = [], [], [], []

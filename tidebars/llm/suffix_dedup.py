@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import lean
 from .superkmers import Space, bucket_count, byte_values, covered, keyed, packed_blocks, settled_spans, spans_of, with_spans
 
 BUCKET_BYTES = 20_000_000
@@ -138,6 +139,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, minimiser: int = 12, keep_by
     rows, space = keyed(docs), byte_space(length, minimiser)
     blocks = packed_blocks(rows.select("key", "row_hash", "text"), space, bucket_count(docs, BUCKET_BYTES))
 
+    @lean
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, removed, runs, sha, kept = [], [], [], [], []

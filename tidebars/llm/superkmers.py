@@ -11,7 +11,6 @@ place: no run is longer than the grams of a window, so all can be settled before
 
 from __future__ import annotations
 
-import ctypes
 import pickle
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
@@ -23,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_cleanup, stored
+from .common import bounded_batches, lean, shuffle_cleanup, stored
 
 _U = np.uint64
 _P = 0x9E3779B97F4A7C15 | 1
@@ -35,13 +34,6 @@ BLOCK_SCHEMA = "bucket int, block binary"
 SPAN_SCHEMA = "key long, row_hash long, start long, count long"
 
 
-def return_freed_memory() -> None:
-    """Have the C library give arrays of over a megabyte back to the system when they are freed, where it can be told so."""
-    mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
-    if mallopt is not None:
-        mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
-
-
 #: Long arrays are worked on in pieces of this length, which stay in a core's cache.
 PIECE = 1 << 15
 
@@ -295,8 +287,8 @@ def packed_blocks(docs: DataFrame, space: Space, n_buckets: int) -> DataFrame:
             fields = (_small(np.diff(doc_keys[seen_docs], prepend=0)), doc_hashes[seen_docs], _small(local[:n]), _small(start[run_at[whole]]), _small(run_n[whole]), _small(sections), packed, names, _small(local[n:]), _small(start[span_at[s]]), _small(span_n[s]))
             yield int(b), press.compress(pickle.dumps(fields, 5))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return_freed_memory()
         keys, hashes, texts, size = [], [], [], 0
 
         def out() -> pa.RecordBatch:
@@ -321,8 +313,8 @@ def packed_blocks(docs: DataFrame, space: Space, n_buckets: int) -> DataFrame:
 def spans_of_blocks(blocks: DataFrame, space: Space) -> DataFrame:
     """Spans (key, row_hash, start, count) of later windows: ``count`` consecutive ones from window ``start`` on."""
 
+    @lean
     def settle(table: pa.Table) -> pa.Table:
-        return_freed_memory()
         press = zstandard.ZstdDecompressor()
         ids: dict[bytes, int] = {}
         keys, row_hashes, docs, starts, counts, splits, cuts, packed, n_docs = [], [], [], [], [], [], [], [], 0
@@ -411,6 +403,7 @@ def byte_values() -> np.ndarray:
 
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, key, row_hash, text: null doc_id as the least key, null text as empty. Rows are told apart by key and a 64-bit hash of the text."""
+    bounded_batches(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
     return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("key"), F.xxhash64(text).alias("row_hash"), text.alias("text"))
 

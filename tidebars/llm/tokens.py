@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import CACHE, Vocabulary, chunks, in_groups, vocabulary
+from .common import bounded_batches, lean
 
 
 def _raw(docs: DataFrame, tokenizer_path: str):
     """The tokenizer file, read on the driver and broadcast: its size is that of a vocabulary."""
+    bounded_batches(docs.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as f:
         return docs.sparkSession.sparkContext.broadcast(f.read())
 
@@ -56,6 +58,7 @@ def prefix_token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512,
     raw = _raw(docs, tokenizer_path)
     schema = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, bytes_within_limit long" + ", prefix_counts array<int>" * keep_counts
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(raw.value, "counts")
         for batch in batches:
@@ -80,6 +83,7 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """
     raw = _raw(docs, tokenizer_path)
 
+    @lean
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(raw.value, "ids")
         for batch in batches:
@@ -120,6 +124,7 @@ def bpe_round_trip(docs: DataFrame, tokenizer_path: str, keep_text: bool = False
     """
     raw = _raw(docs, tokenizer_path)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(raw.value, "ids")
         names = {i: str(i) for i in v.bytes_of}
