@@ -325,17 +325,17 @@ def class_ratio(spark, sf_dir):
 _RN = f"{_B}, n AS (SELECT symbol, ts, row_number() OVER {_W} AS rn, count(*) OVER (PARTITION BY symbol) AS n FROM b)"
 
 
-@query(_RN + " SELECT symbol, ts, CASE WHEN rn <= floor(n * 0.8) THEN 'train' ELSE 'test' END AS split FROM n")
+@query(_RN + " SELECT symbol, ts, CASE WHEN rn <= floor(n * 0.8e0) THEN 'train' ELSE 'test' END AS split FROM n")
 def split_80_20(spark, sf_dir):
     return split.split_two(bars(spark, sf_dir)).select("symbol", "ts", "split")
 
 
-@query(_RN + ", s AS (SELECT symbol, ts, CASE WHEN rn <= floor(n * 0.7) THEN 'train' WHEN rn <= floor(n * 0.85) THEN 'valid' ELSE 'test' END AS split FROM n) SELECT symbol, split, count(*) AS n_rows, min(ts) AS first_ts, max(ts) AS last_ts FROM s GROUP BY 1, 2")
+@query(_RN + ", s AS (SELECT symbol, ts, CASE WHEN rn <= floor(n * 0.7e0) THEN 'train' WHEN rn <= floor(n * 0.85e0) THEN 'valid' ELSE 'test' END AS split FROM n) SELECT symbol, split, count(*) AS n_rows, min(ts) AS first_ts, max(ts) AS last_ts FROM s GROUP BY 1, 2")
 def split_70_15_15(spark, sf_dir):
     return split.split_periods(split.split_three(bars(spark, sf_dir)))
 
 
-@query(_RN + " SELECT symbol, ts FROM n WHERE rn - 1 >= floor(n * 0.3) AND (rn - 1 - floor(n * 0.3)) % 16 = 0 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) <= 20")
+@query(_RN + " SELECT symbol, ts FROM n WHERE rn - 1 >= floor(n * 0.3e0) AND (rn - 1 - floor(n * 0.3e0)) % 16 = 0 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) <= 20")
 def step_sample(spark, sf_dir):
     return split.step_sample(bars(spark, sf_dir), 16, 20).select("symbol", "ts")
 
@@ -521,7 +521,7 @@ _TH = f"""{_R}, h AS (SELECT x.*, t.threshold FROM x, (SELECT unnest([0.55, 0.60
  per AS (SELECT symbol, threshold, count(*) AS completed_trades, count(*) FILTER (t > 0) AS won, avg(t) FILTER (t > 0) AS aw, avg(t) FILTER (t < 0) AS al, avg(t) AS ev, coalesce(sum(t) FILTER (t > 0), 0) AS profit, coalesce(abs(sum(t) FILTER (t < 0)), 0) AS loss FROM tr GROUP BY 1, 2),
  th AS (SELECT base.symbol, base.threshold, round(total_return, 6) AS total_return, round(buy_and_hold_return, 6) AS buy_and_hold_return, round(max_drawdown, 6) AS max_drawdown, number_of_trades, coalesce(completed_trades, 0) AS completed_trades,
  round(coalesce(won / nullif(completed_trades, 0), 0), 6) AS win_rate, round(coalesce(aw, 0), 6) AS average_win, round(coalesce(al, 0), 6) AS average_loss, round(coalesce(ev, 0), 6) AS expected_value_per_trade,
- round(CASE WHEN loss > 0 THEN profit / loss WHEN profit > 0 THEN 1e300 ELSE 0 END, 6) AS profit_factor FROM base LEFT JOIN per ON base.symbol = per.symbol AND base.threshold = per.threshold)"""
+ round(CASE WHEN loss > 0 THEN profit / loss WHEN profit > 0 THEN 'infinity'::DOUBLE ELSE 0 END, 6) AS profit_factor FROM base LEFT JOIN per ON base.symbol = per.symbol AND base.threshold = per.threshold)"""
 _TH_COLUMNS = ["symbol", "threshold", "total_return", "buy_and_hold_return", "max_drawdown", "number_of_trades", "completed_trades", "win_rate", "average_win", "average_loss", "expected_value_per_trade", "profit_factor"]
 
 
