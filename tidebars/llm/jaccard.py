@@ -54,8 +54,8 @@ def instance(i: int, percent: int) -> tuple[int, int, np.ndarray, int]:
     k = 2 * (low * 100 // percent) * (100 - percent) // (100 + percent)
     n1, k2, n2 = (1, 0, 1) if k == 0 else (1, k, k + 3) if k <= 3 else (-(-(k + 1) // 2), 1, 3)
     # a part of three cells is agreed on by half of all borderline pairs; lost if it is the only one and its projection is empty
-    lost = n1 * 0.515 * 0.485 ** (n1 - 1) * (1 - 2 / (3 * n1)) ** before
-    times = max(1, math.ceil(math.log(LOSS) / math.log(lost))) if n1 >= 3 else 1
+    lost = math.log(n1 * 0.515) + (n1 - 1) * math.log(0.485) + before * math.log(1 - 2 / (3 * n1)) if n1 >= 3 else -math.inf
+    times = max(1, math.ceil(math.log(LOSS) / lost))
     return n1, n2, np.array(list(combinations(range(n2), n2 - k2))), times
 
 
