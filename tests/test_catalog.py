@@ -39,6 +39,6 @@ def test_equals_sql(spark, duck, tiny, name):
     assert _rows(got) == _rows(want)
 
 
-@pytest.mark.parametrize("name", ["gbt_classify", "gbt_regress", "feature_importance", "simulation_summary"])
+@pytest.mark.parametrize("name", ["gbt_classify", "gbt_regress", "feature_importance"])
 def test_runs(spark, small, name):
     assert catalog.queries()[name](spark, small).count() > 0

@@ -214,3 +214,89 @@ def test_model_round_trip(spark, tmp_path):
     assert models.predict_classes(models.load(str(tmp_path / "m")), df).count() == 40
     with pytest.raises(ValueError):
         models.positive_weight(df.where("y = 0"), "y")
+
+
+def record(ms, *more):
+    return [ms, "1", "1", "1", "1", "1", "1", *more]
+
+
+def served(minutes, limit=1_000):
+    """A fetch over bars at the given minutes, and the log of what was asked."""
+    asked = []
+
+    def fetch(begin, end):
+        asked.append((begin, end))
+        return [record(m * 60_000) for m in minutes if begin <= m * 60_000 < end][:limit]
+
+    return fetch, asked
+
+
+def times(pages):
+    return [[r[0] // 60_000 for r in p] for p in pages]
+
+
+def test_forward_pages_overlap_and_stop_rules():
+    fetch, asked = served(range(0, 25))
+    assert times(klines.forward_pages(fetch, 5 * 60_000, 20 * 60_000, page=6)) == [[4, 5, 6, 7, 8, 9], [9, 10, 11, 12, 13, 14], [14, 15, 16, 17, 18, 19]]
+    assert asked[0][0] == 4 * 60_000  # one bar ahead of the start
+    fetch, asked = served(range(0, 9))
+    assert times(klines.forward_pages(fetch, 0, 99 * 60_000, page=5))[-1] == [8] and len(asked) < 20  # the last bar again, then nothing after it
+    fetch, _ = served([])
+    assert not list(klines.forward_pages(fetch, 0, 9 * 60_000))
+    stuck = lambda begin, end: [record(60_000)]
+    assert len(list(klines.forward_pages(stuck, 60_000, 5 * 60_000, page=2))) <= 6  # an answer that stands still moves the walk a bar on
+    fetch, _ = served(range(0, 12))
+    assert times(klines.forward_pages(fetch, 0, 10 * 60_000, page=4, overlap=False)) == [[0, 1, 2, 3], [4, 5, 6, 7], [8, 9]]
+    assert len(list(klines.forward_pages(stuck, 3 * 60_000, 9 * 60_000, overlap=False))) == 1  # time does not advance
+    assert not list(klines.forward_pages(lambda b, e: None, 0, 60_000, overlap=False))  # retries used up
+
+
+def test_backward_pages_stop_rules():
+    fetch, asked = served(range(100, 120))
+    pages = times(klines.backward_pages(fetch, 118 * 60_000, page=8))
+    assert pages[:2] == [list(range(110, 118)), list(range(103, 111))] and sorted({m for p in pages for m in p}) == list(range(100, 118))
+    assert asked[1] == (103 * 60_000, 111 * 60_000)  # one bar of overlap
+    assert len(pages) == 4 and pages[-1] == [100]  # the earliest bar did not move back
+    fetch, asked = served(list(range(50, 55)) + list(range(90, 95)))
+    assert times(klines.backward_pages(fetch, 95 * 60_000, page=10)) == [list(range(90, 95)), [90]]
+    fetch, asked = served(range(90, 95))
+    assert times(klines.backward_pages(fetch, 130 * 60_000, page=10, empty=3)) == [] and len(asked) == 3  # three empty answers end the walk
+    assert times(klines.backward_pages(fetch, 110 * 60_000, page=10, empty=3))[0] == list(range(90, 95))  # two do not
+    fetch, _ = served(range(0, 30))
+    assert times(klines.backward_pages(fetch, 30 * 60_000, page=10))[-1][0] == 0  # near the epoch
+    assert len(list(klines.backward_pages(fetch, 30 * 60_000, batches=2, page=10))) == 2
+    assert list(klines.backward_pages(lambda b, e: [[1, 2, 3]], 60_000)) == []  # short records are no bars
+
+
+def history(symbol, begin, end):
+    return [record(m * 60_000) for m in range(40, 100) if begin <= m * 60_000 < end]
+
+
+def catalogue():
+    return ["BTC"]
+
+
+def test_max_history_writes_a_version_and_guards_the_symbol(spark, tmp_path):
+    options = {"fetch": "tests.test_operators:history", "catalogue": "tests.test_operators:catalogue", "page": "16"}
+    path = files.max_history(spark, str(tmp_path), "BTC", options.pop("fetch"), 95 * 60_000, True, **options)
+    got = spark.read.parquet(path)
+    assert got.count() == 55 and got.agg(F.min("ts"), F.max("ts")).first() == (dt.datetime(1970, 1, 1, 0, 40), dt.datetime(1970, 1, 1, 1, 34))
+    with pytest.raises(ValueError):
+        files.max_history(spark, str(tmp_path), "BTC", "tests.test_operators:history", 95 * 60_000, False)
+    for known in (None, [], ["ETH"]):
+        with pytest.raises(ValueError):
+            klines.require_symbol("BTC", known)
+    with pytest.raises(Exception, match="catalogue"):
+        files.max_history(spark, str(tmp_path), "ETH", "tests.test_operators:history", 95 * 60_000, True, **options)
+
+
+def test_interpretation_of_trends(spark):
+    one = spark.range(1).select(stats.interpretation(F.lit("increasing"), F.lit("mixed"), F.lit(True)).alias("m")).first()["m"]
+    assert ["useful monotonic" in one[0], "does not show stable" in one[1], "improved drawdown" in one[2], len(one)] == [True, True, True, 4]
+
+
+def test_equity_curves_of_a_simulation(spark):
+    rows = closes(spark, [100, 101, 102, 100, 99]).withColumns({"y_pred": F.lit(0.01), "high": F.col("close"), "low": F.col("close")})
+    curves = simulate.equity_curves(simulate.simulate(simulate.next_bar_view(rows))).orderBy("ts").collect()
+    assert [round(r["buy_hold_equity"], 6) for r in curves] == [1.01, 1.02, 1.0, 0.99]
+    assert curves[0]["strategy_equity"] < curves[0]["gross_equity"]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import safe_ratio
-from .stats import rank_over_all
+from .stats import rank_over_all, ranges
 
 EPSILON = 2.220446049250313e-16
 
@@ -21,6 +21,17 @@ def confusion(df: DataFrame, label: str, score: str, thresholds: list[float] | N
     return out.withColumn("f1", safe_ratio(2 * c("precision") * c("recall"), c("precision") + c("recall")))
 
 
+#: Bounds of the drop classifier's table (fixed values).
+DROP_THRESHOLDS = [0.03, 0.05, 0.07, 0.10, 0.15, 0.20, 0.30, 0.40, 0.50]
+
+
+def alarms(df: DataFrame, label: str, score: str, thresholds: list[float] | None = None) -> DataFrame:
+    """For each threshold: alarms and their share of all rows, precision, recall, F1, caught events and false alarms."""
+    c = confusion(df, label, score, thresholds or DROP_THRESHOLDS)
+    n = F.col("tp") + F.col("fp")
+    return c.select("threshold", n.alias("n_alarms"), safe_ratio(n, n + F.col("fn") + F.col("tn")).alias("alarm_ratio"), "precision", "recall", "f1", F.col("tp").alias("n_caught"), F.col("fp").alias("n_false_alarms"))
+
+
 def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """Area under the ROC curve from average ranks; null if one class is missing."""
     ranked = rank_over_all(df.select(label, score), score, "_r")
@@ -32,7 +43,7 @@ def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
 def average_precision(df: DataFrame, label: str, score: str) -> DataFrame:
     """Sum of precision times gain in recall over distinct scores from the top."""
     per = df.groupBy(F.col(score).alias("_score")).agg(F.count_if(F.col(label) == 1).alias("k"), F.count(F.lit(1)).alias("n"))
-    parts = per.repartitionByRange(F.desc("_score")).withColumn("part", F.spark_partition_id())
+    parts = per.repartitionByRange(ranges(df), F.desc("_score")).withColumn("part", F.spark_partition_id())
     totals = parts.groupBy("part").agg(F.sum("k").alias("tk"), F.sum("n").alias("tn"))
     w = Window.orderBy("part")
     base = totals.select("part", (F.sum("tk").over(w) - F.col("tk")).alias("bk"), (F.sum("tn").over(w) - F.col("tn")).alias("bn"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import series
+from .backtest import drawdown, equity
 
 
 @dataclass(frozen=True)
@@ -21,7 +22,7 @@ class Rules:
     fee: float = 0.0005
 
 
-SCHEMA = "symbol string, ts timestamp_ntz, starting_position string, position_state string, position int, entry_price double, gross_return double, fee_events int, fee_cost double, net_return double, position_change int, long_entry int, short_entry int, take_profit_exit int, stop_loss_exit int, threshold_exit int, cooldown_blocked int, cooldown_remaining int, action_reason string"
+SCHEMA = "symbol string, ts timestamp_ntz, starting_position string, position_state string, position int, entry_price double, gross_return double, fee_events int, fee_cost double, net_return double, position_change int, long_entry int, short_entry int, take_profit_exit int, stop_loss_exit int, threshold_exit int, cooldown_blocked int, cooldown_remaining int, action_reason string, bar_return double"
 
 
 def next_bar_view(bars: DataFrame) -> DataFrame:
@@ -88,7 +89,7 @@ def step(side: int, entry: float, wait: int, pred: float, close: float, high: fl
 
 
 def simulate(df: DataFrame, rules: Rules | None = None) -> DataFrame:
-    """Positions and returns row by row, from (symbol, ts, y_pred, close, next_high, next_low, next_close).
+    """Positions and returns row by row, from (symbol, ts, y_pred, close, next_high, next_low, next_close, bar_return).
 
     A row's state is that after its exits. Stops come before targets. Each symbol is folded in one task, in
     order of time: the state makes rows depend on all before them.
@@ -101,15 +102,26 @@ def simulate(df: DataFrame, rules: Rules | None = None) -> DataFrame:
             began = _SIDE[side]
             side, entry, wait, seen = step(side, entry, wait, r.y_pred, r.close, r.next_high, r.next_low, r.next_close, rules)
             cost = seen["fee_events"] * rules.fee
-            out.append({"symbol": r.symbol, "ts": r.ts, "starting_position": began, "position_state": _SIDE[side], "position": side, "entry_price": None if entry != entry else entry, "fee_cost": cost, "net_return": seen["gross_return"] - cost, "cooldown_remaining": wait} | seen)
+            out.append({"symbol": r.symbol, "ts": r.ts, "starting_position": began, "position_state": _SIDE[side], "position": side, "entry_price": None if entry != entry else entry, "fee_cost": cost, "net_return": seen["gross_return"] - cost, "cooldown_remaining": wait, "bar_return": r.bar_return} | seen)
         return pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    needed = ["symbol", "ts", "y_pred", "close", "next_high", "next_low", "next_close"]
+    needed = ["symbol", "ts", "y_pred", "close", "next_high", "next_low", "next_close", "bar_return"]
     return df.select(*needed).dropna().groupBy("symbol").applyInPandas(fold, SCHEMA)
 
 
-def simulation_summary(rows: DataFrame) -> DataFrame:
-    counts = ["position_change", "long_entry", "short_entry", "fee_events", "take_profit_exit", "stop_loss_exit", "threshold_exit", "cooldown_blocked"]
-    return rows.groupBy("symbol").agg((F.product(1 + F.col("gross_return")) - 1).alias("gross_total"), (F.product(1 + F.col("net_return")) - 1).alias("net_total"), *[F.sum(c).alias(f"n_{c}") for c in counts])
+def equity_curves(rows: DataFrame) -> DataFrame:
+    """Simulated rows with the growth of holding, and of the strategy before and after fees."""
+    kinds = {"buy_hold_equity": "bar_return", "gross_equity": "gross_return", "strategy_equity": "net_return"}
+    for name, r in kinds.items():
+        rows = equity(rows, r, name=name)
+    return rows
 
 
+def simulation_summary(rows: DataFrame) -> DataFrame:
+    """Returns of holding and of the strategy, the greatest loss from a peak of both, and how often each thing happened, for each symbol."""
+    counts = ["position_change", "long_entry", "short_entry", "fee_events", "take_profit_exit", "stop_loss_exit", "threshold_exit", "cooldown_blocked"]
+    curves = drawdown(drawdown(equity_curves(rows), "buy_hold_equity", name="_held"), "strategy_equity", name="_own")
+    total = lambda r, name: (F.product(1 + F.col(r)) - 1).alias(name)
+    return curves.groupBy("symbol").agg(
+        total("bar_return", "buy_hold_total"), total("gross_return", "gross_total"), total("net_return", "net_total"), F.min("_held").alias("buy_hold_mdd"), F.min("_own").alias("strategy_mdd"), *[F.sum(c).alias(f"n_{c}") for c in counts]
+    )

@@ -32,12 +32,17 @@ def average_rank(df: DataFrame, column: str, name: str, keys: tuple[str, ...] =
     return df.withColumn(name, F.when(F.col(column).isNotNull(), rank))
 
 
+def ranges(df: DataFrame) -> int:
+    """How many ranges values are dealt to where a whole table is ranked: the session's shuffle partitions, as a fixed count that every branch of a plan keeps."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def rank_over_all(df: DataFrame, column: str, name: str) -> DataFrame:
     """``average_rank`` over a whole table without one task holding it: ranks come from the counts of distinct values.
 
     Values are dealt by range; running counts within a range and the ranges' totals give each value its place.
     """
-    counts = df.where(F.col(column).isNotNull()).groupBy(column).count().repartitionByRange(column).withColumn("_part", F.spark_partition_id())
+    counts = df.where(F.col(column).isNotNull()).groupBy(column).count().repartitionByRange(ranges(df), column).withColumn("_part", F.spark_partition_id())
     counts = counts.withColumn("_in", F.sum("count").over(Window.partitionBy("_part").orderBy(column)))
     totals = counts.groupBy("_part").agg(F.sum("count").alias("_n"))
     base = totals.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_base"))
@@ -58,6 +63,13 @@ def correlations(df: DataFrame, pairs: list[tuple[str, str]] | None = None) -> D
     return one.select(F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(f"c{i}").alias("pearson")) for i, (x, y) in enumerate(pairs)])).alias("r")).select("r.*")
 
 
+def rank_correlations(df: DataFrame, pairs: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(x, y, pearson, spearman) of each pair."""
+    pairs = pairs or PAIRS
+    ranked = [spearman(df, x, y).select(F.lit(x).alias("x"), F.lit(y).alias("y"), "spearman") for x, y in pairs]
+    return correlations(df, pairs).join(reduce(DataFrame.unionByName, ranked), ["x", "y"])
+
+
 def bucket_of(x: Column, edges: list[float], labels: list[str]) -> Column:
     """The label whose half-open range holds x; null outside."""
     ranges = list(zip(edges, edges[1:], labels))

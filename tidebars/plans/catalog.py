@@ -191,6 +191,14 @@ def sma_ratio(spark, sf_dir):
     return _add(spark, sf_dir, close_sma_ratio=F.try_divide("close", C.prefix_mean(F.col("close"), 240, C.series())))
 
 
+_LONG = {"5d": 480, "20d": 1_920, "60d": 5_760}
+
+
+@query(f"{_E}, {_bars_sql('5 minutes')} SELECT symbol, ts, {', '.join(f'round(close / nullif({_rolled("avg", "close", n)}, 0), 6) AS close_sma_{k}_ratio' for k, n in _LONG.items())} FROM b")
+def sma_ratios_long(spark, sf_dir):
+    return indicators.day_features(bars(spark, sf_dir, "5 minutes")).select("symbol", "ts", *[f"close_sma_{k}_ratio" for k in _LONG])
+
+
 @query(f"{_B}, m AS (SELECT symbol, ts, close, {_rolled('avg', 'close', 20)} AS m FROM b) SELECT symbol, ts, round(close / nullif(m, 0) - 1, 6) AS ma_distance_20 FROM m")
 def ma_distance(spark, sf_dir):
     return indicators.main_features(bars(spark, sf_dir)).select("symbol", "ts", "ma_distance_20")
@@ -296,6 +304,13 @@ for _h in (4, 16, 96):
     )
 
 
+def _horizon_sql(h: int, t: float) -> str:
+    """Common tables l{h}: the labels of a horizon of bars b (with r1, the last return, in s)."""
+    f = f"(PARTITION BY symbol ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING)"
+    return f"""u{h} AS (SELECT symbol, ts, lead(close, {h}) OVER {_W} / nullif(close, 0) - 1 AS r, CASE WHEN count(r1) OVER {f} = {h} THEN stddev_samp(r1) OVER {f} END AS v FROM s), q{h} AS (SELECT symbol, quantile_cont(v, 0.7) AS q FROM u{h} GROUP BY 1),
+ l{h} AS (SELECT u{h}.symbol, ts, r AS target_return_next_{h}, v AS target_volatility_next_{h}, abs(r) AS target_abs_return_next_{h}, CAST(abs(r) >= {t} AS INT) AS target_big_move_next_{h}, CAST(r <= -{t} AS INT) AS target_drop_next_{h}, CAST(r >= {t} AS INT) AS target_pump_next_{h}, CAST(v >= q AS INT) AS target_volatility_high_next_{h} FROM u{h} JOIN q{h} ON u{h}.symbol = q{h}.symbol WHERE r IS NOT NULL AND v IS NOT NULL)"""
+
+
 def _labels_sql(h: int, t: float) -> str:
     f = f"(PARTITION BY symbol ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING)"
     return f"""{_B}, s AS (SELECT symbol, ts, close, {_pct('close', 1)} AS r1 FROM b), l AS (SELECT symbol, ts, lead(close, {h}) OVER {_W} / nullif(close, 0) - 1 AS r,
@@ -322,6 +337,14 @@ def class_ratio(spark, sf_dir):
     return labels.class_ratios(labels.risk_labels(bars(spark, sf_dir)), "target_volatility_high_next_4")
 
 
+_SWING = ["target_return_next", "target_volatility_next", "target_abs_return_next", "target_big_move_next", "target_drop_next", "target_pump_next", "target_volatility_high_next"]
+
+
+@query(f"{_B}, s AS (SELECT symbol, ts, close, {_pct('close', 1)} AS r1 FROM b), {_horizon_sql(16, 0.02)}, {_horizon_sql(96, 0.04)} SELECT a.symbol, a.ts, {', '.join(f'round({c}_{h}, 6) AS {c}_{h}' if i < 3 else f'{c}_{h}' for h in (16, 96) for i, c in enumerate(_SWING))} FROM l16 a JOIN l96 z ON a.symbol = z.symbol AND a.ts = z.ts")
+def swing_labels(spark, sf_dir):
+    return labels.swing_labels(bars(spark, sf_dir)).select("symbol", "ts", *[f"{c}_{h}" for h in (16, 96) for c in _SWING])
+
+
 _RN = f"{_B}, n AS (SELECT symbol, ts, row_number() OVER {_W} AS rn, count(*) OVER (PARTITION BY symbol) AS n FROM b)"
 
 
@@ -387,10 +410,10 @@ def cosine_topk_latest(spark, sf_dir):
 
 def _per_eval(spark, sf_dir) -> DataFrame:
     e = _table(spark, sf_dir, "embeddings").withColumnRenamed("embedding", "vector")
-    return similarity.topk_per_eval(e, e.where("vec_id % 50 = 49"), 10, "vec_id", F.col("vec_id") < F.col("eval_vec_id") - 5)
+    return similarity.topk_per_eval(e, e.where("vec_id % 100 = 0"), 10, "vec_id", F.col("vec_id") < F.col("eval_vec_id") - 5)
 
 
-_TOP = f"WITH t AS (SELECT a.vec_id AS eval_vec_id, a.label AS eval_label, b.vec_id, b.label, {_COS} AS similarity, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON b.vec_id < a.vec_id - 5 WHERE a.vec_id % 50 = 49 QUALIFY rank <= 10)"
+_TOP = f"WITH t AS (SELECT a.vec_id AS eval_vec_id, a.label AS eval_label, b.vec_id, b.label, {_COS} AS similarity, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON b.vec_id < a.vec_id - 5 WHERE a.vec_id % 100 = 0 QUALIFY rank <= 10)"
 
 
 @query(_TOP + " SELECT eval_vec_id, vec_id, round(similarity, 6) AS similarity, CAST(rank AS INT) AS rank FROM t")
@@ -422,6 +445,62 @@ def risk_levels(spark, sf_dir):
     return similarity.with_levels(_summary(spark, sf_dir)).select("eval_vec_id", "high_vol_level", "drop_risk_level", "direction_hint", "action_hint")
 
 
+# --- walk-forward evaluation of pattern windows ---
+
+_OUTCOMES = {"target_up_next": ("similar_up_ratio", "actual_target_up_next"), "target_return_next": ("similar_avg_return_next", "actual_return_next"), "target_return_next_4": ("similar_avg_return_next_4", "actual_return_next_4"), "target_volatility_high_next_4": ("similar_high_vol_ratio", "actual_high_vol"), "target_drop_next_4": ("similar_drop_ratio", "actual_drop"), "target_big_move_next_4": ("similar_big_move_ratio", "actual_big_move"), "target_pump_next_4": ("similar_pump_ratio", "actual_pump"), "target_volatility_next_4": ("similar_volatility_next_4_mean", None)}
+_F8 = _frame(8)
+_WALK = f"""{_labels_sql(4, 0.01)}, x AS (SELECT *, coalesce((close - low) / nullif(high - low, 0), 0.5) AS p, lead(close) OVER {_W} / nullif(close, 0) - 1 AS target_return_next FROM b),
+ o AS (SELECT x.symbol, x.ts, p, target_return_next, CAST(target_return_next > 0 AS INT) AS target_up_next, r AS target_return_next_4, v AS target_volatility_next_4, CAST(abs(r) >= 0.01 AS INT) AS target_big_move_next_4, CAST(r <= -0.01 AS INT) AS target_drop_next_4, CAST(r >= 0.01 AS INT) AS target_pump_next_4, CAST(v >= q AS INT) AS target_volatility_high_next_4
+  FROM x JOIN l ON x.symbol = l.symbol AND x.ts = l.ts JOIN q ON x.symbol = q.symbol WHERE target_return_next IS NOT NULL AND r IS NOT NULL AND v IS NOT NULL),
+ w AS (SELECT *, lag(ts, 7) OVER {_W} AS window_start_ts, list(CAST(p AS FLOAT)) OVER {_F8} AS vec, list_sum(list_transform(list(CAST(p AS FLOAT)) OVER {_F8}, lambda y: y * y)) > 0 AS nz FROM o QUALIFY row_number() OVER {_W} >= 8),
+ k AS (SELECT *, row_number() OVER {_W} AS rn, count(*) OVER (PARTITION BY symbol) AS n FROM w),
+ ev AS (SELECT * FROM k WHERE rn - 1 >= floor(n * 0.3e0) AND (rn - 1 - floor(n * 0.3e0)) % 16 = 0 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) <= 20),
+ m AS (SELECT a.symbol, a.window_start_ts AS eval_window_start_ts, a.ts AS eval_window_end_ts, {", ".join(f"a.{c} AS a_{c}" for c, (_, n) in _OUTCOMES.items() if n)}, {", ".join(f"b.{c}" for c in _OUTCOMES)}, list_cosine_similarity(a.vec::DOUBLE[], b.vec::DOUBLE[]) AS sim, b.ts AS bts,
+  count(*) OVER (PARTITION BY a.symbol, a.ts) AS candidate_count FROM ev a JOIN w b ON a.symbol = b.symbol AND b.ts < a.ts - INTERVAL 1 DAY WHERE a.nz AND b.nz),
+ t AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY symbol, eval_window_end_ts ORDER BY round(sim, 9) DESC, bts) <= 10),
+ wf AS (SELECT symbol, eval_window_start_ts, eval_window_end_ts, 8 AS pattern_length, candidate_count, 10 AS top_k, avg(sim) AS mean_similarity, min(sim) AS min_similarity, max(sim) AS max_similarity, {", ".join(f"avg({c}) AS {n}" for c, (n, _) in _OUTCOMES.items())}, {", ".join(f"max(a_{c}) AS {n}" for c, (_, n) in _OUTCOMES.items() if n)} FROM t GROUP BY ALL HAVING count(*) = 10)"""
+_WALK_ROUNDED = ["mean_similarity", "min_similarity", "max_similarity", *[n for n, _ in _OUTCOMES.values()], "actual_return_next", "actual_return_next_4"]
+_WALK_PLAIN = ["symbol", "eval_window_start_ts", "eval_window_end_ts", "pattern_length", "candidate_count", "top_k", "actual_target_up_next", "actual_high_vol", "actual_drop", "actual_big_move", "actual_pump"]
+
+
+def _walk(spark, sf_dir) -> DataFrame:
+    rows = labels.risk_labels(labels.next_bar(bounded(spark, sf_dir)))
+    windows = patterns.pattern_vectors(rows, ["p"], 8, list(_OUTCOMES))
+    evals = split.step_sample(windows.withColumn("ts", F.col("window_end_ts")), 16, 20).drop("ts")
+    return similarity.walk_forward(windows, evals, 10, "INTERVAL 1 DAY")
+
+
+@query(f"{_WALK} SELECT {', '.join(_WALK_PLAIN)}, {', '.join(f'round({c}, 6) AS {c}' for c in _WALK_ROUNDED)} FROM wf")
+def walk_forward(spark, sf_dir):
+    return _walk(spark, sf_dir)
+
+
+_NEXT_PAIRS = [("similar_high_vol_ratio", "actual_high_vol"), ("similar_avg_return_next_4", "actual_return_next_4")]
+
+
+def _rank_sql(x: str, y: str) -> str:
+    rank = lambda c: f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2"
+    return f"SELECT '{x}' AS x, '{y}' AS y, round(corr({x}, {y}), 6) AS pearson, round(corr(a, b), 6) AS spearman FROM (SELECT {x}, {y}, {rank(x)} AS a, {rank(y)} AS b FROM wf)"
+
+
+@query(f"{_WALK} {' UNION ALL '.join(_rank_sql(x, y) for x, y in _NEXT_PAIRS)}")
+def walk_forward_correlations(spark, sf_dir):
+    return stats.rank_correlations(_walk(spark, sf_dir), _NEXT_PAIRS)
+
+
+def _report_sql(source: str, edges: list[float], names: list[str], means: dict[str, str]) -> str:
+    case = " ".join(f"WHEN z >= {a} AND z < {b} THEN {i}" for i, (a, b) in enumerate(zip(edges, edges[1:])))
+    return f"{_R}, n AS (SELECT unnest(range({len(names)})) AS i, unnest({names}) AS bucket), k AS (SELECT *, CASE {case} END AS i FROM (SELECT *, {source} AS z FROM x)) SELECT CAST(n.i AS INT) AS bucket_order, n.bucket, count(k.symbol) AS count, {', '.join(f'round(avg({c}), 6) AS {m}' for m, c in means.items())} FROM n LEFT JOIN k ON n.i = k.i GROUP BY 1, 2"
+
+
+for _report, _source in {"drop": "p / 4", "up": "p"}.items():
+    _, _edges, _names = stats.BUCKETS[_report]
+    _means = {"avg_r": "r", "avg_volume": "volume"}
+    query(_report_sql(_source, _edges, _names, _means), f"bucket_report_{_report}")(
+        lambda spark, sf_dir, e=_edges, n=_names, x=_source, m=_means: stats.bucket_table(bounded(spark, sf_dir).withColumn("z", F.expr(x)), "z", e, n, m)
+    )
+
+
 # --- statistics ---
 
 
@@ -613,6 +692,24 @@ def futures_state_machine(spark, sf_dir):
     return _simulated(spark, sf_dir).select("symbol", "ts", "position", *rounded, "fee_events", "position_change", "take_profit_exit", "stop_loss_exit", "threshold_exit", "cooldown_blocked", "cooldown_remaining")
 
 
+_COUNTED = {"n_fee_events": "fees", "n_position_change": "moves", "n_take_profit_exit": "tp", "n_stop_loss_exit": "sl", "n_threshold_exit": "te", "n_cooldown_blocked": "cb"}
+
+
+@query(
+    f"""{_SIM}, g AS (SELECT f.*, n.nc / n.close - 1 AS held, gross - fees * 0.0005 AS net FROM f JOIN n ON f.symbol = n.symbol AND f.rn = n.rn), c AS (SELECT *, product(1 + held) OVER {_RUN} AS he, product(1 + net) OVER {_RUN} AS se FROM g),
+ d AS (SELECT *, he / max(he) OVER {_RUN} - 1 AS hd, se / max(se) OVER {_RUN} - 1 AS sd FROM c) SELECT symbol, round(product(1 + held) - 1, 6) + 0.0 AS buy_hold_total, round(product(1 + gross) - 1, 6) + 0.0 AS gross_total, round(product(1 + net) - 1, 6) + 0.0 AS net_total, round(min(hd), 6) + 0.0 AS buy_hold_mdd, round(min(sd), 6) + 0.0 AS strategy_mdd, {', '.join(f'CAST(sum({c}) AS BIGINT) AS {n}' for n, c in _COUNTED.items())} FROM d GROUP BY 1"""
+)
+def simulation_summary(spark, sf_dir):
+    totals = [(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("buy_hold_total", "gross_total", "net_total", "buy_hold_mdd", "strategy_mdd")]
+    return simulate.simulation_summary(_simulated(spark, sf_dir)).select("symbol", *totals, *_COUNTED)
+
+
+@query(f"SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 1 WHEN 'F' THEN -1 ELSE 0 END AS position FROM orders")
+def position_number(spark, sf_dir):
+    named = F.when(F.col("o_orderstatus") == "O", "Long").when(F.col("o_orderstatus") == "F", "Short").otherwise("Cash")
+    return _table(spark, sf_dir, "orders").select("o_orderkey", C.position_number(named).alias("position"))
+
+
 @query(f"{_R}, s AS (SELECT symbol, ts, CAST(r > 0 AS INT) AS l FROM x), c AS (SELECT symbol, abs(l - coalesce(lag(l) OVER {_W}, 0)) AS c FROM s) SELECT symbol, CAST(sum(c) AS BIGINT) AS n_changes FROM c GROUP BY 1")
 def zero_threshold_changes(spark, sf_dir):
     return B.zero_threshold_changes(bounded(spark, sf_dir), "r")
@@ -643,6 +740,16 @@ def threshold_sweep(spark, sf_dir):
     return metrics.confusion(_scored(spark, sf_dir), "y", "p", [0.3, 0.4, 0.5, 0.6, 0.7, 0.8])
 
 
+@query(_confusion_sql(", ".join(map(str, metrics.DROP_THRESHOLDS))).rpartition(" SELECT threshold")[0] + " SELECT threshold, tp + fp AS n_alarms, round(coalesce((tp + fp) / nullif(tp + fp + fn + tn, 0), 0), 6) AS alarm_ratio, round(pr, 6) AS precision, round(re, 6) AS recall, round(coalesce(2 * pr * re / nullif(pr + re, 0), 0), 6) AS f1, tp AS n_caught, fp AS n_false_alarms FROM m")
+def threshold_sweep_drop(spark, sf_dir):
+    return metrics.alarms(_scored(spark, sf_dir), "y", "p")
+
+
+@query(f"{_R} SELECT round(avg(CAST(r > 0.005 AS INT)), 6) AS share_0, round(avg(CAST(r < -0.005 AS INT)), 6) AS share_1 FROM x")
+def exceedance(spark, sf_dir):
+    return models.exceedance(bounded(spark, sf_dir), "r")
+
+
 @query(_SCORED + ", k AS (SELECT y, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2 AS r FROM s) SELECT round((sum(r) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2) / nullif(count(*) FILTER (y = 1) * count(*) FILTER (y = 0), 0), 6) AS roc_auc FROM k")
 def roc_auc(spark, sf_dir):
     return metrics.roc_auc(_scored(spark, sf_dir), "y", "p")
@@ -676,6 +783,7 @@ def _training(spark, sf_dir) -> DataFrame:
 def gbt_classify(spark, sf_dir):
     rows = _training(spark, sf_dir).cache()
     model = models.fit_classifier(rows.where("split = 'train'"), _FEATURES, "target_volatility_high_next_4", models.HIGH_VOLATILITY)
+    rows.unpersist()
     out = models.predict_classes(model, rows.where("split = 'test'"))
     return out.select("symbol", "ts", "target_volatility_high_next_4", "pred_proba_0", "pred_proba_1", "pred_label")
 
@@ -684,6 +792,7 @@ def gbt_classify(spark, sf_dir):
 def gbt_regress(spark, sf_dir):
     rows = _training(spark, sf_dir).cache()
     model = models.fit_regressor(rows.where("split = 'train'"), _FEATURES, "target_return_next", models.DAY_RETURN)
+    rows.unpersist()
     return models.predict_values(model, rows.where("split = 'test'")).select("symbol", "ts", "target_return_next", "y_pred")
 
 
@@ -694,12 +803,20 @@ def feature_importance(spark, sf_dir):
     return models.importance(model, _FEATURES, 10)
 
 
-@query()
-def simulation_summary(spark, sf_dir):
-    return simulate.simulation_summary(_simulated(spark, sf_dir))
+_MAIN = [f"return_{k}" for k in (1, 3, 5, 10)] + [f"ma_{n}" for n in (20, 60, 120)] + [f"ma_distance_{n}" for n in (20, 60)] + [f"volatility_{n}" for n in (20, 60)] + ["rsi_14", "volume_change_1", "volume_ma_20", "high_low_range", "close_open_return"]
+_BAR = ["open", "high", "low", "close", "volume", "turnover"]
+_FULL_PLAIN = ["symbol", "ts", "target_up_next", "h4_trend", *[f"target_{x}_next_4" for x in ("big_move", "drop", "pump", "volatility_high")]]
+_FULL_ROUNDED = [*_BAR, *_MAIN, "target_return_next", *[f"h4_{c}" for c in ("return_1", "ma_20", "ma_60", "ma_distance_20")], "target_return_next_4", "target_volatility_next_4", "target_abs_return_next_4"]
+_FULL = f"""{_B}, s AS (SELECT symbol, ts, close, {_pct('close', 1)} AS r1 FROM b), {_horizon_sql(4, 0.01)}, {_aux_sql('4 hours', 'h4', 'c')}, {_RSI},
+ m1 AS (SELECT *, {', '.join(f'{_pct("close", k)} AS return_{k}' for k in (1, 3, 5, 10))}, {', '.join(f'{_rolled("avg", "close", n)} AS ma_{n}' for n in (20, 60, 120))}, {_pct('volume', 1)} AS volume_change_1, {_rolled('avg', 'volume', 20)} AS volume_ma_20,
+  (high - low) / nullif(close, 0) AS high_low_range, close / nullif(open, 0) - 1 AS close_open_return, lead(close) OVER {_W} / nullif(close, 0) - 1 AS target_return_next FROM b),
+ m2 AS (SELECT *, {', '.join(f'{_rolled("stddev_samp", "return_1", n)} AS volatility_{n}, close / nullif(ma_{n}, 0) - 1 AS ma_distance_{n}' for n in (20, 60))}, CAST(target_return_next > 0 AS INT) AS target_up_next FROM m1),
+ m3 AS (SELECT m2.*, CASE WHEN a.u IS NULL THEN NULL WHEN a.l = 0 AND a.u = 0 THEN 50 WHEN a.l = 0 THEN 100 ELSE 100 - 100 / (1 + a.u / a.l) END AS rsi_14 FROM m2 JOIN a ON m2.symbol = a.symbol AND m2.ts = a.ts),
+ m4 AS (SELECT m3.*, c.* EXCLUDE (symbol, ts) FROM m3 ASOF LEFT JOIN c ON m3.symbol = c.symbol AND m3.ts >= c.ts),
+ m5 AS (SELECT m4.*, l4.* EXCLUDE (symbol, ts) FROM m4 JOIN l4 ON m4.symbol = l4.symbol AND m4.ts = l4.ts)"""
 
 
-@query()
+@query(f"{_FULL} SELECT {', '.join(_FULL_PLAIN)}, {', '.join(f'round({c}, 6) AS {c}' for c in _FULL_ROUNDED)} FROM m5 WHERE {' AND '.join(f'{c} IS NOT NULL' for c in [*_FULL_ROUNDED, 'h4_trend'])}")
 def full_features(spark, sf_dir):
     """Cleaned, labelled rows of two timeframes: the whole chain in one plan."""
     main = labels.next_bar(indicators.main_features(bars(spark, sf_dir)))

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..operators.clean import upsert
 from ..schema import BARS
+from .klines import KlineSource, normalise
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -58,6 +59,17 @@ def collect(existing: DataFrame | None, new: DataFrame, refresh: bool = False) -
     return new if existing is None or refresh else upsert(existing, new)
 
 
+def max_history(spark: SparkSession, base: str, symbol: str, fetch: str, end_ms: int, refresh: bool, batches: int = 1_000, **options: str) -> str:
+    """Collect all there is of a symbol by walking back from ``end_ms``, and write it as a new version beside the earlier ones; its path.
+
+    The new history replaces what was collected before, so it needs ``refresh``.
+    """
+    check_modes(full=True, refresh=refresh, max_batches=batches)
+    spark.dataSource.register(KlineSource)
+    raw = spark.read.format("klines").options(symbol=symbol, fetch=fetch, end_ms=end_ms, mode="history", batches=batches, **options).load()
+    return write_version(normalise(raw, end_ms=end_ms), base)
+
+
 def check_modes(update: bool = False, full: bool = False, refresh: bool = False, days: int | None = None, max_batches: int = 1_000) -> None:
     """Collection options that exclude or need one another, and their ranges."""
     clashes = {"update and refresh": update and refresh, "update and days": update and days is not None, "full and update": full and update, "full and days": full and days is not None, "full without refresh": full and not refresh}

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 PAGE, MINUTE_MS = 1_000, 60_000
+#: Answers without a bar in a row after which a walk into the past ends, and most requests of one walk.
+EMPTY_ANSWERS, BATCHES = 3, 1_000
 #: Items of a kline record: epoch ms, open, high, low, close, volume, turnover.
 ITEMS = 7
 
@@ -32,6 +34,67 @@ def page_ranges(start_ms: int, end_ms: int, page: int = PAGE, step_ms: int = MIN
     return [(max(start_ms - step_ms, at - step_ms), min(end_ms, at + page * step_ms)) for at in range(start_ms, end_ms, page * step_ms)]
 
 
+Record = list
+Fetch = Callable[[int, int], "list[Record] | None"]
+
+
+def _times(records: list[Record] | None, before: int) -> list[tuple[int, Record]]:
+    """(epoch ms, record) of whole records ahead of ``before``, in order of time."""
+    return sorted(((int(r[0]), r) for r in records or [] if len(r) >= ITEMS and int(r[0]) < before), key=lambda x: x[0])
+
+
+def forward_pages(fetch: Fetch, start_ms: int, end_ms: int, page: int = PAGE, step_ms: int = MINUTE_MS, overlap: bool = True) -> Iterator[list[Record]]:
+    """Pages from start to end (excluded), each from the last bar of the one before, or, without overlap, from the bar after it.
+
+    With overlap the walk begins one bar ahead of the start. It ends at an answer without bars, at the last complete bar, and where time
+    does not advance.
+    """
+    cursor = max(0, start_ms - step_ms) if overlap else start_ms
+    while cursor < end_ms:
+        found = _times(fetch(cursor, min(end_ms, cursor + page * step_ms)), end_ms)
+        if not found:
+            return
+        yield [r for _, r in found]
+        last = found[-1][0]
+        if overlap and last >= end_ms - step_ms:
+            return
+        following = last + step_ms if not overlap else cursor + step_ms if last <= cursor else last
+        if following <= cursor:
+            return
+        cursor = following
+
+
+def backward_pages(fetch: Fetch, end_ms: int, batches: int = BATCHES, page: int = PAGE, step_ms: int = MINUTE_MS, empty: int = EMPTY_ANSWERS) -> Iterator[list[Record]]:
+    """Pages from the end into the past, with one bar of overlap, as far as there is history.
+
+    The walk ends after ``empty`` answers in a row without bars (each moves it a page back), where the earliest bar does not move back,
+    one bar from the epoch, or after ``batches`` requests.
+    """
+    cursor, before, none = end_ms, None, 0
+    for _ in range(batches):
+        begin = max(0, cursor - page * step_ms)
+        found = _times(fetch(begin, cursor), cursor)
+        if not found:
+            none += 1
+            if none >= empty:
+                return
+            cursor = begin
+            continue
+        none = 0
+        yield [r for _, r in found]
+        earliest = found[0][0]
+        if before is not None and earliest >= before or earliest <= step_ms:
+            return
+        before, cursor = earliest, earliest + step_ms
+
+
+def require_symbol(symbol: str, known: list[str] | None) -> str:
+    """The symbol, if the catalogue holds it; an error for an unknown one or without a catalogue."""
+    if not known or symbol not in known:
+        raise ValueError(f"{symbol} is not in the catalogue")
+    return symbol
+
+
 class Range(InputPartition):
     def __init__(self, begin: int, end: int):
         self.begin, self.end = begin, end
@@ -41,22 +104,42 @@ class KlineReader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = options
 
+    def _named(self, option: str) -> Callable:
+        import importlib
+
+        module, _, name = self.options[option].partition(":")
+        return getattr(importlib.import_module(module), name)
+
     def partitions(self) -> list[Range]:
+        """Ranges fetched side by side; a walk, whose steps depend on one another, is one partition."""
+        if "catalogue" in self.options:
+            require_symbol(self.options["symbol"], with_retry(self._named("catalogue")))
+        if self.options.get("mode", "ranges") != "ranges":
+            return [Range(int(self.options.get("start_ms", 0)), int(self.options["end_ms"]))]
         return [Range(a, b) for a, b in page_ranges(int(self.options["start_ms"]), int(self.options["end_ms"]), int(self.options.get("page", PAGE)))]
 
     def read(self, partition: Range) -> Iterator[tuple[str, list[str]]]:
         """``fetch`` names a function module:attribute (symbol, begin, end) -> records; tasks import it."""
-        import importlib
-
-        module, _, name = self.options["fetch"].partition(":")
-        fetch = getattr(importlib.import_module(module), name)
-        symbol = self.options["symbol"]
-        for record in with_retry(lambda: fetch(symbol, partition.begin, partition.end)):
-            yield symbol, [None if x is None else str(x) for x in record]
+        fetch, symbol, mode, page = self._named("fetch"), self.options["symbol"], self.options.get("mode", "ranges"), int(self.options.get("page", PAGE))
+        ask = lambda begin, end: with_retry(lambda: fetch(symbol, begin, end))
+        if mode == "history":
+            pages = backward_pages(ask, partition.end, int(self.options.get("batches", BATCHES)), page)
+        elif mode in ("forward", "forward_apart"):
+            pages = forward_pages(ask, partition.begin, partition.end, page, overlap=mode == "forward")
+        else:
+            pages = [ask(partition.begin, partition.end)]
+        for records in pages:
+            for record in records:
+                yield symbol, [None if x is None else str(x) for x in record]
 
 
 class KlineSource(DataSource):
-    """spark.dataSource.register(KlineSource); spark.read.format("klines").options(...).load()"""
+    """spark.dataSource.register(KlineSource); spark.read.format("klines").options(...).load()
+
+    Options: symbol, fetch (module:function of symbol, begin, end), end_ms, page; ``mode``: ranges (the default, from
+    start_ms on, side by side), forward or forward_apart (one walk with or without overlap), history (one walk back from end_ms, at
+    most ``batches`` requests); catalogue (module:function that lists symbols), which rejects unknown symbols at the start.
+    """
 
     @classmethod
     def name(cls) -> str:
