@@ -55,6 +55,9 @@ def test_token_counts_and_prefixes(data, library):
         assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (size, want[i], want[i] > 512)
         assert len(r["prefix_counts"]) == size + 1 and r["prefix_counts"][-1] == want[i]
         assert r["prefix_counts"][r["bytes_within_limit"]] <= 512
+        data = (t or "").encode()
+        cut = [len(data[:k].decode("utf-8", "ignore").encode()) for k in range(1024, size + 1, 1024)]
+        assert list(r["tokens_by_kib"]) == [r["prefix_counts"][k] for k in cut]
 
 
 def test_prefix_counts_of_one_word_equal_encodings_of_its_prefixes(library):
@@ -66,6 +69,20 @@ def test_prefix_counts_of_one_word_equal_encodings_of_its_prefixes(library):
             assert counts[len(word[:n].encode())] == len(library.encode(word[:n], add_special_tokens=False).ids)
 
 
+def test_every_prefix_counts_as_a_text_of_its_own(library, tiny):
+    import pyarrow.parquet as pq
+
+    with open(PATH, encoding="utf-8") as f:
+        v = bpe.Vocabulary(f.read())
+    texts = [t for t in pq.read_table(f"{tiny}/documents.parquet", columns=["text"]).column(0).to_pylist() if t]
+    texts = ["a\n\n\n\nb  c", "  x   y\t\t z  ", "we're they've it'll'llx 're", "end<|endoftext|>!<|endoftext|><|endo", "é  日本\u3000\u3000語 ß'veü", "\n\n", " " * 40 + "q", *[t[:700] for t in texts[:12]], *[t[-300:] for t in texts[12:20]]]
+    for text in texts:
+        counts, at = tokens.text_prefix_counts(v, text), 0
+        for n in range(len(text) + 1):
+            at = len(text[:n].encode())
+            assert counts[at] == len(library.encode(text[:n], add_special_tokens=False).ids), (text[:n], n)
+
+
 def test_encoding_and_decoding(data, library):
     df, rows = data
     found = {r["doc_id"]: list(r["ids"]) for r in tokens.bpe_encode(df, PATH).collect()}
@@ -457,3 +474,16 @@ def test_parts_of_items_and_blocks_change_no_result(spark, leaks, monkeypatch):
     monkeypatch.setattr(decontaminate, "ITEMS_AT_ONCE", 7)
     assert len(list(decontaminate.build_indexes(df, benchmark))) > 2
     assert sorted(map(str, decontaminate.contaminated(df, benchmark).select("doc_id", "item_id", "item_share", "answer_share").collect())) == whole
+
+
+def test_names_of_sampled_suffixes_are_lexicographic(spark):
+    from tidebars.llm.suffix_names import sampled_suffix_names
+
+    rng = np.random.default_rng(4)
+    rows = [(i, "".join(rng.choice(list("ab"), int(rng.integers(0, 90))))) for i in range(12)] + [(50, "-" * 100), (51, None), (52, "x"), (50, "-" * 100)]
+    found = sampled_suffix_names(frame(spark, rows)).collect()
+    texts = {(r[0]): (r[1] or "").encode() for r in rows}
+    suffixes = {(r["key"], r["at"]): texts[r["key"]][r["at"] : r["at"] + 72] for r in found}
+    assert len(found) == sum(sum(p % 3 != 0 for p in range(len(t))) for t in texts.values())
+    order = {s: i for i, s in enumerate(sorted(set(suffixes.values())), 1)}
+    assert {(r["key"], r["at"]): r["name"] for r in found} == {k: order[s] for k, s in suffixes.items()}

@@ -7,6 +7,7 @@ tokens of shorter prefixes, and every prefix of a word has a known last token an
 
 from __future__ import annotations
 
+import array
 import json
 import re
 from collections.abc import Iterable, Iterator
@@ -19,6 +20,8 @@ SPLIT_TEXT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 SPLIT = regex.compile(SPLIT_TEXT.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
 #: Pieces never cross a single space between two visible characters.
 _EDGE, _RUN = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"\s\s")
+#: Contractions that are another piece when they are cut, and runs of white space.
+_CUT, _RUNS = {"'re", "'ve", "'ll"}, regex.compile(r"\p{White_Space}{2,}")
 CACHE = 800_000
 
 
@@ -176,23 +179,48 @@ class Vocabulary:
             ids.extend(chain.from_iterable(map(self.later.__getitem__, s)))
             yield ids
 
+    def piece_counts(self, piece: str) -> array.array:
+        """Token count of every non-empty prefix of a piece, in bytes."""
+        counts = self.words.get(piece)
+        if counts is None:
+            found = [0]
+            self.extend(piece.encode(), [-1], found)
+            self.words[piece] = counts = array.array("i", found[1:])
+        return counts
+
     def prefix_counts(self, chunk: str) -> tuple[bytes, int]:
-        """Token count of every non-empty prefix of a chunk, as 4-byte integers, and the whole count."""
-        import array
+        """Token count of every non-empty prefix of a chunk, as 4-byte integers, and the whole count.
 
-        out, base = array.array("i"), 0
-        for piece in self.pieces(chunk):
+        A prefix is split as a text of its own: white space at its end is one piece, however the whole chunk splits
+        it, a contraction that is cut falls into apostrophe and letter, and a special string that is cut is plain text.
+        """
+        parts = self.pieces(chunk)
+        if len(parts) == 1 and isinstance(parts[0], str) and parts[0] not in _CUT:
+            counts = self.piece_counts(parts[0])
+            return counts.tobytes(), counts[-1]
+        out, base, begin, segment = array.array("i"), 0, 0, (0, 0)
+        for piece in parts:
             if isinstance(piece, int):
-                out.extend([base + 1] * len(self.bytes_of[piece]))
+                special = self.bytes_of[piece].decode()
+                since = chunk.encode()[segment[0] : len(out)].decode()
+                for n in range(1, len(special)):
+                    cut = segment[1] + sum(self.piece_counts(p)[-1] for p in SPLIT.findall(since + special[:n]))
+                    out.extend([cut] * len(special[n - 1].encode()))
                 base += 1
+                out.extend([base] * len(special[-1].encode()))
+                segment = len(out), base
                 continue
-            counts = self.words.get(piece)
-            if counts is None:
-                counts = [0]
-                self.extend(piece.encode(), [-1], counts)
-                self.words[piece] = counts = array.array("i", counts[1:])
+            counts = self.piece_counts(piece)
+            begin = len(out)
             out.extend([base + c for c in counts] if base else counts)
+            if piece in _CUT:
+                out[begin + 1] = base + 2
             base += counts[-1]
+        for run in _RUNS.finditer(chunk):
+            at = len(chunk[: run.start()].encode())
+            before = out[at - 1] if at else 0
+            counts = self.piece_counts(run.group())
+            out[at : at + len(counts)] = array.array("i", [before + c for c in counts])
         return out.tobytes(), base
 
 

@@ -14,6 +14,9 @@ from .bpe import CACHE, Vocabulary, chunks, in_groups, vocabulary
 from .common import bounded_batches, lean
 
 
+KIB = 1024
+
+
 def _raw(docs: DataFrame, tokenizer_path: str):
     """The tokenizer file, read on the driver and broadcast: its size is that of a vocabulary."""
     bounded_batches(docs.sparkSession)
@@ -24,7 +27,7 @@ def _raw(docs: DataFrame, tokenizer_path: str):
 def text_prefix_counts(v: Vocabulary, text: str) -> np.ndarray:
     """Token count of every prefix of the text in UTF-8 bytes, from the empty one to the whole.
 
-    Prefixes are counted within the pieces into which the whole text splits.
+    At every character boundary it is the count of the prefix as a text of its own.
     """
     if not text:
         return np.zeros(1, np.int64)
@@ -47,16 +50,18 @@ def text_prefix_counts(v: Vocabulary, text: str) -> np.ndarray:
 
 
 def prefix_token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, keep_counts: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit, bytes_within_limit and, if asked for, prefix_counts (array<int>).
+    """doc_id, n_bytes, n_tokens, over_limit, bytes_within_limit, tokens_by_kib and, if asked for, prefix_counts (array<int>).
 
-    ``prefix_counts[i]`` is the exact token count of the first i bytes, so truncation and budget questions
-    need no further encoding; ``bytes_within_limit`` is the longest prefix of at most ``limit`` tokens.
+    ``prefix_counts[i]`` is the exact token count of the first i bytes, encoded as a text of their own, wherever they end
+    with a whole character, so truncation and budget questions need no further encoding; ``bytes_within_limit`` is
+    the longest prefix of whole characters with at most ``limit`` tokens, and ``tokens_by_kib`` holds the counts of the first
+    1,024, 2,048, ... bytes, each cut back to a whole character.
     Null and empty text: 0 tokens. Long texts are processed whole, repeated rows each on their own; an
     empty table gives an empty result. Special strings in a text count as the library's default has it,
     as one token. Only doc_id and text are read.
     """
     raw = _raw(docs, tokenizer_path)
-    schema = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, bytes_within_limit long" + ", prefix_counts array<int>" * keep_counts
+    schema = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, bytes_within_limit long, tokens_by_kib array<int>" + ", prefix_counts array<int>" * keep_counts
 
     @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,13 +69,17 @@ def prefix_token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512,
         for batch in batches:
             ids, texts, rows, kept = batch.column(0), batch.column(1), [], []
             for t in texts:
-                c = text_prefix_counts(v, t.as_py() or "")
-                rows.append((len(c) - 1, int(c[-1]), bool(c[-1] > limit), int(len(c) - 1 - np.argmax(c[::-1] <= limit))))
+                text = t.as_py() or ""
+                c = text_prefix_counts(v, text)
+                ends = np.arange(len(c)) if len(c) == len(text) + 1 else np.flatnonzero(np.append((np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80, True))
+                within = c[ends] <= limit
+                marks = ends[np.searchsorted(ends, np.arange(KIB, len(c), KIB), "right") - 1]
+                rows.append((len(c) - 1, int(c[-1]), bool(c[-1] > limit), int(ends[len(ends) - 1 - np.argmax(within[::-1])]), c[marks].astype(np.int32)))
                 if keep_counts:
                     kept.append(c.astype(np.int32))
-            columns = list(zip(*rows)) or [[]] * 4
-            out = [ids, pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.bool_()), pa.array(columns[3], pa.int64())]
-            names = ["doc_id", "n_bytes", "n_tokens", "over_limit", "bytes_within_limit"]
+            columns = list(zip(*rows)) or [[]] * 5
+            out = [ids, pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.bool_()), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.list_(pa.int32()))]
+            names = ["doc_id", "n_bytes", "n_tokens", "over_limit", "bytes_within_limit", "tokens_by_kib"]
             yield pa.RecordBatch.from_arrays(out + [pa.array(kept, pa.list_(pa.int32()))] * keep_counts, names + ["prefix_counts"] * keep_counts)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(count, schema)
