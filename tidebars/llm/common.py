@@ -129,15 +129,15 @@ def one_row_each(docs: DataFrame, kept: DataFrame, identity: Column) -> DataFram
     return found.groupBy("_null", "_id", "_same").agg(F.min_by("_row", F.coalesce(F.col("_row.text"), F.lit(""))).alias("_row")).select("_row.*")
 
 
-def spread_join(rows: DataFrame, facts: DataFrame, key: str | list[str], order: str, salts: int = 64) -> DataFrame:
-    """Inner join of rows with one row of facts for each key; rows of a hot key go to up to ``salts`` tasks.
+def spread_join(rows: DataFrame, facts: DataFrame, key: str | list[str], order: str, salts: int = 64, how: str = "inner") -> DataFrame:
+    """Join (inner or left) of rows with one row of facts for each key; rows of a hot key go to up to ``salts`` tasks.
 
     Facts are repeated only for the salts that a key uses.
     """
     keys = [key] if isinstance(key, str) else key
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(order), F.lit(salts)).cast("int"))
     used = salted.select(*keys, "_salt").distinct()
-    return salted.join(used.join(facts, keys), [*keys, "_salt"]).drop("_salt")
+    return salted.join(used.join(facts, keys, how), [*keys, "_salt"]).drop("_salt")
 
 
 def components(edges: DataFrame, label: str) -> DataFrame:
@@ -154,9 +154,10 @@ def components(edges: DataFrame, label: str) -> DataFrame:
         # hooking: whoever a node points at learns of the least label seen from the node
         seen = labels.join(near, "node").select("node", "component", F.least("component", "near").alias("best"))
         hook = seen.groupBy(F.col("component").alias("node")).agg(F.min("best").alias("hook"))
-        hooked = seen.join(hook, "node", "left").select("node", F.col("component").alias("old"), F.least("best", F.coalesce("hook", "best")).alias("mid"))
+        hooked = stored(seen.join(hook, "node", "left").select("node", F.col("component").alias("old"), F.least("best", F.coalesce("hook", "best")).alias("mid")), label)
         jump = hooked.select(F.col("node").alias("mid"), F.col("mid").alias("far"))
-        new = stored(hooked.join(jump, "mid", "left").select("node", "old", F.least("mid", F.coalesce("far", "mid")).alias("component")), label)
+        # most nodes of a large component share one label
+        new = stored(spread_join(hooked, jump, "mid", "node", how="left").select("node", "old", F.least("mid", F.coalesce("far", "mid")).alias("component")), label)
         if new.where("old <> component").isEmpty():
             return new.select("node", "component")
         labels = new.select("node", "component")

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .bpe import in_groups
 from .common import components, lean, one_row_each, shuffle_cleanup, spread_join, stored
 from .substring_dedup import split_words
-from .superkmers import NULL_KEY, keyed, mix, rows_of_runs, window_hash
+from .superkmers import NULL_KEY, _mix, keyed, mix, rows_of_runs, window_hash
 
 _U, _SEED = np.uint64, 0x9E3779B97F4A7C15
 GROUP_CHARS, BLOCK_ELEMENTS, TASK_ELEMENTS, KNOWN_SETS, LOSS = 1_500_000, 500_000, 2_000_000, 100_000, 1e-8
@@ -46,8 +46,8 @@ def band(size: int, percent: int) -> int:
 
 
 @lru_cache(1 << 12)
-def instance(i: int, percent: int) -> tuple[int, int, np.ndarray, int]:
-    """n1, n2, the cell choices and the repetitions of instance i, for sets of bands i - 1 and i."""
+def instance(i: int, percent: int) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """n1, n2, the cell choices of instance i, for sets of bands i - 1 and i, and a label for each repetition, part and choice."""
     before = low = 1
     for _ in range(i):
         before, low = low, low * 100 // percent + 1
@@ -56,7 +56,9 @@ def instance(i: int, percent: int) -> tuple[int, int, np.ndarray, int]:
     # a part of three cells is agreed on by half of all borderline pairs; lost if it is the only one and its projection is empty
     lost = math.log(n1 * 0.515) + (n1 - 1) * math.log(0.485) + before * math.log(1 - 2 / (3 * n1)) if n1 >= 3 else -math.inf
     times = max(1, math.ceil(math.log(LOSS) / lost))
-    return n1, n2, np.array(list(combinations(range(n2), n2 - k2))), times
+    choices = np.array(list(combinations(range(n2), n2 - k2)))
+    place = np.arange(n1 * len(choices), dtype=_U) + (np.arange(times, dtype=_U) << _U(32))[:, None] + (_U(i) << _U(40))
+    return n1, n2, choices, mix(place.ravel()).reshape(times, n1, len(choices))
 
 
 def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
@@ -64,16 +66,16 @@ def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
     out, own = [], band(len(elements), percent)
     with np.errstate(over="ignore"):
         for i in (own, own + 1):
-            n1, n2, choices, times = instance(i, percent)
-            for again in range(times):
-                dealt = mix(elements + _U(again * _SEED & (1 << 64) - 1)) if again else elements
-                cell = (dealt % _U(n1 * n2)).astype(np.int64)
-                sums, counts = np.zeros(n1 * n2, _U), np.bincount(cell, minlength=n1 * n2).reshape(n1, n2)
-                np.add.at(sums, cell, mix(dealt + _U(0x632BE59BD9B4E019)))
-                chosen = sums.reshape(n1, n2)[:, choices].sum(2)
-                label = mix((_U(i) << _U(40)) + (_U(again) << _U(32)) + np.arange(chosen.size, dtype=_U)).reshape(chosen.shape)
-                found = mix(chosen + label)
-                out.append(found[counts[:, choices].sum(2) > 0] if n1 >= 3 else found.ravel())
+            n1, n2, choices, labels = instance(i, percent)
+            times, cells = len(labels), n1 * n2
+            dealt = np.tile(elements, times).reshape(times, -1)
+            for again in range(1, times):
+                dealt[again] = mix(elements + _U(again * _SEED & (1 << 64) - 1))
+            cell = (dealt % _U(cells)).astype(np.int64) + cells * np.arange(times)[:, None]
+            sums, counts = np.zeros(times * cells, _U), np.bincount(cell.ravel(), minlength=times * cells).reshape(times, n1, n2)
+            np.add.at(sums, cell.ravel(), mix(dealt.ravel() + _U(0x632BE59BD9B4E019)))
+            found = _mix(sums.reshape(times, n1, n2)[:, :, choices].sum(3) + labels)
+            out.append(found[counts[:, :, choices].sum(3) > 0] if n1 >= 3 else found.ravel())
     return np.concatenate(out)
 
 
