@@ -155,7 +155,7 @@ def test_periodic_text_is_deduplicated(spark):
 
 
 @pytest.mark.parametrize("space,line", [(suffix_dedup.byte_space(50, 12), "-" * 200), (substring_dedup.word_space(20, 3), "dull " * 70)])
-def test_copies_of_a_periodic_line_are_settled_before_the_shuffle(spark, space, line):
+def test_copies_of_a_periodic_line_are_settled_before_the_shuffle(spark, space, line, monkeypatch):
     import pickle
 
     import zstandard
@@ -166,6 +166,26 @@ def test_copies_of_a_periodic_line_are_settled_before_the_shuffle(spark, space,
         return sum(int(pickle.loads(zstandard.ZstdDecompressor().decompress(bytes(b["block"])))[4].sum()) for b in blocks)
 
     assert 0 < sent(1) and sent(200) == sent(1)
+    monkeypatch.setattr(space, "group_tokens", 300)  # many batches in one task
+    assert sent(200) <= 3 * sent(1)
+
+
+def test_runs_met_in_other_batches_are_settled_rightly(spark):
+    rng = np.random.default_rng(3)
+    lines = [" ".join(f"w{x}" for x in rng.integers(0, 300, 40)) for _ in range(6)]
+    rows = [(int(i), " ".join(str(rng.choice(lines)) if rng.random() < 0.6 else f"own{i} text{j} " * 4 for j in range(5))) for i in rng.permutation(150)]
+    rows += [(None, lines[0]), (None, lines[0] + " x"), (7, lines[1])]
+    for space, op, plain in ((suffix_dedup.byte_space(50, 12), suffix_dedup, brute.suffix), (substring_dedup.word_space(20, 3), substring_dedup, brute.substring)):
+        known = [r for r in rows if r[0] is not None][:150]
+        name = "byte_space" if op is suffix_dedup else "word_space"
+        make, space.group_tokens = getattr(op, name), 2_000
+        setattr(op, name, lambda *_: space)
+        try:
+            run = op.suffix_dedup if op is suffix_dedup else op.substring_dedup
+            assert got(run(frame(spark, known).coalesce(2))) == plain(known)
+            assert run(frame(spark, rows).coalesce(2)).count() == len(rows)
+        finally:
+            setattr(op, name, make)
 
 
 def test_windows_with_a_repeated_minimiser():

@@ -1,8 +1,8 @@
 """Super-k-mers: consecutive windows of k tokens that share a minimiser, packed and dealt to buckets by it.
 
 Equal windows have equal minimisers, so they meet in one bucket whatever document they stand in. Inside a
-task, windows that the task itself has seen earlier are settled at once and not sent: groups of copies shrink
-to one packed string for each task before the shuffle. The text operators on words and on bytes both use it.
+task, runs that the task itself has seen earlier are settled at once and not sent: groups of copies and lines of
+many documents shrink to one packed string for each task before the shuffle. The text operators on words and on bytes both use it.
 
 Periodic text has one minimiser throughout. A window that holds its minimiser more than once is therefore a run
 of its own, dealt by the hash of the whole window, and a run ends where the minimiser is found at another
@@ -30,6 +30,8 @@ _P = 0x9E3779B97F4A7C15 | 1
 NULL_KEY = -(1 << 63)
 #: A bucket's windows are settled in this many sections, one after the other, to bound the memory of a task.
 SECTIONS = 16
+#: Text of frequent runs that a task remembers.
+SENT_BYTES = 8_000_000
 BLOCK_SCHEMA = "bucket int, block binary"
 SPAN_SCHEMA = "key long, row_hash long, start long, count long"
 
@@ -190,6 +192,40 @@ def later_windows(space: Space, tokens: np.ndarray, hashes: np.ndarray, at: np.n
     return late
 
 
+def run_keys(hashes: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A hash of each run of n windows, of its first and last one."""
+    with np.errstate(over="ignore"):
+        return mix(hashes[at] ^ mix(hashes[at + n - 1] + n.astype(_U)))
+
+
+class Sent:
+    """Runs that a task has sent and met again, by run key: the least (doc_id, text hash, start) they were sent for, and their tokens.
+
+    What is remembered is bounded by ``SENT_BYTES``; a run that is not remembered is sent again, with the same result.
+    """
+
+    def __init__(self, by_document: bool):
+        self.by_document, self.runs, self.size = by_document, {}, 0
+
+    def settle(self, keys: np.ndarray, late: np.ndarray, owner: Callable[[int], tuple[int, int, int]], content: Callable[[int], bytes]) -> None:
+        """Mark runs late that equal a remembered run of an earlier place, and remember those that others of this batch repeat."""
+        if self.runs:
+            for i in np.flatnonzero(~late & np.isin(keys, np.fromiter(self.runs, _U, len(self.runs)))).tolist():
+                place, tokens = self.runs[int(keys[i])]
+                if tokens == content(i):
+                    own = owner(i)
+                    if (own[0] > place[0]) if self.by_document else own > place:
+                        late[i] = True
+                    elif own < place:
+                        self.runs[int(keys[i])] = own, tokens
+        if self.size < SENT_BYTES and late.any():
+            for i in np.flatnonzero(~late & np.isin(keys, keys[late])).tolist():
+                if int(keys[i]) not in self.runs:
+                    tokens = content(i)
+                    self.runs[int(keys[i])] = owner(i), tokens
+                    self.size += len(tokens) + 200
+
+
 def later_runs(space: Space, tokens: np.ndarray, hashes: np.ndarray, at: np.ndarray, n: np.ndarray, rank: np.ndarray, start: np.ndarray) -> np.ndarray:
     """True for each run of n windows at tokens[at] that equals, token by token, a run of lesser rank (or start).
 
@@ -197,8 +233,7 @@ def later_runs(space: Space, tokens: np.ndarray, hashes: np.ndarray, at: np.ndar
     of at most k windows; longer runs are left.
     """
     late = np.zeros(len(at), bool)
-    with np.errstate(over="ignore"):
-        key = mix(hashes[at] ^ mix(hashes[at + n - 1] + n.astype(_U)))
+    key = run_keys(hashes, at, n)
     code = rank if space.by_document else rank << np.int64(36) | start
     order = np.lexsort([code, key])
     new = np.ones(len(order), bool)
@@ -240,7 +275,7 @@ def hashed_groups(k: int) -> Callable:
 def packed_blocks(docs: DataFrame, space: Space, n_buckets: int) -> DataFrame:
     """Blocks (bucket, block) of docs (key, row_hash, text): packed super-k-mers and the spans settled already."""
 
-    def flush(keys: list[int], hashes: list[int], texts: list[str]) -> Iterator[tuple[int, bytes]]:
+    def flush(keys: list[int], hashes: list[int], texts: list[str], sent: Sent) -> Iterator[tuple[int, bytes]]:
         order = sorted({(k, h): i for i, (k, h) in enumerate(zip(keys, hashes))}.items())
         doc_keys = np.array([k for (k, _), _ in order], np.int64)
         doc_hashes = np.array([h for (_, h), _ in order], np.int64)
@@ -260,6 +295,10 @@ def packed_blocks(docs: DataFrame, space: Space, n_buckets: int) -> DataFrame:
             return
         rank = np.unique(doc_keys, return_inverse=True)[1] if space.by_document else np.arange(len(doc_keys))
         late = later_runs(space, codes, windows, run_at, run_n, rank[doc[run_at]], start[run_at])
+        tokens_of = lambda i: codes[run_at[i] : run_at[i] + run_n[i] + space.k - 1]
+        content = lambda i: tokens_of(i).tobytes() if words is None else b" ".join([words[c] for c in tokens_of(i)])
+        owner = lambda i: (int(doc_keys[d := doc[run_at[i]]]), int(doc_hashes[d]), int(start[run_at[i]]))
+        sent.settle(run_keys(windows, run_at, run_n), late, owner, content)
         span_at, span_n, run_at, run_n = run_at[late], run_n[late], run_at[~late], run_n[~late]
         if len(span_at):  # spans that follow one another are one
             first = np.flatnonzero(np.append(True, (span_at[1:] != span_at[:-1] + span_n[:-1]) | (doc[span_at[1:]] != doc[span_at[:-1]])))
@@ -289,10 +328,10 @@ def packed_blocks(docs: DataFrame, space: Space, n_buckets: int) -> DataFrame:
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, hashes, texts, size = [], [], [], 0
+        keys, hashes, texts, size, sent = [], [], [], 0, Sent(space.by_document)
 
         def out() -> pa.RecordBatch:
-            rows = list(flush(keys, hashes, texts))
+            rows = list(flush(keys, hashes, texts, sent))
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "block"])
 
         for batch in batches:
