@@ -5,7 +5,8 @@ each set takes part in the instances of its band and the next. Within an instanc
 most k elements. The feature domain is cut into n1 parts of n2 cells each, and a signature is the projection
 of the set on one part without k2 of its cells, for every choice of them. As n1 * (k2 + 1) > k, linked sets
 agree on at least one signature. Sets that share a signature form chains, chains form clusters of candidates,
-and each cluster is then compared exactly; a large cluster is compared by pairs of blocks in separate tasks.
+and each cluster is then compared exactly; a large cluster is compared by pairs of blocks of sets of like
+size in separate tasks.
 
 Shingles and sets are told apart by 64-bit hashes. A projection without elements tells nothing and would
 tie unrelated sets together; where a set has three parts or more it is left out. Linked sets agree on about
@@ -140,8 +141,8 @@ def signature_table(rows: DataFrame, n: int, percent: int) -> DataFrame:
     return rows.select("text").mapInArrow(run, "set_id long, signatures array<long>").select(F.explode("signatures").alias("signature"), "set_id")
 
 
-def compare_group(sets: list[np.ndarray], side: list[int], percent: int) -> Iterator[tuple[int, int]]:
-    """All linked pairs of positions; with two sides only pairs across them."""
+def compare_group(sets: list[np.ndarray], side: list[int], percent: int, across: bool) -> Iterator[tuple[int, int]]:
+    """All linked pairs of positions, or only those of different sides."""
     n, sizes = len(sets), np.array([len(s) for s in sets])
     elements = np.concatenate(sets)
     owner = np.repeat(np.arange(n), sizes)
@@ -153,34 +154,57 @@ def compare_group(sets: list[np.ndarray], side: list[int], percent: int) -> Iter
     name = np.empty(len(order), np.int64)
     name[order] = np.cumsum(new) - 1
     posting, ends, sides = owner[order], np.cumsum(sizes), np.array(side)
-    two = len(set(side)) > 1
     for i in range(n):
         mine = name[ends[i] - sizes[i] : ends[i]]
         mine = mine[counts[mine] > 1]
         if len(mine):
             common = np.bincount(posting[rows_of_runs(first[mine], counts[mine])], minlength=n)
             linked = 100 * common >= percent * (sizes + sizes[i] - common)
-            if two:
+            if across:
                 linked &= sides != sides[i]
             linked[: i + 1] = False
             yield from ((i, int(j)) for j in np.flatnonzero(linked))
 
 
+def placed_members(members: DataFrame, percent: int) -> DataFrame:
+    """Members (cluster, set_id, size, ...) with ``units``, the comparisons that each takes part in, and ``share`` = size * number of units.
+
+    A cluster of up to ``BLOCK_ELEMENTS`` is one unit. In a larger one, linked sets lie in one band of sizes or in neighbouring ones,
+    so only blocks of these are compared: a unit is (band, block a, step, block b), step 1 for pairs across to the next band.
+    """
+    width = F.lit(math.log(100 / percent) * (1 + 1e-9))
+    whole = members.groupBy("cluster").agg((F.sum("size") > BLOCK_ELEMENTS).alias("large"))
+    banded = spread_join(members, whole, "cluster", "set_id").withColumn("band", F.when(F.col("large"), F.floor(F.log(F.col("size").cast("double")) / width)).otherwise(0).cast("int"))
+    order = W.partitionBy("cluster").orderBy("band")  # a row for each band of sizes, of which there are few
+    counts = banded.groupBy("cluster", "band").agg(F.ceil(F.sum("size") / BLOCK_ELEMENTS).cast("int").alias("n"))
+    near = lambda f, d: F.when(f("band").over(order) == F.col("band") + d, f("n").over(order)).otherwise(0)
+    counts = counts.select("cluster", "band", "n", near(F.lag, -1).alias("down"), near(F.lead, 1).alias("up"))
+    out = spread_join(banded, counts, ["cluster", "band"], "set_id").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("n")).cast("int"))
+    block, band = F.col("block"), F.col("band")
+    unit = lambda g, x, step, y, side: F.struct(g.alias("g"), x.alias("a"), F.lit(step).alias("step"), y.alias("b"), side.alias("side"))
+    some = lambda n, f: F.transform(F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>")), f)
+    units = F.concat(
+        some("n", lambda j: unit(band, F.least(block, j), 0, F.greatest(block, j), (block > j).cast("int"))),
+        some("up", lambda j: unit(band, block, 1, j, F.lit(0))),
+        some("down", lambda j: unit(band - 1, j, 1, block, F.lit(1))),
+    )
+    return out.withColumn("units", units).withColumn("share", F.col("size") * F.size("units")).drop("large", "band", "n", "down", "up", "block")
+
+
 def cluster_links(members: DataFrame, n: int, percent: int, tasks: int) -> DataFrame:
-    """(u, v, links) of members (cluster, set_id, text, copies, block, blocks): pairs that join parts, and counts at u = v.
+    """(u, v, links) of members (cluster, set_id, text, copies, units): pairs that join parts, and counts at u = v.
 
-    A cluster is compared whole or, if large, by pairs of blocks. Only pairs that join parts not yet joined
-    within the task come out; ``links`` sums up the copies behind all linked sets.
+    Only pairs that join parts not yet joined within the task come out; ``links`` sums up the copies behind all linked sets.
     """
-    other = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-    pairs = members.withColumn("other", F.explode(other)).select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set_id", "copies", "text")
-    pairs = pairs.withColumn("task", F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(tasks)).cast("int"))
+    key = ["cluster", "g", "a", "step", "b"]
+    pairs = members.select("cluster", "set_id", "copies", "text", F.explode("units").alias("unit")).select("cluster", "set_id", "copies", "text", "unit.*")
+    pairs = pairs.withColumn("task", F.pmod(F.xxhash64(*key), F.lit(tasks)).cast("int"))
 
     @lean
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("cluster", "ascending"), ("i", "ascending"), ("j", "ascending"), ("set_id", "ascending")])
-        c = {k: table.column(k).to_pylist() for k in ("cluster", "i", "j", "block", "set_id", "copies", "text")}
-        keys = list(zip(c["cluster"], c["i"], c["j"]))
+        table = table.sort_by([(k, "ascending") for k in (*key, "set_id")])
+        c = {k: table.column(k).to_pylist() for k in (*key, "side", "set_id", "copies", "text")}
+        keys = list(zip(*(c[k] for k in key)))
         edges, begin = [], 0
         while begin < len(keys):
             end = begin
@@ -200,11 +224,12 @@ def cluster_links(members: DataFrame, n: int, percent: int, tasks: int) -> DataF
             links = [0] * len(ids)
             texts = c["text"][s]
             sets = [x for part in in_groups(texts, GROUP_CHARS) for x in shingle_sets(texts[part], n)]
-            for i, j in compare_group(sets, c["block"][s] if keys[s.start][1] != keys[s.start][2] else [0] * len(ids), percent):
+            _, _, a, step, b = keys[s.start]
+            for i, j in compare_group(sets, c["side"][s], percent, step == 1 or a != b):
                 links[i] += copies[j]
                 links[j] += copies[i]
-                if (a := root(i)) != (b := root(j)):
-                    parent[max(a, b)] = min(a, b)
+                if (x := root(i)) != (y := root(j)):
+                    parent[max(x, y)] = min(x, y)
                     edges.append((ids[i], ids[j], 0))
             edges += [(x, x, k) for x, k in zip(ids, links) if k]
         columns = list(zip(*edges)) or [[], [], []]
@@ -230,13 +255,12 @@ def jaccard_rows(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_hash")).alias("first")
     classes = sets.where("n_shingles > 0").groupBy("set_id").agg(first, F.max("n_shingles").alias("size"), F.count(F.lit(1)).alias("copies"))
     members = stored(classes.join(clusters.select(F.col("node").alias("set_id"), F.col("component").alias("cluster")), "set_id").select("set_id", "cluster", "size", "copies", F.coalesce("first.doc_id", F.lit(NULL_KEY)).alias("key"), "first.row_hash"), "jaccard-members")
-    blocks = members.groupBy("cluster").agg(F.ceil(F.sum("size") / BLOCK_ELEMENTS).cast("int").alias("blocks"))
-    placed = members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
-    # a member is sent once for each block of its cluster
-    tasks = max(16, int((placed.agg(F.sum(F.col("size") * F.col("blocks"))).first()[0] or 0) / TASK_ELEMENTS))
+    placed = placed_members(members, percent)
+    # a member is sent once for each of its comparisons
+    tasks = max(16, int((placed.agg(F.sum("share")).first()[0] or 0) / TASK_ELEMENTS))
     # one plan at every size: the members grow with the input, so they are never broadcast
     texts = rows.select("key", "row_hash", "text").join(placed.hint("merge"), ["key", "row_hash"]).dropDuplicates(["set_id"])
-    links = stored(cluster_links(texts.select("cluster", "set_id", "text", "copies", "block", "blocks"), n, percent, tasks), "jaccard-links")
+    links = stored(cluster_links(texts.select("cluster", "set_id", "text", "copies", "units"), n, percent, tasks), "jaccard-links")
     found = components(links.where("u <> v").select("u", "v"), "jaccard-components")
     counts = links.where("u = v").groupBy(F.col("u").alias("set_id")).agg(F.sum("links").alias("links"))
     known = classes.select("set_id", "copies", "first").join(found.select(F.col("node").alias("set_id"), "component"), "set_id", "left").join(counts, "set_id", "left")
