@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import lean
-from .superkmers import Space, bucket_count, covered, hashed_groups, keyed, packed_blocks, settled_spans, spans_of, with_spans, word_values
+from .superkmers import Space, bucket_count, covered, hashed_groups, ids_repeat, keyed, packed_blocks, settled_spans, spans_of, with_spans, word_values
 
 BUCKET_BYTES = 32_000_000
 
@@ -39,7 +39,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, minimiser: int = 3, keep_
     that repeat doc_id and text count once and share the result. Long texts are processed whole, an empty
     table gives an empty result. Only doc_id and text are read.
     """
-    rows, space = keyed(docs), word_space(window, minimiser)
+    rows, space = keyed(docs, ids_repeat(docs)), word_space(window, minimiser)
     blocks = packed_blocks(rows.select("key", "row_hash", "text"), space, bucket_count(docs, BUCKET_BYTES))
 
     @lean

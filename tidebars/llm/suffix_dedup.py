@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import lean
-from .superkmers import Space, bucket_count, byte_values, covered, keyed, packed_blocks, settled_spans, spans_of, with_spans
+from .superkmers import Space, bucket_count, byte_values, covered, ids_repeat, keyed, packed_blocks, settled_spans, spans_of, with_spans
 
 BUCKET_BYTES = 20_000_000
 
@@ -136,7 +136,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, minimiser: int = 12, keep_by
     repeated ones included. Long texts are processed whole, an empty table gives an empty result. Only doc_id
     and text are read.
     """
-    rows, space = keyed(docs), byte_space(length, minimiser)
+    rows, space = keyed(docs, ids_repeat(docs)), byte_space(length, minimiser)
     blocks = packed_blocks(rows.select("key", "row_hash", "text"), space, bucket_count(docs, BUCKET_BYTES))
 
     @lean

@@ -440,11 +440,19 @@ def byte_values() -> np.ndarray:
     return _BYTES[0]
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, key, row_hash, text: null doc_id as the least key, null text as empty. Rows are told apart by key and a 64-bit hash of the text."""
+def ids_repeat(docs: DataFrame) -> bool:
+    """Does any doc_id, null included, stand in two rows. Only doc_id is read."""
+    return not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+
+
+def keyed(docs: DataFrame, hashed: bool = True) -> DataFrame:
+    """doc_id, key, row_hash, text: null doc_id as the least key, null text as empty.
+
+    Rows are told apart by key and a 64-bit hash of the text; where no id repeats, the hash may be left out (0), as it would only be moved.
+    """
     bounded_batches(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("key"), F.xxhash64(text).alias("row_hash"), text.alias("text"))
+    return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("key"), (F.xxhash64(text) if hashed else F.lit(0).cast("long")).alias("row_hash"), text.alias("text"))
 
 
 def bucket_count(docs: DataFrame, bytes_a_bucket: int, growth: float = 3.3) -> int:
