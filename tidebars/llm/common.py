@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,7 +27,8 @@ BATCH_BYTES = 4 << 20
 def bounded_batches(spark: SparkSession) -> None:
     """Set the session's limit of Arrow batches to ``BATCH_BYTES``, if it is higher. It is set once and stays: no result depends on it."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:
+    most = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if most <= 0 or most > BATCH_BYTES:
         spark.conf.set(name, f"{BATCH_BYTES}b")
 
 
@@ -74,7 +76,23 @@ def shared_path(spark: SparkSession, label: str) -> str:
         if base is None:
             base = shared_path.own = "file://" + tempfile.mkdtemp(prefix="tidebars-")
     base = base or spark.conf.get("spark.sql.warehouse.dir") + "/_tidebars"
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(remove_written)
+    _WRITTEN.append((spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path), spark.sparkContext._jsc.hadoopConfiguration()))
+    return path
+
+
+#: Paths handed out; results are read from them lazily, so they stay until the program ends.
+_WRITTEN: list[tuple] = []
+
+
+def remove_written() -> None:
+    """Remove the intermediate tables written so far. DataFrames that were made from them can't be read afterwards."""
+    while _WRITTEN:
+        path, conf = _WRITTEN.pop()
+        with suppress(Exception):  # at the end of a program its JVM may be gone
+            path.getFileSystem(conf).delete(path, True)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
