@@ -438,6 +438,15 @@ def test_components_and_spreading(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (105, 101), (7, 7)]
     found = dict(map(tuple, components(spark.createDataFrame(edges, "u long, v long"), "test").collect()))
     assert found == {i: 0 for i in range(31)} | {100: 100, 101: 100, 105: 100}
+    rng = np.random.default_rng(2)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))]
+    parent = list(range(300))
+    for _ in range(300):  # labels sink along edges until nothing changes
+        for a, b in pairs:
+            parent[a] = parent[b] = min(parent[a], parent[b])
+    nodes = {x for p in pairs if p[0] != p[1] for x in p}
+    assert dict(map(tuple, components(spark.createDataFrame(pairs, "u long, v long"), "test").collect())) == {x: parent[x] for x in nodes}
+    assert components(spark.createDataFrame([(7, 7)], "u long, v long"), "test").count() == 0
     rows = spark.createDataFrame([(i, i % 2) for i in range(100)], "id long, k long")
     total = with_group_totals(rows, "k", "id", {"n": (F.count(F.lit(1)), F.sum("n"))}, 8)
     assert total.count() == 100 and {r["n"] for r in total.collect()} == {50}

@@ -161,21 +161,29 @@ def spread_join(rows: DataFrame, facts: DataFrame, key: str | list[str], order:
 def components(edges: DataFrame, label: str) -> DataFrame:
     """Connected components of edges (u, v): (node, component), component being the least node reachable.
 
-    Rounds of hook-and-jump on two-column tables: each node takes the least label among itself and its
-    neighbours, then the label of that label. Each round is written to the shared folder; the loop ends
-    when no label changes. Only the count of changes reaches the driver.
+    Rounds of contraction on two-column tables: every node points at its least neighbour, if that is less; pointers are
+    followed to their ends by doubling, and each edge is then one between ends. Edges within what is joined go, so
+    that a round sees far fewer than the one before. Each step is written to the shared folder; the loop ends when no
+    edge is left. Only whether there are rows reaches the driver.
     """
-    both = stored(edges.where("u <> v").select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*").distinct(), label)
-    labels = stored(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("component")), label)
-    while True:
-        near = both.join(labels.select(F.col("node").alias("v"), "component"), "v").groupBy(F.col("u").alias("node")).agg(F.min("component").alias("near"))
-        # hooking: whoever a node points at learns of the least label seen from the node
-        seen = labels.join(near, "node").select("node", "component", F.least("component", "near").alias("best"))
-        hook = seen.groupBy(F.col("component").alias("node")).agg(F.min("best").alias("hook"))
-        hooked = stored(seen.join(hook, "node", "left").select("node", F.col("component").alias("old"), F.least("best", F.coalesce("hook", "best")).alias("mid")), label)
-        jump = hooked.select(F.col("node").alias("mid"), F.col("mid").alias("far"))
-        # most nodes of a large component share one label
-        new = stored(spread_join(hooked, jump, "mid", "node", how="left").select("node", "old", F.least("mid", F.coalesce("far", "mid")).alias("component")), label)
-        if new.where("old <> component").isEmpty():
-            return new.select("node", "component")
-        labels = new.select("node", "component")
+    live, known = stored(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), label), None
+    while known is None or not live.isEmpty():
+        both = live.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
+        ends = stored(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("end")), label)
+        while True:
+            jump = ends.select(F.col("node").alias("end"), F.col("end").alias("far"))
+            # many nodes of a large component share one end
+            ends = stored(spread_join(ends, jump, "end", "node").select("node", F.col("far").alias("end"), (F.col("far") < F.col("end")).alias("moved")), label)
+            if ends.where("moved").isEmpty():
+                break
+            ends = ends.select("node", "end")
+        ends = ends.select("node", "end")
+        if known is None:
+            known = ends.withColumnRenamed("end", "component")
+        else:
+            further = ends.select(F.col("node").alias("component"), "end")
+            known = stored(spread_join(known, further, "component", "node", how="left").select("node", F.coalesce("end", "component").alias("component")), label)
+        of = lambda x: ends.select(F.col("node").alias(x), F.col("end").alias(f"{x}_end"))
+        joined = live.join(of("u"), "u").join(of("v"), "v").where("u_end <> v_end")
+        live = stored(joined.select(F.least("u_end", "v_end").alias("u"), F.greatest("u_end", "v_end").alias("v")).distinct(), label)
+    return known
