@@ -18,7 +18,7 @@ chance that a borderline pair is lost in all of them is below ``LOSS``.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import combinations
 
@@ -117,7 +117,7 @@ def set_table(rows: DataFrame, n: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, key long, row_hash long, n_shingles long, set_id long")
 
 
-def signature_table(rows: DataFrame, n: int, percent: int) -> DataFrame:
+def signature_table(rows: DataFrame, n: int, sign: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """(signature, set_id) of every distinct set; a task gives those of equal sets that it meets close together once."""
 
     @lean
@@ -133,7 +133,7 @@ def signature_table(rows: DataFrame, n: int, percent: int) -> DataFrame:
                     if len(elements) and (own := set_id(elements)) not in done:
                         done.add(own)
                         ids.append(own)
-                        found.append(signatures(elements, percent))
+                        found.append(sign(elements))
                 if ids:
                     ends = np.concatenate(([0], np.cumsum([len(f) for f in found])))
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found).view(np.int64)))], ["set_id", "signatures"])
@@ -238,9 +238,11 @@ def cluster_links(members: DataFrame, n: int, percent: int, tasks: int) -> DataF
     return pairs.groupBy("task").applyInArrow(run, "u long, v long, links long")
 
 
-def jaccard_rows(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+def jaccard_rows(docs: DataFrame, n: int = 5, percent: int = 80, sign: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """doc_id, identity, n_shingles, component_id, n_links, kept of every row of docs.
 
+    ``sign``: gives the signatures of a set, of which linked sets share at least one; PartEnum's if not given.
+
     ``identity``: a hash of the text, which tells rows of one doc_id apart; ``kept``: true for one row of a
     component, that of least doc_id and then least identity (rows that repeat doc_id and text share it), and for
     every row with an empty set. The rest is as ``jaccard_components`` says.
@@ -248,7 +250,7 @@ def jaccard_rows(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     rows = keyed(docs)
     sets = stored(set_table(rows, n), "jaccard-sets")
     # equal signatures: a chain through the sets that share one, in order of set_id, streaming within the sort
-    chain = signature_table(rows, n, percent).select("set_id", F.lag("set_id").over(W.partitionBy("signature").orderBy("set_id")).alias("before")).where("before <> set_id")
+    chain = signature_table(rows, n, sign or (lambda elements: signatures(elements, percent))).select("set_id", F.lag("set_id").over(W.partitionBy("signature").orderBy("set_id")).alias("before")).where("before <> set_id")
     with shuffle_cleanup(docs.sparkSession):
         pairs = stored(chain.select(F.col("before").alias("u"), F.col("set_id").alias("v")).distinct(), "jaccard-chains")
     clusters = components(pairs, "jaccard-candidates")
@@ -292,6 +294,11 @@ def without_near_copies(docs: DataFrame, n: int = 5, percent: int = 80) -> DataF
 
     Of rows that repeat doc_id and text one stays; rows of one doc_id with other texts are rows of their own.
     """
+    return one_of_each_component(docs, jaccard_rows(docs, n, percent))
+
+
+def one_of_each_component(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of docs that ``found``, of ``jaccard_rows``, keeps."""
     words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    kept = jaccard_rows(docs, n, percent).where("kept AND n_shingles > 0")
+    kept = found.where("kept AND n_shingles > 0")
     return one_row_each(docs.where(words), kept, F.xxhash64("text")).unionByName(docs.where(~words))

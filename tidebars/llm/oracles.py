@@ -27,6 +27,45 @@ WITH RECURSIVE l AS (SELECT doc_id, regexp_extract_all({_LOW}, {_WORD}) AS ws FR
  f AS (SELECT x, min(y) AS component_id FROM r GROUP BY 1), d AS (SELECT a, count(*) AS n_links FROM e GROUP BY 1)
 SELECT x AS doc_id, coalesce(n, 0) AS n_shingles, component_id, coalesce(n_links, 0) AS n_links FROM f LEFT JOIN k ON k.doc_id = x LEFT JOIN d ON d.a = x"""
 
+MINHASH_DEDUP = f"""
+WITH RECURSIVE l AS (SELECT doc_id, regexp_extract_all({_LOW}, {_WORD}) AS ws FROM documents),
+ w AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS a, unnest(range(1, len(ws) + 1)) AS i FROM l),
+ t AS (SELECT doc_id, n, i, a, lead(a) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM w),
+ g AS (SELECT DISTINCT doc_id, concat_ws(' ', a, b) AS s FROM t WHERE b IS NOT NULL OR n < 2 AND i = 1),
+ k AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+ p AS (SELECT x.doc_id AS u, y.doc_id AS v, count(*) AS c FROM g x JOIN g y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2),
+ m AS (SELECT u, v FROM p JOIN k x ON p.u = x.doc_id JOIN k y ON p.v = y.doc_id WHERE 100 * c >= 80 * (x.n + y.n - c)),
+ e AS (SELECT u AS a, v AS b FROM m UNION ALL SELECT v, u FROM m),
+ r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a),
+ f AS (SELECT x, min(y) AS component_id FROM r GROUP BY 1)
+SELECT x AS doc_id, coalesce(n, 0) AS n_shingles, component_id, x = component_id AS kept FROM f LEFT JOIN k ON k.doc_id = x"""
+
+HARD_NEGATIVES = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+   WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_inner_product(a.e, b.e)::BIGINT AS score FROM v a, v b WHERE a.vec_id % 100 = 0),
+ p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same AND other <> anchor_id QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT p.anchor_id, positive_id, row_number() OVER w::INT AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other) QUALIFY row_number() OVER w <= 10"""
+
+_FEATURES = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+#: Steps of crc32 for each of the 256 bytes, and crc32 of a word's bytes.
+_CRC_STEP = "list_reduce(range(9), lambda c, k: CASE WHEN k = 0 THEN c WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)"
+_CRC = "xor(list_reduce(list_transform(regexp_extract_all(hex(encode(w)), '..'), lambda h: ('0x' || h)::BIGINT), lambda c, x: xor(c >> 8, steps[(xor(c, x) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT)"
+
+IMPORTANCE = f"""
+WITH c AS (SELECT list({_CRC_STEP} ORDER BY i) AS steps FROM (SELECT unnest(range(256)) AS i)),
+ d AS (SELECT doc_id, regexp_extract_all({_LOW}, {_FEATURES}) AS ws FROM documents),
+ x AS (SELECT 0 AS side, doc_id, unnest(ws) AS w FROM d UNION ALL SELECT 1, NULL, unnest(regexp_extract_all({_LOW}, {_FEATURES})) FROM benchmark),
+ f AS (SELECT w, {_CRC} % 10000 AS bucket FROM (SELECT DISTINCT w FROM x), c),
+ b AS (SELECT bucket, count(*) FILTER (side = 0)::DOUBLE AS s, count(*) FILTER (side = 1)::DOUBLE AS t FROM x JOIN f USING (w) GROUP BY 1),
+ g AS (SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM b) + 10000) / ((s + 1) * ((SELECT sum(t) FROM b) + 10000))))::BIGINT AS gain FROM b),
+ k AS (SELECT doc_id, sum(gain) AS weight FROM x JOIN f USING (w) JOIN g USING (bucket) WHERE side = 0 GROUP BY 1),
+ z AS (SELECT doc_id, len(ws) AS n_features, coalesce(weight, 0)::BIGINT AS weight, coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM d LEFT JOIN k USING (doc_id)),
+ r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) FILTER (n_features >= 20) OVER () AS enough FROM z)
+SELECT doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * enough // 100 THEN place END AS rank FROM r"""
+
 SUBSTRING_DEDUP = f"""
 WITH l AS (SELECT doc_id, regexp_extract_all({_TEXT}, {_WORD}) AS ws FROM documents),
  w AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS a, unnest(range(1, len(ws) + 1)) AS i FROM l),
@@ -91,4 +130,7 @@ ORACLE_SQL: dict[str, str] = {
     "op5_suffix_dedup": SUFFIX_DEDUP,
     "op6_exact_dedup": EXACT_DEDUP,
     "op10_url_filter": URL_FILTER,
+    "op11_hard_negatives": HARD_NEGATIVES,
+    "op12_importance_resampling": IMPORTANCE,
+    "op13_minhash_dedup": MINHASH_DEDUP,
 }
