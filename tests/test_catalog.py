@@ -22,7 +22,7 @@ def _rows(df: pd.DataFrame) -> list[tuple]:
     df = df[sorted(df.columns)]
 
     def cell(v):
-        if v is None or v is pd.NaT or isinstance(v, float) and v != v:
+        if v is None or v is pd.NaT or v is pd.NA or isinstance(v, float) and v != v:
             return ""
         if isinstance(v, (pd.Timestamp,)):
             return str(v.tz_localize(None) if v.tzinfo else v)
