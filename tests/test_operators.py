@@ -210,8 +210,8 @@ def test_streaming_bars_equal_batch_bars(spark, tmp_path):
 def test_model_round_trip(spark, tmp_path):
     df = closes(spark, range(40)).withColumn("y", (F.col("close") % 2).cast("int"))
     model = models.fit_classifier(df, ["close", "volume"], "y", models.Settings(2, 0.1, 2, weighted=True))
-    models.save(model, str(tmp_path / "m"))
-    assert models.predict_classes(models.load(str(tmp_path / "m")), df).count() == 40
+    models.save(spark, model, str(tmp_path / "m"))
+    assert models.predict_classes(models.load(spark, str(tmp_path / "m")), df).count() == 40
     with pytest.raises(ValueError):
         models.positive_weight(df.where("y = 0"), "y")
 

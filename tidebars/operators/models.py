@@ -1,35 +1,17 @@
-"""Gradient-boosted trees on Spark ML, with the settings of the four models."""
+"""The four boosted models: settings, class weights, predictions, importance, files."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import boosting
+from .boosting import Booster, Settings
 
-@dataclass(frozen=True)
-class Settings:
-    """Rounds, learning rate, depth, row and column shares, least rows of a leaf. L1 and L2 penalties have no counterpart in Spark ML."""
-
-    rounds: int
-    rate: float
-    depth: int
-    rows: float = 0.8
-    columns: float = 0.8
-    leaf: int = 1
-    weighted: bool = False
-
-
-DAY_RETURN = Settings(300, 0.05, 5, leaf=3)
-DIRECTION = Settings(400, 0.03, 4, leaf=3)
-HIGH_VOLATILITY = Settings(350, 0.04, 4, 0.85, 0.85, 3, True)
-DROP = Settings(500, 0.03, 4, weighted=True)
+DAY_RETURN = Settings(300, 0.05, 5, 0.8, 0.8, 3, 0.1, 1.0)
+DIRECTION = Settings(400, 0.03, 4, 0.8, 0.8, 3, 0.1, 1.0)
+HIGH_VOLATILITY = Settings(350, 0.04, 4, 0.85, 0.85, 3, 0.1, 1.0, weighted=True)
+DROP = Settings(500, 0.03, 4, 0.8, 0.8, weighted=True)
 
 
 def positive_weight(train: DataFrame, label: str) -> float:
@@ -40,32 +22,23 @@ def positive_weight(train: DataFrame, label: str) -> float:
     return row["n"] / row["p"]
 
 
-def _common(s: Settings) -> dict:
-    return {"featuresCol": "features", "maxIter": s.rounds, "stepSize": s.rate, "maxDepth": s.depth, "subsamplingRate": s.rows, "featureSubsetStrategy": str(s.columns), "minInstancesPerNode": s.leaf, "seed": 42}
+def fit_classifier(train: DataFrame, features: list[str], label: str, settings: Settings) -> Booster:
+    return boosting.fit(train, features, label, settings, "logistic", positive_weight(train, label) if settings.weighted else 1.0)
 
 
-def fit_classifier(train: DataFrame, features: list[str], label: str, settings: Settings) -> PipelineModel:
-    rows = train
-    if settings.weighted:
-        rows = train.withColumn("_weight", F.when(F.col(label) == 1, positive_weight(train, label)).otherwise(1.0))
-    model = GBTClassifier(labelCol=label, **_common(settings), **({"weightCol": "_weight"} if settings.weighted else {}))
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip"), model]).fit(rows)
+def fit_regressor(train: DataFrame, features: list[str], label: str, settings: Settings = DAY_RETURN) -> Booster:
+    return boosting.fit(train, features, label, settings, "squared")
 
 
-def fit_regressor(train: DataFrame, features: list[str], label: str, settings: Settings = DAY_RETURN) -> PipelineModel:
-    model = GBTRegressor(labelCol=label, predictionCol="y_pred", **_common(settings))
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip"), model]).fit(train)
-
-
-def predict_classes(model: PipelineModel, df: DataFrame, negative: str = "pred_proba_0", positive: str = "pred_proba_1") -> DataFrame:
+def predict_classes(model: Booster, df: DataFrame, negative: str = "pred_proba_0", positive: str = "pred_proba_1") -> DataFrame:
     """Both probabilities, and the label at one half."""
-    p = vector_to_array("probability")
-    out = model.transform(df).withColumns({negative: p[0], positive: p[1]}).withColumn("pred_label", (F.col(positive) >= 0.5).cast("int"))
-    return out.select(*df.columns, negative, positive, "pred_label")
+    p = 1 / (1 + F.exp(-F.col("_margin")))
+    out = boosting.with_margin(model, df, "_margin").withColumn(positive, p).withColumn(negative, 1 - F.col(positive))
+    return out.select(*df.columns, negative, positive, (F.col(positive) >= 0.5).cast("int").alias("pred_label"))
 
 
-def predict_values(model: PipelineModel, df: DataFrame) -> DataFrame:
-    return model.transform(df).select(*df.columns, "y_pred")
+def predict_values(model: Booster, df: DataFrame) -> DataFrame:
+    return boosting.with_margin(model, df, "y_pred")
 
 
 def exceedance(df: DataFrame, column: str = "y_pred", bounds: tuple[float, ...] = (0.005, -0.005)) -> DataFrame:
@@ -74,18 +47,16 @@ def exceedance(df: DataFrame, column: str = "y_pred", bounds: tuple[float, ...]
     return df.agg(*over)
 
 
-def importance(model: PipelineModel, features: list[str], most: int | None = None) -> DataFrame:
+def importance(spark: SparkSession, model: Booster, most: int | None = None) -> DataFrame:
     """(feature, importance), the largest first."""
-    from pyspark.sql import SparkSession
-
-    values = model.stages[-1].featureImportances.toArray().tolist()
-    out = SparkSession.getActiveSession().createDataFrame(list(zip(features, values)), "feature string, importance double").orderBy(F.desc("importance"), "feature")
+    out = spark.createDataFrame(list(model.importance().items()), "feature string, importance double").orderBy(F.desc("importance"), "feature")
     return out.limit(most) if most else out
 
 
-def save(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save(spark: SparkSession, model: Booster, path: str) -> None:
+    """The model as one JSON document."""
+    spark.createDataFrame([(model.to_json(),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
-def load(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load(spark: SparkSession, path: str) -> Booster:
+    return Booster.from_json(spark.read.text(path, wholetext=True).first()[0])

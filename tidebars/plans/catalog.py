@@ -15,6 +15,7 @@ from ..functions import columns as C
 from ..operators import backtest as B
 from ..operators import clean, indicators, joins, labels, metrics, models, patterns, similarity, simulate, split, stats
 from ..operators.bars import resample
+from ..storage import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -771,36 +772,56 @@ def regression_metrics(spark, sf_dir):
     return metrics.regression(x, "r", "b")
 
 
-_FEATURES = ["return_1", "ma_distance_20", "volatility_20", "rsi_14", "high_low_range"]
+def model_features() -> list[str]:
+    """The sixteen features of a bar and five of each longer timeframe."""
+    return [*indicators.MAIN_FEATURES, *[f"{p}_{c}" for p in ("h1", "h4") for c in indicators.AUX_FEATURES]]
 
 
-def _training(spark, sf_dir) -> DataFrame:
-    rows = labels.risk_labels(labels.next_bar(indicators.main_features(bars(spark, sf_dir)).drop("ma_60", "ma_120", "ma_distance_60", "volatility_60")))
-    return split.split_three(rows)
+def model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled rows of quarter hours with all features of three timeframes, split in order of time; written once for fit and predictions."""
+    rows = labels.next_bar(indicators.main_features(bars(spark, sf_dir, "15 minutes")))
+    for prefix, duration in (("h1", "1 hour"), ("h4", "4 hours")):
+        rows = joins.asof_join(rows, indicators.aux_features(bars(spark, sf_dir, duration), prefix, duration))
+    return stored(split.split_three(labels.risk_labels(rows)), "models")
+
+
+def _predicted(spark, sf_dir, label: str, settings: models.Settings, negative: str, positive: str, *others: str) -> DataFrame:
+    rows = model_rows(spark, sf_dir)
+    model = models.fit_classifier(rows.where("split = 'train'"), model_features(), label, settings)
+    return models.predict_classes(model, rows.where("split = 'test'"), negative, positive).select("symbol", "ts", label, *others, negative, positive, "pred_label")
 
 
 @query()
 def gbt_classify(spark, sf_dir):
-    rows = _training(spark, sf_dir).cache()
-    model = models.fit_classifier(rows.where("split = 'train'"), _FEATURES, "target_volatility_high_next_4", models.HIGH_VOLATILITY)
-    rows.unpersist()
-    out = models.predict_classes(model, rows.where("split = 'test'"))
-    return out.select("symbol", "ts", "target_volatility_high_next_4", "pred_proba_0", "pred_proba_1", "pred_label")
+    """High-volatility model: probabilities on the test split."""
+    return _predicted(spark, sf_dir, "target_volatility_high_next_4", models.HIGH_VOLATILITY, "pred_proba_low_vol", "pred_proba_high_vol")
+
+
+@query()
+def gbt_direction(spark, sf_dir):
+    """Direction model: probabilities on the test split."""
+    return _predicted(spark, sf_dir, "target_up_next", models.DIRECTION, "pred_proba_down", "pred_proba_up", "target_return_next")
+
+
+@query()
+def gbt_drop(spark, sf_dir):
+    """Drop-risk model: probabilities on the test split."""
+    return _predicted(spark, sf_dir, "target_drop_next_4", models.DROP, "pred_proba_no_drop", "pred_proba_drop", "target_return_next_4", "target_volatility_high_next_4", "target_big_move_next_4", "target_return_next", "target_up_next")
 
 
 @query()
 def gbt_regress(spark, sf_dir):
-    rows = _training(spark, sf_dir).cache()
-    model = models.fit_regressor(rows.where("split = 'train'"), _FEATURES, "target_return_next", models.DAY_RETURN)
-    rows.unpersist()
+    """Return model: predictions on the test split."""
+    rows = model_rows(spark, sf_dir)
+    model = models.fit_regressor(rows.where("split = 'train'"), model_features(), "target_return_next", models.DAY_RETURN)
     return models.predict_values(model, rows.where("split = 'test'")).select("symbol", "ts", "target_return_next", "y_pred")
 
 
 @query()
 def feature_importance(spark, sf_dir):
-    rows = _training(spark, sf_dir)
-    model = models.fit_classifier(rows.where("split = 'train'"), _FEATURES, "target_up_next", models.DIRECTION)
-    return models.importance(model, _FEATURES, 10)
+    """The ten features that gain most in the direction model."""
+    model = models.fit_classifier(model_rows(spark, sf_dir).where("split = 'train'"), model_features(), "target_up_next", models.DIRECTION)
+    return models.importance(spark, model, 10)
 
 
 _MAIN = [f"return_{k}" for k in (1, 3, 5, 10)] + [f"ma_{n}" for n in (20, 60, 120)] + [f"ma_distance_{n}" for n in (20, 60)] + [f"volatility_{n}" for n in (20, 60)] + ["rsi_14", "volume_change_1", "volume_ma_20", "high_low_range", "close_open_return"]
