@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 import pandas as pd
@@ -9,7 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import series
+from ..storage import stored
 from .backtest import drawdown, equity
+from .ranges import chunked
 
 
 @dataclass(frozen=True)
@@ -88,6 +91,18 @@ def step(side: int, entry: float, wait: int, pred: float, close: float, high: fl
     return side, entry, wait, seen
 
 
+def folded(rows: pd.DataFrame, state: tuple[int, float | None, int], rules: Rules) -> pd.DataFrame:
+    """Sorted rows of one series from a state on: side, entry price, rows to wait."""
+    side, entry, wait = state
+    entry, out = float("nan") if entry is None else entry, []
+    for r in rows.itertuples(index=False):
+        began = _SIDE[side]
+        side, entry, wait, seen = step(side, entry, wait, r.y_pred, r.close, r.next_high, r.next_low, r.next_close, rules)
+        cost = seen["fee_events"] * rules.fee
+        out.append({"symbol": r.symbol, "ts": r.ts, "starting_position": began, "position_state": _SIDE[side], "position": side, "entry_price": None if entry != entry else entry, "fee_cost": cost, "net_return": seen["gross_return"] - cost, "cooldown_remaining": wait, "bar_return": r.bar_return} | seen)
+    return pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
+
+
 def simulate(df: DataFrame, rules: Rules | None = None) -> DataFrame:
     """Positions and returns row by row, from (symbol, ts, y_pred, close, next_high, next_low, next_close, bar_return).
 
@@ -97,18 +112,100 @@ def simulate(df: DataFrame, rules: Rules | None = None) -> DataFrame:
     rules = rules or Rules()
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        side, entry, wait, out = 0, float("nan"), 0, []
-        for r in rows.sort_values("ts").itertuples(index=False):
-            began = _SIDE[side]
-            side, entry, wait, seen = step(side, entry, wait, r.y_pred, r.close, r.next_high, r.next_low, r.next_close, rules)
-            cost = seen["fee_events"] * rules.fee
-            out.append({"symbol": r.symbol, "ts": r.ts, "starting_position": began, "position_state": _SIDE[side], "position": side, "entry_price": None if entry != entry else entry, "fee_cost": cost, "net_return": seen["gross_return"] - cost, "cooldown_remaining": wait, "bar_return": r.bar_return} | seen)
-        return pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
+        return folded(rows.sort_values("ts"), (0, None, 0), rules)
 
     needed = ["symbol", "ts", "y_pred", "close", "next_high", "next_low", "next_close", "bar_return"]
     return df.select(*needed).dropna().groupBy("symbol").applyInPandas(fold, SCHEMA)
 
 
+_NEEDED = ("y_pred", "close", "next_high", "next_low", "next_close")
+State = tuple[int, float | None, int]
+
+
+def _after(state: State, row: tuple, rules: Rules) -> State:
+    side, entry, wait, _ = step(state[0], float("nan") if state[1] is None else state[1], state[2], *row, rules)
+    return side, None if entry != entry else entry, wait
+
+
+def _end(rows: list[tuple], i: int, state: State, rules: Rules, known: dict) -> State:
+    """The state after all rows from the ``i``-th on; runs that fall together with one taken before stop there."""
+    passed = []
+    while i < len(rows) and (i, state) not in known:
+        passed.append((i, state))
+        state, i = _after(state, rows[i], rules), i + 1
+    state = known.get((i, state), state)
+    known.update(dict.fromkeys(passed, state))
+    return state
+
+
+def state_map(rows: list[tuple], rules: Rules) -> dict:
+    """What any state ahead of the rows turns into behind them.
+
+    ``cash``: by rows still to wait. ``long`` and ``short``: as the entry price is not known, the rows at which a stop or a
+    target could be met first, with the state that follows at the end, and the end of a position that meets none: one that a prediction closes or
+    turns, or None where it stays open.
+    """
+    known: dict = {}
+    out: dict = {"cash": [_end(rows, 0, (0, None, w), rules, known) for w in range(rules.cooldown + 1)]}
+    for side, name in ((1, "long"), (-1, "short")):
+        steps, low, high, end = [], float("inf"), float("-inf"), None
+        for i, row in enumerate(rows):
+            against = -side * row[0]
+            if against > rules.enter or against > rules.leave:
+                end = _end(rows, i + 1, _after((side, 1.0, 0), row, rules), rules, known)
+                break
+            if row[3] < low or row[2] > high:  # only a new extreme can be the first to meet a bound
+                low, high = min(low, row[3]), max(high, row[2])
+                worst, best = (row[3], row[2]) if side > 0 else (row[2], row[3])
+                steps.append((worst, best, _end(rows, i + 1, (0, None, rules.cooldown), rules, known)))
+        out[name] = (steps, end)
+    return out
+
+
+def mapped(state: State, found: dict, rules: Rules) -> State:
+    """The state behind the rows of a ``state_map``."""
+    side, entry, wait = state
+    if not side:
+        return tuple(found["cash"][wait])
+    steps, end = found["long" if side > 0 else "short"]
+    stop, target = entry * (1 - side * rules.stop), entry * (1 + side * rules.target)
+    for worst, best, then in steps:
+        if side * (worst - stop) <= 0 or side * (best - target) >= 0:
+            return tuple(then)
+    return tuple(end) if end else state
+
+
+def simulate_ranges(df: DataFrame, rules: Rules | None = None, rows: int | None = None) -> DataFrame:
+    """As ``simulate``, with every series cut into chunks that run side by side.
+
+    A first pass gives each chunk's map from states ahead of it to states behind it; the maps, one row for each chunk, are
+    composed in order of time; a second pass runs each chunk from its start state. No task holds more than a chunk, or a series' maps.
+    """
+    rules = rules or Rules()
+    chunks = chunked(df.select("symbol", "ts", *_NEEDED, "bar_return").dropna(), rows=rows)
+
+    def maps(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("_pos")
+        found = state_map(list(part[list(_NEEDED)].itertuples(index=False, name=None)), rules)
+        return pd.DataFrame({"symbol": part["symbol"].iloc[:1], "_chunk": part["_chunk"].iloc[:1], "found": [json.dumps(found)]})
+
+    def compose(part: pd.DataFrame) -> pd.DataFrame:
+        state, starts = (0, None, 0), []
+        part = part.sort_values("_chunk")
+        for found in part["found"]:
+            starts.append(state)
+            state = mapped(state, json.loads(found), rules)
+        return part[["symbol", "_chunk"]].assign(side=[s[0] for s in starts], entry=[s[1] for s in starts], wait=[s[2] for s in starts])
+
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
+        first = part.iloc[0]
+        return folded(part.sort_values("_pos"), (int(first["side"]), first["entry"], int(first["wait"])), rules)
+
+    found = stored(chunks.groupBy("symbol", "_chunk").applyInPandas(maps, "symbol string, _chunk long, found string"), "state-maps")
+    starts = found.groupBy("symbol").applyInPandas(compose, "symbol string, _chunk long, side int, entry double, wait int")
+    return chunks.join(starts, ["symbol", "_chunk"]).groupBy("symbol", "_chunk").applyInPandas(fold, SCHEMA)
+
+
 def equity_curves(rows: DataFrame) -> DataFrame:
     """Simulated rows with the growth of holding, and of the strategy before and after fees."""
     kinds = {"buy_hold_equity": "bar_return", "gross_equity": "gross_return", "strategy_equity": "net_return"}

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import backtest as B
-from ..operators import clean, indicators, joins, labels, metrics, models, patterns, similarity, simulate, split, stats
+from ..operators import clean, indicators, joins, labels, metrics, models, patterns, ranges, similarity, simulate, split, stats
 from ..operators.bars import resample
 from ..storage import stored
 
@@ -51,18 +51,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ticks(spark: SparkSession, sf_dir: str, one: bool = False) -> DataFrame:
+    """Events as trades; ``one``: of a single symbol."""
     volume = F.get_json_object("props", "$.k").cast("double")
-    return _table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), "ts", "event_id", F.col("value").alias("price"), volume.alias("volume"), (F.col("value") * volume).alias("turnover"))
+    return _table(spark, sf_dir, "events").select((F.lit("ALL") if one else F.col("event_type")).alias("symbol"), "ts", "event_id", F.col("value").alias("price"), volume.alias("volume"), (F.col("value") * volume).alias("turnover"))
 
 
-def bars(spark: SparkSession, sf_dir: str, duration: str = "1 hour") -> DataFrame:
-    return resample(ticks(spark, sf_dir), duration, ["ts", "event_id"], "price")
+def bars(spark: SparkSession, sf_dir: str, duration: str = "1 hour", one: bool = False) -> DataFrame:
+    return resample(ticks(spark, sf_dir, one), duration, ["ts", "event_id"], "price")
 
 
-def bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bounded(spark: SparkSession, sf_dir: str, one: bool = False) -> DataFrame:
     """Hourly bars with a return within one percent and a probability-like place of the close in its range."""
-    b = bars(spark, sf_dir)
+    b = bars(spark, sf_dir, one=one)
     return b.withColumns({"r": (F.col("close") - F.col("open")) / (100 * F.col("high")), "p": F.coalesce(F.try_divide(F.col("close") - F.col("low"), F.col("high") - F.col("low")), F.lit(0.5))})
 
 
@@ -668,10 +669,13 @@ def similarity_filters(spark, sf_dir):
 # --- simulation ---
 
 
-def _simulated(spark, sf_dir) -> DataFrame:
-    x = bounded(spark, sf_dir)
+def _simulator_rows(x: DataFrame) -> DataFrame:
     flat = x.select("symbol", "ts", (F.col("r") * 2).alias("y_pred"), (100 + F.col("p")).alias("close"), (100 + F.col("p") + F.col("volume") / 100).alias("high"), (100 + F.col("p") - F.col("volume") / 150).alias("low"))
-    return simulate.simulate(simulate.next_bar_view(flat))
+    return simulate.next_bar_view(flat)
+
+
+def _simulated(spark, sf_dir) -> DataFrame:
+    return simulate.simulate(_simulator_rows(bounded(spark, sf_dir)))
 
 
 _SIM = f"""WITH RECURSIVE {_R[5:]}, v AS (SELECT symbol, ts, r * 2 AS pred, 100 + p AS close, lead(100 + p + volume / 100) OVER {_W} AS nh, lead(100 + p - volume / 150) OVER {_W} AS nl, lead(100 + p) OVER {_W} AS nc FROM x),
@@ -686,11 +690,18 @@ _SIM = f"""WITH RECURSIVE {_R[5:]}, v AS (SELECT symbol, ts, r * 2 AS pred, 100
  CASE WHEN f.side <> 0 AND -f.side * n.pred > 0.005 THEN 2 WHEN f.side <> 0 AND -f.side * n.pred > 0.001 THEN 1 ELSE 0 END AS f1, CASE WHEN f.side <> 0 AND -f.side * n.pred > 0.001 THEN 1 ELSE 0 END AS m1, CASE WHEN f.side <> 0 AND -f.side * n.pred > 0.001 THEN 1 ELSE 0 END AS te FROM f JOIN n ON f.symbol = n.symbol AND n.rn = f.rn + 1)))))"""
 
 
-@query(_SIM + " SELECT symbol, ts, CAST(side AS INT) AS position, round(gross, 6) + 0.0 AS gross_return, round(gross - fees * 0.0005, 6) + 0.0 AS net_return, CAST(fees AS INT) AS fee_events, CAST(moves AS INT) AS position_change, CAST(tp AS INT) AS take_profit_exit, CAST(sl AS INT) AS stop_loss_exit, CAST(te AS INT) AS threshold_exit, CAST(cb AS INT) AS cooldown_blocked, CAST(wait AS INT) AS cooldown_remaining FROM f WHERE rn > 0")
-def futures_state_machine(spark, sf_dir):
+_STATES = " SELECT symbol, ts, CAST(side AS INT) AS position, round(gross, 6) + 0.0 AS gross_return, round(gross - fees * 0.0005, 6) + 0.0 AS net_return, CAST(fees AS INT) AS fee_events, CAST(moves AS INT) AS position_change, CAST(tp AS INT) AS take_profit_exit, CAST(sl AS INT) AS stop_loss_exit, CAST(te AS INT) AS threshold_exit, CAST(cb AS INT) AS cooldown_blocked, CAST(wait AS INT) AS cooldown_remaining FROM f WHERE rn > 0"
+
+
+def _state_columns(rows: DataFrame) -> DataFrame:
     # rounded as in the SQL; adding zero gives both engines one zero
     rounded = [(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("gross_return", "net_return")]
-    return _simulated(spark, sf_dir).select("symbol", "ts", "position", *rounded, "fee_events", "position_change", "take_profit_exit", "stop_loss_exit", "threshold_exit", "cooldown_blocked", "cooldown_remaining")
+    return rows.select("symbol", "ts", "position", *rounded, "fee_events", "position_change", "take_profit_exit", "stop_loss_exit", "threshold_exit", "cooldown_blocked", "cooldown_remaining")
+
+
+@query(_SIM + _STATES)
+def futures_state_machine(spark, sf_dir):
+    return _state_columns(_simulated(spark, sf_dir))
 
 
 _COUNTED = {"n_fee_events": "fees", "n_position_change": "moves", "n_take_profit_exit": "tp", "n_stop_loss_exit": "sl", "n_threshold_exit": "te", "n_cooldown_blocked": "cb"}
@@ -843,3 +854,54 @@ def full_features(spark, sf_dir):
     main = labels.next_bar(indicators.main_features(bars(spark, sf_dir)))
     rows = joins.asof_join(main, indicators.aux_features(bars(spark, sf_dir, "4 hours"), "h4", "4 hours"))
     return labels.risk_labels(rows)
+
+
+# --- one series over many tasks: all events as one symbol ---
+
+#: Rows of a chunk in these queries, few enough for the smallest tables to have several.
+_CHUNK = 200
+
+
+def _one(sql: str) -> str:
+    return sql.replace("event_type AS symbol", "'ALL' AS symbol")
+
+
+@query(_one(f"{_FULL} SELECT symbol, ts, {', '.join(f'round({c}, 6) AS {c}' for c in _MAIN)} FROM m3"))
+def long_series_features(spark, sf_dir):
+    """The features of one long series in chunks with halos."""
+    return ranges.halo(bars(spark, sf_dir, one=True), indicators.main_features, 120, rows=_CHUNK).select("symbol", "ts", *_MAIN)
+
+
+@query(_one(f"{_R}, w AS (SELECT symbol, lag(ts, 47) OVER {_W} AS window_start_ts, ts AS window_end_ts, row_number() OVER {_W} AS rn, {', '.join(f'{a}(p) OVER {_frame(48)} AS p_{n}' for n, a in (('mean', 'avg'), ('std', 'stddev_pop'), ('min', 'min'), ('max', 'max')))}, p AS p_last, lag(p, 47) OVER {_W} AS p_first FROM x) SELECT symbol, window_start_ts, window_end_ts, CAST(48 AS INT) AS pattern_length, {', '.join(f'round(p_{n}, 6) AS p_{n}' for n in ('mean', 'std', 'min', 'max', 'last', 'first'))}, round(p_last - p_first, 6) AS p_change FROM w WHERE rn >= 48"))
+def long_series_patterns(spark, sf_dir):
+    """Window summaries of one long series, 48 rows each, in chunks with halos."""
+    return ranges.halo(bounded(spark, sf_dir, one=True), lambda df: patterns.pattern_summary(df, ["p"], 48), 48, rows=_CHUNK, out_time="window_end_ts")
+
+
+@query(_one(_EQ + f" SELECT symbol, ts, round(equity, 6) AS equity, round(equity / max(equity) OVER {_RUN} - 1, 6) AS drawdown FROM q"))
+def long_series_equity(spark, sf_dir):
+    """Growth and drawdown of one long series by scans of chunk summaries."""
+    chunks = ranges.chunked(bounded(spark, sf_dir, one=True), rows=_CHUNK)
+    return ranges.drawdown_scan(ranges.equity_scan(chunks)).select("symbol", "ts", "equity", "drawdown")
+
+
+@query(_one(_TRADES + " SELECT symbol, trade_id, min(ts) AS entry_ts, count(*) AS n_bars, round(product(1 + r) - 1, 6) AS trade_return FROM i WHERE position = 1 GROUP BY 1, 2"))
+def long_series_trades(spark, sf_dir):
+    """Trades of one long series; the signal's delay by a halo of one row, the runs by scans."""
+    delayed = lambda df: df.withColumn("position", B.delayed((F.col("p") >= 0.6).cast("int"), C.series(), 0).cast("int"))
+    return ranges.trades_scan(ranges.chunked(ranges.halo(bounded(spark, sf_dir, one=True), delayed, 1, rows=_CHUNK), rows=_CHUNK), r="r")
+
+
+@query(_one(f"{_E}, {_bars_sql('15 minutes')}, {_aux_sql('1 hour', 'h1', 'a')}, {_aux_sql('4 hours', 'h4', 'c')} SELECT b.symbol, b.ts, round(b.close, 6) AS close, {_aux_columns('h1')}, {_aux_columns('h4')} FROM b ASOF LEFT JOIN a ON b.symbol = a.symbol AND b.ts >= a.ts ASOF LEFT JOIN c ON b.symbol = c.symbol AND b.ts >= c.ts WHERE a.ts IS NOT NULL AND c.ts IS NOT NULL"))
+def long_series_asof(spark, sf_dir):
+    """Two longer timeframes as of each bar of one long series, merged in chunks."""
+    out = bars(spark, sf_dir, "15 minutes", one=True).select("symbol", "ts", "close")
+    for prefix, duration in (("h1", "1 hour"), ("h4", "4 hours")):
+        out = ranges.asof_join_ranges(out, indicators.aux_features(bars(spark, sf_dir, duration, one=True), prefix, duration), rows=_CHUNK)
+    return out.where("h1_trend IS NOT NULL AND h4_trend IS NOT NULL")
+
+
+@query(_one(_SIM + _STATES))
+def long_series_state_machine(spark, sf_dir):
+    """The state machine on one long series, chunks side by side."""
+    return _state_columns(simulate.simulate_ranges(_simulator_rows(bounded(spark, sf_dir, one=True)), rows=_CHUNK))
