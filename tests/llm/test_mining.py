@@ -12,7 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from tidebars.llm import hard_negatives, importance, jaccard, minhash
+from tidebars.llm import bpe, hard_negatives, importance, jaccard, minhash, queries, tokens
+from tidebars.llm.common import draw_bound, drawn
 
 CLASH = ("block", "row", "rank", "score", "chunk", "anchor", "bucket", "place", "id", "tuple", "weight")
 EMBEDDINGS = "vec_id long, embedding array<float>, label int"
@@ -157,3 +158,43 @@ def test_bands_find_borderline_pairs_and_values_estimate_similarity():
         agree.append((x == y).mean())
     assert missed == 0
     assert abs(np.mean(agree) - 0.8) < 0.01 and np.std(agree) < 1.1 * math.sqrt(0.8 * 0.2 / 400)
+
+
+@pytest.fixture(scope="module")
+def raw_tokenizer():
+    with open(queries.tokenizer_path(), encoding="utf-8") as f:
+        return f.read()
+
+
+def test_caches_are_bounded_in_bytes_and_change_no_ids(raw_tokenizer):
+    from tokenizers import Tokenizer
+
+    library, v, r = Tokenizer.from_str(raw_tokenizer), bpe.Vocabulary(raw_tokenizer), random.Random(3)
+    for known, most in ((v.words, 40_000), (v.first, 10_000), (v.later, 40_000)):
+        known.most = most
+    unspaced = lambda: "".join(chr(0x4E00 + r.randrange(900)) for _ in range(400))
+    coded = lambda: "".join(r.choice("ABCDEFabcdef0123456789+/") for _ in range(500))
+    spaced = lambda: " ".join(f"w{r.randrange(10**6)}x" for _ in range(40))
+    held = []
+    for _ in range(12):
+        texts = [f() for _ in range(4) for f in (unspaced, coded, spaced)]
+        assert list(v.encode_all(texts)) == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+        for t in texts[:3]:
+            assert tokens.text_prefix_counts(v, t)[-1] == len(library.encode(t, add_special_tokens=False).ids)
+        known = [k for c in (v.words, v.first, v.later) for k in c]
+        assert max(map(len, known)) <= bpe.LONG and not any(c.passing for c in (v.words, v.first, v.later))
+        held.append(sum(200 + 8 * len(k) for k in known))
+    assert max(held) < 300_000 and max(held[6:]) < 1.5 * max(held[:6])
+
+
+def test_shares_of_any_size_are_drawn(spark):
+    rows = spark.range(200_000)
+    assert common_drawn(rows, 1.0) == 200_000 and common_drawn(rows, 7.0) == 200_000 and common_drawn(rows, 0.0) == 0
+    assert abs(common_drawn(rows, 0.01) - 2_000) < 200
+    # far below a millionth, the bound still lies at that share of all hashes
+    for share in (1e-7, 1e-10, 1e-13):
+        assert abs((draw_bound(share) + 2**63) / 2**64 - share) < 1e-3 * share
+
+
+def common_drawn(rows, share):
+    return rows.where(drawn(share, "id")).count()

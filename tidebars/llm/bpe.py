@@ -22,7 +22,8 @@ SPLIT = regex.compile(SPLIT_TEXT.replace(r"[^\s", r"[^\p{White_Space}").replace(
 _EDGE, _RUN = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"\s\s")
 #: Contractions that are another piece when they are cut, and runs of white space.
 _CUT, _RUNS = {"'re", "'ve", "'ll"}, regex.compile(r"\p{White_Space}{2,}")
-CACHE = 800_000
+#: Bytes that a worker remembers of words and of chunks; longer strings than ``LONG`` characters are never remembered.
+WORD_BYTES, CHUNK_BYTES, HEAD_BYTES, LONG = 96 << 20, 96 << 20, 24 << 20, 48
 
 
 def byte_letters() -> dict[str, int]:
@@ -39,6 +40,36 @@ def chunks(text: str) -> list[str]:
     return text.split(" ")
 
 
+class Remembered(dict):
+    """What is known of strings, up to about ``most`` bytes. Long strings stay until ``forget`` only: each is rarely met again, and texts without spaces are one."""
+
+    def __init__(self, most: int):
+        self.most, self.held, self.passing = most, 0, []
+
+    def put(self, key: str, value: tuple | array.array) -> None:
+        """Know a string, at least until ``forget``."""
+        self[key] = value
+        if len(key) > LONG:
+            self.passing.append(key)
+        else:
+            self.held += 200 + 8 * len(key) + 8 * len(value)
+
+    def keep(self, key: str, value: tuple | array.array) -> None:
+        """Know a string if there is room."""
+        if len(key) <= LONG and self.held <= self.most:
+            self.put(key, value)
+
+    def forget(self) -> None:
+        for key in self.passing:
+            self.pop(key, None)
+        self.passing.clear()
+
+    def trim(self) -> None:
+        if self.held > self.most:
+            self.clear()
+            self.held = 0
+
+
 class Vocabulary:
     """Tokens, merges and special strings of a tokenizer file with byte-level BPE."""
 
@@ -59,9 +90,7 @@ class Vocabulary:
         self._fits: dict[int, bool] = {}
         self._whole: dict[int, bool] = {}
         self._special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.words: dict[str, object] = {}
-        self.first: dict[str, object] = {}
-        self.later: dict[str, object] = {}
+        self.words, self.first, self.later = Remembered(WORD_BYTES), Remembered(HEAD_BYTES), Remembered(CHUNK_BYTES)
 
     def merged(self, data: bytes) -> list[int]:
         """BPE of a short byte string by repeated lowest-rank merges."""
@@ -155,29 +184,29 @@ class Vocabulary:
             while end:
                 ids.append(last[end])
                 end -= sizes[last[end]]
-            self.words[word.decode()] = tuple(reversed(ids))
+            self.words.put(word.decode(), tuple(reversed(ids)))
             before = word
 
     def encode_all(self, texts: list[str]) -> Iterator[list[int]]:
         """Ids of each text, by chunks whose ids are remembered; new words are encoded together in one trie."""
         split = [chunks(t) for t in texts]
-        if len(self.later) > CACHE:
-            self.later.clear()
-        if len(self.first) > CACHE // 4:
-            self.first.clear()
-        if len(self.words) > CACHE:
-            self.words.clear()
+        for known in (self.words, self.first, self.later):
+            known.trim()
         heads = [s.pop(0) for s in split]
         new = [(self.later, c, " " + c) for c in set(chain.from_iterable(split)).difference(self.later)]
         new += [(self.first, c, c) for c in set(heads).difference(self.first)]
         parts = [self.pieces(c) for _, _, c in new]
         self.trie_encode({p for ps in parts for p in ps if isinstance(p, str)}.difference(self.words))
         for (cache, key, _), ps in zip(new, parts):
-            cache[key] = tuple(i for p in ps for i in (self.words[p] if isinstance(p, str) else (p,)))
-        for head, s in zip(heads, split):
-            ids = list(self.first[head])
-            ids.extend(chain.from_iterable(map(self.later.__getitem__, s)))
-            yield ids
+            cache.put(key, tuple(i for p in ps for i in (self.words[p] if isinstance(p, str) else (p,))))
+        try:
+            for head, s in zip(heads, split):
+                ids = list(self.first[head])
+                ids.extend(chain.from_iterable(map(self.later.__getitem__, s)))
+                yield ids
+        finally:
+            for known in (self.words, self.first, self.later):
+                known.forget()
 
     def piece_counts(self, piece: str) -> array.array:
         """Token count of every non-empty prefix of a piece, in bytes."""
@@ -185,7 +214,8 @@ class Vocabulary:
         if counts is None:
             found = [0]
             self.extend(piece.encode(), [-1], found)
-            self.words[piece] = counts = array.array("i", found[1:])
+            counts = array.array("i", found[1:])
+            self.words.keep(piece, counts)
         return counts
 
     def prefix_counts(self, chunk: str) -> tuple[bytes, int]:

@@ -117,6 +117,18 @@ def shuffle_cleanup(spark: SparkSession):
             spark.conf.set(name, before)
 
 
+def draw_bound(share: float) -> int:
+    """Below this lies that share of all signed 64-bit numbers."""
+    return int(share * (1 << 64)) - (1 << 63)
+
+
+def drawn(share: float, *columns: Column | str) -> Column:
+    """True for about a share of all rows, by a hash of columns: the whole 64 bits count, so no share is too small."""
+    if share >= 1:
+        return F.lit(True)
+    return F.xxhash64(F.lit("draw"), *columns) < F.lit(draw_bound(share))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. Pure ASCII texts take the fast built-in; others must not have their other letters folded."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

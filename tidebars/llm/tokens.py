@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import CACHE, Vocabulary, chunks, in_groups, vocabulary
+from .bpe import Vocabulary, chunks, in_groups, vocabulary
 from .common import bounded_batches, lean
 
 
@@ -32,16 +32,15 @@ def text_prefix_counts(v: Vocabulary, text: str) -> np.ndarray:
     if not text:
         return np.zeros(1, np.int64)
     first, *later = chunks(text)
-    if len(v.words) > CACHE:
-        v.words.clear()
-    if len(v.later) > CACHE:
-        v.later.clear()
+    v.words.trim()
+    v.later.trim()
     known = v.later
     found = [v.prefix_counts(first)]
     for c in later:
         got = known.get(c)
         if got is None:
-            got = known[c] = v.prefix_counts(" " + c)
+            got = v.prefix_counts(" " + c)
+            known.keep(c, got)
         found.append(got)
     local = np.frombuffer(b"".join([f[0] for f in found]), np.int32)
     totals = np.array([f[1] for f in found], np.int64)

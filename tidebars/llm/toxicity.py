@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import in_groups
-from .common import bounded_batches, lean, stored
+from .common import bounded_batches, drawn, lean, stored
 
 #: Letters of other alphabets that look like Latin ones, and signs used in their place.
 HOMOGLYPHS = {
@@ -108,8 +108,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     """
     one = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = min(1.0, sample / max(1, one.count()))
-    drawn = one.where(F.pmod(F.xxhash64(F.lit("draw"), "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    return docs.select("doc_id", "text").join(F.broadcast(drawn.withColumnRenamed("doc_id", "label_id")), F.col("doc_id") == F.col("label_id")).select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    rows = one.where(drawn(share, "doc_id"))
+    return docs.select("doc_id", "text").join(F.broadcast(rows.withColumnRenamed("doc_id", "label_id")), F.col("doc_id") == F.col("label_id")).select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
 
 
 def held_out(doc_id: Column) -> Column:
