@@ -856,6 +856,41 @@ def full_features(spark, sf_dir):
     return labels.risk_labels(rows)
 
 
+# --- walk-forward over windows of all features ---
+
+_LENGTHS = {16: 4, 48: 8}
+_SCALED = [f"(({c}) - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS z_{i}" for i, c in enumerate(_MAIN)]
+
+
+def _windows_sql(length: int, step: int) -> str:
+    """As ``_WALK``, with vectors of all features' z-scores over ``length`` rows, 20 similar windows, at most 3,000 evaluations a series."""
+    vec = " || ".join(f"list(CAST(z_{i} AS FLOAT)) OVER {_frame(length)}" for i in range(len(_MAIN)))
+    whole = " AND ".join(f"{c} IS NOT NULL" for c in [*_BAR, *_MAIN, "target_return_next", "target_return_next_4", "target_volatility_next_4"])
+    base = _FULL.partition(", m4 AS")[0]
+    out = ", ".join(_OUTCOMES)
+    return f"""{base}, o AS (SELECT *, {", ".join(_SCALED)} FROM (SELECT m3.*, l4.* EXCLUDE (symbol, ts) FROM m3 JOIN l4 ON m3.symbol = l4.symbol AND m3.ts = l4.ts WHERE {whole})),
+ w AS (SELECT symbol, ts, {out}, lag(ts, {length - 1}) OVER {_W} AS window_start_ts, {vec} AS vec FROM o QUALIFY row_number() OVER {_W} >= {length}),
+ k AS (SELECT *, row_number() OVER {_W} AS rn, count(*) OVER (PARTITION BY symbol) AS n FROM w),
+ ev AS (SELECT * FROM k WHERE rn - 1 >= floor(n * 0.3e0) AND (rn - 1 - floor(n * 0.3e0)) % {step} = 0 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) <= 3000),
+ m AS (SELECT a.symbol, a.window_start_ts AS eval_window_start_ts, a.ts AS eval_window_end_ts, {", ".join(f"a.{c} AS a_{c}" for c, (_, n) in _OUTCOMES.items() if n)}, {", ".join(f"b.{c}" for c in _OUTCOMES)}, list_cosine_similarity(a.vec::DOUBLE[], b.vec::DOUBLE[]) AS sim, b.ts AS bts,
+  count(*) OVER (PARTITION BY a.symbol, a.ts) AS candidate_count FROM ev a JOIN w b ON a.symbol = b.symbol AND b.ts < a.ts - INTERVAL 1 DAY),
+ t AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY symbol, eval_window_end_ts ORDER BY round(sim, 9) DESC, bts) <= 20),
+ wf AS (SELECT symbol, eval_window_start_ts, eval_window_end_ts, {length} AS pattern_length, candidate_count, 20 AS top_k, avg(sim) AS mean_similarity, min(sim) AS min_similarity, max(sim) AS max_similarity, {", ".join(f"avg({c}) AS {n}" for c, (n, _) in _OUTCOMES.items())}, {", ".join(f"max(a_{c}) AS {n}" for c, (_, n) in _OUTCOMES.items() if n)} FROM t GROUP BY ALL HAVING count(*) = 20)
+ SELECT {", ".join(_WALK_PLAIN)}, {", ".join(f"round({c}, 6) AS {c}" for c in _WALK_ROUNDED)} FROM wf"""
+
+
+def walk_windows(spark: SparkSession, sf_dir: str, length: int, step: int) -> tuple[DataFrame, DataFrame]:
+    """Windows of all features' z-scores and those of them that are evaluated."""
+    rows = stored(labels.risk_labels(labels.next_bar(indicators.main_features(bars(spark, sf_dir)))), "walk")
+    scaled = patterns.scale(rows, patterns.fit_scaler(rows, _MAIN))
+    windows = patterns.pattern_vectors(scaled, _MAIN, length, list(_OUTCOMES))
+    return windows, split.step_sample(windows.withColumn("ts", F.col("window_end_ts")), step, 3_000).drop("ts")
+
+
+for _length, _step in _LENGTHS.items():
+    query(_windows_sql(_length, _step), f"walk_forward_{_length}")(lambda spark, sf_dir, n=_length, s=_step: similarity.walk_forward(*walk_windows(spark, sf_dir, n, s), 20, "INTERVAL 1 DAY"))
+
+
 # --- one series over many tasks: all events as one symbol ---
 
 #: Rows of a chunk in these queries, few enough for the smallest tables to have several.
