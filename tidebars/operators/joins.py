@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +26,12 @@ def asof_join(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = ("symbo
     return seen.select(*keys, time, "_own.*", "_seen.*")
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
+    """Join on columns of the same names, of which null equals null."""
+    other = right.select(*[F.col(c).alias(f"_r_{c}") if c in names else F.col(c) for c in right.columns])
+    return left.join(other, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in names]), how).drop(*[f"_r_{c}" for c in names])
+
+
 def left_join_checked(left: DataFrame, right: DataFrame, keys: list[str], must_match: bool = True) -> DataFrame:
     """Left join on keys unique on both sides; with ``must_match`` a left row without a partner is an error."""
     require_unique(left, keys)

@@ -12,23 +12,17 @@ summaries, so a table of one key is worked on by as many tasks as it has chunks.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import stored
+from .joins import null_safe_join
 
 #: Rows of a chunk.
 ROWS = 50_000
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, names: list[str]) -> DataFrame:
-    other = right.select(*[F.col(c).alias(f"_r_{c}") if c in names else F.col(c) for c in right.columns])
-    return left.join(other, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in names])).drop(*[f"_r_{c}" for c in names])
-
-
 def numbered(df: DataFrame, keys: tuple[str, ...] = ("symbol",), order: tuple[str, ...] = ("ts",)) -> DataFrame:
     """Rows with ``_pos``, their place from 0 in the series of their key. They are sorted by range and written once."""
     by = [*keys, *order]
@@ -37,7 +31,7 @@ def numbered(df: DataFrame, keys: tuple[str, ...] = ("symbol",), order: tuple[st
     pieces = placed.groupBy(*keys, "_piece").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)  # a row for each key and range
     starts = pieces.select(*keys, "_piece", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_start"))
-    return _null_safe_join(placed, starts, [*keys, "_piece"]).withColumn("_pos", F.col("_at") + F.col("_start")).drop("_piece", "_at", "_start")
+    return null_safe_join(placed, starts, [*keys, "_piece"]).withColumn("_pos", F.col("_at") + F.col("_start")).drop("_piece", "_at", "_start")
 
 
 def chunked(df: DataFrame, keys: tuple[str, ...] = ("symbol",), order: tuple[str, ...] = ("ts",), rows: int | None = None) -> DataFrame:
@@ -57,7 +51,7 @@ def halo(df: DataFrame, apply: Callable[[DataFrame], DataFrame], back: int, ahea
     own = F.floor(F.col("_pos") / size)
     bounds = placed.groupBy(key, own.alias("_chunk")).agg(F.min(time).alias("_low"), F.max(time).alias("_high"))
     near = F.sequence(F.floor(F.greatest(F.col("_pos") - ahead, F.lit(0)) / size), F.floor((F.col("_pos") + back) / size))
-    spread = _null_safe_join(placed.withColumn("_chunk", F.explode(near)), bounds, [key, "_chunk"])
+    spread = null_safe_join(placed.withColumn("_chunk", F.explode(near)), bounds, [key, "_chunk"])
     within = spread.withColumn(key, F.struct(F.col(key).alias("own"), "_chunk", F.col("_low").alias("low"), F.col("_high").alias("high"))).drop("_pos", "_chunk", "_low", "_high")
     return apply(within).where(F.col(out_time).between(F.col(f"{key}.low"), F.col(f"{key}.high"))).withColumn(key, F.col(f"{key}.own"))
 
@@ -67,7 +61,7 @@ def carried(df: DataFrame, keys: tuple[str, ...], summaries: dict[str, tuple[Col
     each = df.groupBy(*keys, "_chunk").agg(*[s.alias(n) for n, (s, _) in summaries.items()])
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)  # a row for each key and chunk
     known = each.select(*keys, "_chunk", *[f(n).over(before).alias(n) for n, (_, f) in summaries.items()])
-    return _null_safe_join(df, known, [*keys, "_chunk"])
+    return null_safe_join(df, known, [*keys, "_chunk"])
 
 
 def _run(keys: tuple[str, ...]):
