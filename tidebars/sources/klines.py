@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions.columns import series
+from ..operators.ranges import halo
+
 PAGE, MINUTE_MS = 1_000, 60_000
 #: Answers without a bar in a row after which a walk into the past ends, and most requests of one walk.
 EMPTY_ANSWERS, BATCHES = 3, 1_000
@@ -88,6 +91,38 @@ def backward_pages(fetch: Fetch, end_ms: int, batches: int = BATCHES, page: int
         before, cursor = earliest, earliest + step_ms
 
 
+def history_begin(fetch: Fetch, end_ms: int, batches: int = BATCHES, page: int = PAGE, step_ms: int = MINUTE_MS, empty: int = EMPTY_ANSWERS) -> int | None:
+    """Begin of the earliest page that holds bars, counted in whole pages back from the end, or None where a walk would find nothing.
+
+    Probes go back by doubled steps until a page is empty, then by halving between the last full and the first empty one: their number is
+    the logarithm of the history's. A walk never passes an empty page, so what lies before one is not looked for. At most ``batches`` pages are counted.
+    """
+    span = page * step_ms
+    total = min(batches, -(-end_ms // span))
+    has = lambda k: bool(_times(fetch(max(0, end_ms - (k + 1) * span), end_ms - k * span), end_ms - k * span))
+    full = next((k for k in range(min(empty, total)) if has(k)), None)
+    if full is None:
+        return None
+    jump, none = 1, total
+    while full + jump < total:
+        if not has(full + jump):
+            none = full + jump
+            break
+        full, jump = full + jump, 2 * jump
+    while none - full > 1:
+        middle = (full + none) // 2
+        full, none = (middle, none) if has(middle) else (full, middle)
+    return max(0, end_ms - (full + 1) * span)
+
+
+def reachable(bars: DataFrame, page: int = PAGE, step_ms: int = MINUTE_MS, rows: int | None = None) -> DataFrame:
+    """The bars that a walk back reaches: those after the latest gap that a page, which holds the bar at its end again, does not cross."""
+    lag = lambda df: df.withColumn("_before", F.lag("ts").over(series()))
+    apart = F.unix_millis(F.col("ts").cast("timestamp")) - F.unix_millis(F.col("_before").cast("timestamp"))
+    cut = halo(bars.select("symbol", "ts"), lag, 1, rows=rows).where(apart > (page - 1) * step_ms).groupBy("symbol").agg(F.max("ts").alias("_cut"))
+    return bars.join(cut, "symbol", "left").where(F.col("_cut").isNull() | (F.col("ts") >= F.col("_cut"))).drop("_cut")
+
+
 def require_symbol(symbol: str, known: list[str] | None) -> str:
     """The symbol, if the catalogue holds it; an error for an unknown one or without a catalogue."""
     if not known or symbol not in known:
@@ -114,7 +149,13 @@ class KlineReader(DataSourceReader):
         """Ranges fetched side by side; a walk, whose steps depend on one another, is one partition."""
         if "catalogue" in self.options:
             require_symbol(self.options["symbol"], with_retry(self._named("catalogue")))
-        if self.options.get("mode", "ranges") != "ranges":
+        mode, page = self.options.get("mode", "ranges"), int(self.options.get("page", PAGE))
+        if mode == "history_ranges":
+            fetch, symbol, end = self._named("fetch"), self.options["symbol"], int(self.options["end_ms"])
+            begin = history_begin(lambda a, b: with_retry(lambda: fetch(symbol, a, b)), end, int(self.options.get("batches", BATCHES)), page)
+            span = page * MINUTE_MS
+            return [Range(at, min(end, at + span)) for at in range(end if begin is None else begin, end, span)] or [Range(end, end)]
+        if mode != "ranges":
             return [Range(int(self.options.get("start_ms", 0)), int(self.options["end_ms"]))]
         return [Range(a, b) for a, b in page_ranges(int(self.options["start_ms"]), int(self.options["end_ms"]), int(self.options.get("page", PAGE)))]
 
@@ -127,9 +168,9 @@ class KlineReader(DataSourceReader):
         elif mode in ("forward", "forward_apart"):
             pages = forward_pages(ask, partition.begin, partition.end, page, overlap=mode == "forward")
         else:
-            pages = [ask(partition.begin, partition.end)]
+            pages = [ask(partition.begin, partition.end)] if partition.begin < partition.end else []
         for records in pages:
-            for record in records:
+            for record in records or []:
                 yield symbol, [None if x is None else str(x) for x in record]
 
 
@@ -138,7 +179,8 @@ class KlineSource(DataSource):
 
     Options: symbol, fetch (module:function of symbol, begin, end), end_ms, page; ``mode``: ranges (the default, from
     start_ms on, side by side), forward or forward_apart (one walk with or without overlap), history (one walk back from end_ms, at
-    most ``batches`` requests); catalogue (module:function that lists symbols), which rejects unknown symbols at the start.
+    most ``batches`` requests), history_ranges (the begin is found by probes, then pages are fetched side by side; ``reachable`` keeps what the walk
+    would); catalogue (module:function that lists symbols), which rejects unknown symbols at the start.
     """
 
     @classmethod
