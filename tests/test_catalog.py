@@ -1,11 +1,13 @@
 """Every query with SQL against DuckDB on the smallest tables."""
 
+from dataclasses import replace
+
 import duckdb
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidebars.operators import metrics
+from tidebars.operators import metrics, models
 from tidebars.plans import catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -41,20 +43,28 @@ def test_equals_sql(spark, duck, tiny, name):
     assert _rows(got) == _rows(want)
 
 
+def fewer(monkeypatch, *names):
+    for n in names:
+        monkeypatch.setattr(models, n, replace(getattr(models, n), rounds=100))
+
+
 @pytest.mark.parametrize("name,label,proba,least", [("gbt_classify", "target_volatility_high_next_4", "pred_proba_high_vol", 0.45), ("gbt_direction", "target_up_next", "pred_proba_up", 0.75), ("gbt_drop", "target_drop_next_4", "pred_proba_drop", 0.70)])
-def test_models_on_held_out_rows(spark, small, name, label, proba, least):
-    """The class of volatility is near chance on these tables; moves up and down turn back."""
+def test_models_on_held_out_rows(spark, small, monkeypatch, name, label, proba, least):
+    """The class of volatility is near chance on these tables; moves up and down turn back. Two of the models with fewer trees."""
+    fewer(monkeypatch, "DIRECTION", "HIGH_VOLATILITY")
     rows = catalog.queries()[name](spark, small).cache()
     assert metrics.roc_auc(rows, label, proba).first()[0] > least and rows.count() > 500
     assert rows.where(F.abs(F.col(proba) - 0.5) > 0.5).count() == 0
     rows.unpersist()
 
 
-def test_regression_on_held_out_rows(spark, small):
+def test_regression_on_held_out_rows(spark, small, monkeypatch):
+    fewer(monkeypatch, "DAY_RETURN")
     rows = catalog.queries()["gbt_regress"](spark, small)
     assert metrics.regression(rows, "target_return_next", "y_pred").first()["direction_accuracy"] > 65
 
 
-def test_importance(spark, small):
+def test_importance(spark, small, monkeypatch):
+    fewer(monkeypatch, "DIRECTION")
     rows = catalog.queries()["feature_importance"](spark, small).collect()
     assert len(rows) == 10 and all(a["importance"] >= b["importance"] > 0 for a, b in zip(rows, rows[1:]))

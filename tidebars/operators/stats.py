@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 #: The last edge lies just above 1, so that 1 falls into the last bucket.
 BUCKETS = {
     "high_vol": ("similar_high_vol_ratio", [0.0, 0.2, 0.4, 0.6, 0.8, 1.000001], ["0.0-0.2", "0.2-0.4", "0.4-0.6", "0.6-0.8", "0.8-1.0"]),
@@ -43,6 +45,7 @@ def rank_over_all(df: DataFrame, column: str, name: str) -> DataFrame:
     Values are dealt by range; running counts within a range and the ranges' totals give each value its place.
     """
     counts = df.where(F.col(column).isNotNull()).groupBy(column).count().repartitionByRange(ranges(df), column).withColumn("_part", F.spark_partition_id())
+    counts = stored(counts, "ranks")  # both branches below see the same ranges
     counts = counts.withColumn("_in", F.sum("count").over(Window.partitionBy("_part").orderBy(column)))
     totals = counts.groupBy("_part").agg(F.sum("count").alias("_n"))
     base = totals.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_base"))

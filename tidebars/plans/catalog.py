@@ -907,10 +907,19 @@ def long_series_features(spark, sf_dir):
     return ranges.halo(bars(spark, sf_dir, one=True), indicators.main_features, 120, rows=_CHUNK).select("symbol", "ts", *_MAIN)
 
 
-@query(_one(f"{_R}, w AS (SELECT symbol, lag(ts, 47) OVER {_W} AS window_start_ts, ts AS window_end_ts, row_number() OVER {_W} AS rn, {', '.join(f'{a}(p) OVER {_frame(48)} AS p_{n}' for n, a in (('mean', 'avg'), ('std', 'stddev_pop'), ('min', 'min'), ('max', 'max')))}, p AS p_last, lag(p, 47) OVER {_W} AS p_first FROM x) SELECT symbol, window_start_ts, window_end_ts, CAST(48 AS INT) AS pattern_length, {', '.join(f'round(p_{n}, 6) AS p_{n}' for n in ('mean', 'std', 'min', 'max', 'last', 'first'))}, round(p_last - p_first, 6) AS p_change FROM w WHERE rn >= 48"))
-def long_series_patterns(spark, sf_dir):
-    """Window summaries of one long series, 48 rows each, in chunks with halos."""
-    return ranges.halo(bounded(spark, sf_dir, one=True), lambda df: patterns.pattern_summary(df, ["p"], 48), 48, rows=_CHUNK, out_time="window_end_ts")
+def _patterns_sql(n: int) -> str:
+    stats = ", ".join(f"{a}(p) OVER {_frame(n)} AS p_{x}" for x, a in (("mean", "avg"), ("std", "stddev_pop"), ("min", "min"), ("max", "max")))
+    return _one(
+        f"{_R}, w AS (SELECT symbol, lag(ts, {n - 1}) OVER {_W} AS window_start_ts, ts AS window_end_ts, row_number() OVER {_W} AS rn, {stats}, p AS p_last, lag(p, {n - 1}) OVER {_W} AS p_first FROM x)"
+        f" SELECT symbol, window_start_ts, window_end_ts, CAST({n} AS INT) AS pattern_length, {', '.join(f'round(p_{x}, 6) AS p_{x}' for x in ('mean', 'std', 'min', 'max', 'last', 'first'))}, round(p_last - p_first, 6) AS p_change FROM w WHERE rn >= {n}"
+    )
+
+
+#: Window summaries of one long series in chunks with halos, by number of rows.
+for _length in patterns.LENGTHS:
+    query(_patterns_sql(_length), f"long_series_patterns_{_length}")(
+        lambda spark, sf_dir, n=_length: ranges.halo(bounded(spark, sf_dir, one=True), lambda df: patterns.pattern_summary(df, ["p"], n), n, rows=_CHUNK, out_time="window_end_ts")
+    )
 
 
 @query(_one(_EQ + f" SELECT symbol, ts, round(equity, 6) AS equity, round(equity / max(equity) OVER {_RUN} - 1, 6) AS drawdown FROM q"))
