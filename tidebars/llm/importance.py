@@ -20,10 +20,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe import in_groups
-from .common import bounded_batches, lean, stored
+from .common import bounded_batches, lean, shuffle_cleanup, stored
 
-#: Characters of a block's texts; a block holds one longer text at most.
-BLOCK_CHARS = 2_000_000
+#: A block is closed at so many words (or n-grams) or characters; texts are taken in by groups of so many characters, or one longer text.
+BLOCK_WORDS, BLOCK_CHARS, GROUP_CHARS = 250_000, 48_000_000, 2_000_000
 _BLOCK = "block long, docs array<struct<doc_id:long, n_words:long, n_features:long>>, codes binary, words array<string>, tuples array<array<int>>, counts array<long>"
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[0x41:0x5B] += 32
@@ -59,24 +59,62 @@ def feature_codes(codes: np.ndarray, lengths: np.ndarray, most: int) -> tuple[li
     return tuples, np.concatenate(counts), numbers[np.argsort(owners, kind="stable")], np.bincount(owners, minlength=len(lengths))
 
 
+class Block:
+    """Texts of one task with a dictionary of their own: each new word and n-gram gets the next number."""
+
+    def __init__(self, most: int):
+        self.most, self.chars = most, 0
+        self.words: dict[str, int] = {}
+        self.tuples: dict[tuple[int, ...], int] = {}
+        self.docs: list[pa.Array] = []
+        self.numbers: list[np.ndarray] = []
+
+    def add(self, ids: pa.Array, texts: list[str]) -> None:
+        words, lengths = words_of(texts)
+        coded = words.dictionary_encode()
+        own = coded.dictionary.to_pylist()
+        known = self.words
+        codes = np.fromiter((known.setdefault(w, len(known)) for w in own), np.int32, len(own))[coded.indices.to_numpy(zero_copy_only=False)]
+        features = lengths
+        if self.most > 1:
+            tuples, _, codes, features = feature_codes(codes, lengths, self.most)
+            codes = np.fromiter((self.tuples.setdefault(tuple(t), len(self.tuples)) for t in tuples), np.int32, len(tuples))[codes]
+        self.docs.append(pa.StructArray.from_arrays([ids, pa.array(lengths, pa.int64()), pa.array(features, pa.int64())], ["doc_id", "n_words", "n_features"]))
+        self.numbers.append(codes)
+        self.chars += sum(map(len, texts))
+
+    def full(self) -> bool:
+        return max(len(self.words), len(self.tuples)) >= BLOCK_WORDS or self.chars >= BLOCK_CHARS
+
+    def row(self, at: int) -> pa.RecordBatch:
+        """The block's only row. One word is its own 1-tuple."""
+        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+        numbers = np.concatenate(self.numbers).astype(np.int32)
+        if self.most > 1:
+            tuples = pa.array(map(list, self.tuples), pa.list_(pa.int32()))
+        else:
+            tuples = pa.ListArray.from_arrays(pa.array(np.arange(len(self.words) + 1), pa.int32()), pa.array(np.arange(len(self.words)), pa.int32()))
+        counts = pa.array(np.bincount(numbers, minlength=len(tuples)), pa.int64())
+        packed = zstandard.ZstdCompressor(1).compress(numbers.tobytes())
+        columns = [pa.array([at], pa.int64()), one(pa.concat_arrays(self.docs)), pa.array([packed], pa.binary()), one(pa.array(self.words, pa.string())), one(tuples), one(counts)]
+        return pa.RecordBatch.from_arrays(columns, ["block", "docs", "codes", "words", "tuples", "counts"])
+
+
 def feature_blocks(texts: DataFrame, most: int, side: int) -> DataFrame:
     """Blocks of texts (doc_id, text): words and n-grams by number, and each text's n-grams as compressed 4-byte numbers."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = TaskContext.get().partitionId() << 32 | side << 62
+        at, block = TaskContext.get().partitionId() << 32 | side << 62, Block(most)
         for batch in batches:
             ids, whole = batch.column(0), batch.column(1).to_pylist()
-            for s in in_groups(whole, BLOCK_CHARS):
-                words, lengths = words_of(whole[s])
-                coded = words.dictionary_encode()
-                tuples, counts, numbers, features = feature_codes(coded.indices.to_numpy(zero_copy_only=False).astype(np.int32), lengths, most)
-                docs = pa.StructArray.from_arrays([ids[s.start : s.stop], pa.array(lengths, pa.int64()), pa.array(features, pa.int64())], ["doc_id", "n_words", "n_features"])
-                one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values if isinstance(values, pa.Array) else pa.array(values, kind))
-                packed = zstandard.ZstdCompressor(1).compress(numbers.astype(np.int32).tobytes())
-                columns = [pa.array([at], pa.int64()), one(docs, None), pa.array([packed], pa.binary()), one(coded.dictionary, None), one(tuples, pa.list_(pa.int32())), one(counts, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["block", "docs", "codes", "words", "tuples", "counts"])
-                at += 1
+            for s in in_groups(whole, GROUP_CHARS):
+                block.add(ids[s.start : s.stop], whole[s])
+                if block.full():
+                    yield block.row(at)
+                    at, block = at + 1, Block(most)
+        if block.docs:
+            yield block.row(at)
 
     bounded_batches(texts.sparkSession)
     return texts.mapInArrow(run, _BLOCK)
@@ -93,14 +131,15 @@ def numbered_tuples(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return dictionary, stored(tuples.select("block", "place", F.col("x.tuple").alias("tuple"), F.col("x.n").alias("n")), "importance-tuples")
 
 
-def tuple_buckets(tuples: DataFrame, dictionary: DataFrame, buckets: int) -> DataFrame:
+def tuple_buckets(tuples: DataFrame, dictionary: DataFrame, most: int, buckets: int) -> DataFrame:
     """(tuple, bucket, s, t): every distinct tuple, spelled out and hashed once, with its counts in corpus and target."""
     target = F.shiftright("block", 62) == 1
-    totals = tuples.groupBy("tuple").agg(F.sum(F.when(target, 0).otherwise(F.col("n"))).alias("s"), F.sum(F.when(target, F.col("n")).otherwise(0)).alias("t"))
-    totals = stored(totals.withColumn("number", F.monotonically_increasing_id()), "importance-totals")
-    spelled = totals.select("number", F.posexplode("tuple").alias("at", "id")).join(dictionary, "id")
-    spelled = spelled.groupBy("number").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("feature"))
-    return stored(totals.join(spelled, "number").select("tuple", (F.crc32("feature") % buckets).alias("bucket"), "s", "t"), "importance-buckets")
+    rows = tuples.groupBy("tuple").agg(F.sum(F.when(target, 0).otherwise(F.col("n"))).alias("s"), F.sum(F.when(target, F.col("n")).otherwise(0)).alias("t"))
+    for i in range(most):  # the word at each place; a shorter tuple has none there
+        word = dictionary.select(F.col("id").alias(f"id_{i}"), F.col("word").alias(f"word_{i}"))
+        rows = rows.withColumn(f"id_{i}", F.get("tuple", F.lit(i))).join(word, f"id_{i}", "left" if i else "inner").drop(f"id_{i}")
+    feature = F.concat_ws(" ", *[f"word_{i}" for i in range(most)])
+    return stored(rows.select("tuple", (F.crc32(feature) % buckets).alias("bucket"), "s", "t"), "importance-buckets")
 
 
 def bucket_gains(tuples: DataFrame, buckets: int) -> DataFrame:
@@ -155,23 +194,29 @@ def resampled(docs: DataFrame, target: DataFrame, most: int = 1, buckets: int =
     a null doc_id is that of an empty id. Texts are processed whole; empty tables give an empty result, an empty target gains from what is
     rare. Only doc_id and text are read, and the target's text.
     """
+    with shuffle_cleanup(docs.sparkSession):  # each table is written once: what its job has shuffled goes at once
+        scored, drawn = _scored(docs, target, most, buckets, percent, least_words, seed)
+    enough = F.col("n_words") >= least_words
+    names = ["doc_id", "n_features", "weight", "score"]
+    order = [F.col("score").desc(), F.col("doc_id").asc_nulls_first(), F.col("n_features").asc()]
+    placed = ranked(scored.where(enough).select(*names), order, "rank", "importance-ranks")
+    placed = placed.select(*names, F.when(F.col("rank") <= drawn, F.col("rank")).alias("rank"))
+    return placed.unionByName(scored.where(~enough).select(*names, F.lit(None).cast("long").alias("rank")))
+
+
+def _scored(docs: DataFrame, target: DataFrame, most: int, buckets: int, percent: int, least_words: int, seed: int) -> tuple[DataFrame, int]:
+    """doc_id, n_words, n_features, weight, score of all rows, and how many are drawn."""
     empty = F.coalesce(F.col("text"), F.lit("")).alias("text")
     corpus = stored(feature_blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), empty), most, 0), "importance-corpus")
     wanted = stored(feature_blocks(target.select(F.lit(None).cast("long").alias("doc_id"), empty), most, 1), "importance-target")
     dictionary, tuples = numbered_tuples(corpus.union(wanted))
-    known = tuple_buckets(tuples, dictionary, buckets)
+    known = tuple_buckets(tuples, dictionary, most, buckets)
     gains = known.select("tuple", "bucket").join(F.broadcast(bucket_gains(known, buckets)), "bucket").select("tuple", "gain")  # at most ``buckets`` rows
     weights = text_weights(corpus, tuples.where(F.shiftright("block", 62) == 0), gains)
     draw = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256), 1, 8), 16, 10).cast("double")
     noise = F.floor(-1000 * F.log(-F.log((draw + 0.5) / float(1 << 32))))
     scored = stored(weights.withColumn("score", F.col("weight") + noise), "importance-scores")
-    enough = F.col("n_words") >= least_words
-    drawn = percent * scored.where(enough).count() // 100
-    names = ["doc_id", "n_features", "weight", "score"]
-    order = [F.col("score").desc(), F.col("doc_id").asc_nulls_first(), F.col("n_features").asc()]
-    placed = ranked(scored.where(enough).select(*names), order, "rank", "importance-ranks")
-    placed = placed.select(*names, F.when(F.col("rank") <= drawn, F.col("rank")).alias("rank"))
-    return placed.unionByName(scored.where(~enough).select(*names, F.lit(None).cast("long").alias("rank")))
+    return scored, percent * scored.where(F.col("n_words") >= least_words).count() // 100
 
 
 def resample(docs: DataFrame, target: DataFrame, percent: int = 10, **options) -> DataFrame:
