@@ -85,6 +85,7 @@ def plain_resample(docs, target, most, buckets, percent):
 
 @pytest.mark.parametrize("most", [1, 3])
 def test_resampling_against_plain_version(spark, monkeypatch, most):
+    monkeypatch.setattr(importance, "GROUP_CHARS", 700)
     monkeypatch.setattr(importance, "BLOCK_CHARS", 2_000)
     r = random.Random(most)
     vocabulary = [f"w{i}" for i in range(60)] + ["Über", "naïve", "日本", "A1b2"]
@@ -198,3 +199,28 @@ def test_shares_of_any_size_are_drawn(spark):
 
 def common_drawn(rows, share):
     return rows.where(drawn(share, "id")).count()
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_linked_sets_always_share_a_partenum_signature(percent):
+    r = np.random.default_rng(percent)
+    tried = 0
+    for _ in range(6_000):
+        union = r.integers(0, 1 << 63, int(r.integers(1, 70)), dtype=np.uint64)
+        extra = int(r.integers(0, len(union) * (100 - percent) // 100 + 1))  # as many apart as a link allows
+        first = int(r.integers(0, extra + 1))
+        a, b = np.unique(union[extra - first :]) if first < extra else np.unique(union), np.unique(np.concatenate([union[:extra - first], union[extra:]]))
+        common = len(np.intersect1d(a, b))
+        if not common or 100 * common < percent * (len(a) + len(b) - common):
+            continue
+        tried += 1
+        assert len(np.intersect1d(jaccard.signatures(a, percent), jaccard.signatures(b, percent)))
+    assert tried > 4_000
+
+
+def test_unrelated_small_sets_share_no_signature():
+    r = np.random.default_rng(5)
+    for size in (1, 2, 3, 4, 6, 8, 15):
+        sets = [np.unique(r.integers(0, 1 << 63, size, dtype=np.uint64)) for _ in range(3_000)]
+        found = np.concatenate([np.unique(jaccard.signatures(s, 80)) for s in sets])
+        assert len(np.unique(found)) == len(found)

@@ -8,11 +8,9 @@ agree on at least one signature. Sets that share a signature form chains, chains
 and each cluster is then compared exactly; a large cluster is compared by pairs of blocks of sets of like
 size in separate tasks.
 
-Shingles and sets are told apart by 64-bit hashes. A projection without elements tells nothing and would
-tie unrelated sets together; where a set has three parts or more it is left out. Linked sets agree on about
-half of all parts, so a link is lost only if every part that they agree on is empty for both. Where there
-are few parts, or thinly filled ones, the whole scheme is repeated with other partitions of the domain, until the
-chance that a borderline pair is lost in all of them is below ``LOSS``.
+Shingles and sets are told apart by 64-bit hashes. A projection without elements tells nothing and would tie
+unrelated sets together, so the set's least elements stand in its place, as many as leave two linked sets one in
+common. No link is lost, and sets without a common shingle or a common projection never meet.
 """
 
 from __future__ import annotations
@@ -34,7 +32,7 @@ from .substring_dedup import split_words
 from .superkmers import NULL_KEY, _mix, keyed, mix, rows_of_runs, window_hash
 
 _U, _SEED = np.uint64, 0x9E3779B97F4A7C15
-GROUP_CHARS, BLOCK_ELEMENTS, TASK_ELEMENTS, KNOWN_SETS, LOSS = 1_500_000, 500_000, 2_000_000, 100_000, 1e-8
+GROUP_CHARS, BLOCK_ELEMENTS, TASK_ELEMENTS, KNOWN_SETS = 1_500_000, 500_000, 2_000_000, 100_000
 
 
 @lru_cache(1 << 16)
@@ -48,35 +46,38 @@ def band(size: int, percent: int) -> int:
 
 @lru_cache(1 << 12)
 def instance(i: int, percent: int) -> tuple[int, int, np.ndarray, np.ndarray]:
-    """n1, n2, the cell choices of instance i, for sets of bands i - 1 and i, and a label for each repetition, part and choice."""
-    before = low = 1
+    """n1, n2, the cell choices of instance i, for sets of bands i - 1 and i, and a label for each part and choice."""
+    low = 1
     for _ in range(i):
-        before, low = low, low * 100 // percent + 1
+        low = low * 100 // percent + 1
     k = 2 * (low * 100 // percent) * (100 - percent) // (100 + percent)
     n1, k2, n2 = (1, 0, 1) if k == 0 else (1, k, k + 3) if k <= 3 else (-(-(k + 1) // 2), 1, 3)
-    # a part of three cells is agreed on by half of all borderline pairs; lost if it is the only one and its projection is empty
-    lost = math.log(n1 * 0.515) + (n1 - 1) * math.log(0.485) + before * math.log(1 - 2 / (3 * n1)) if n1 >= 3 else -math.inf
-    times = max(1, math.ceil(math.log(LOSS) / lost))
     choices = np.array(list(combinations(range(n2), n2 - k2)))
-    place = np.arange(n1 * len(choices), dtype=_U) + (np.arange(times, dtype=_U) << _U(32))[:, None] + (_U(i) << _U(40))
-    return n1, n2, choices, mix(place.ravel()).reshape(times, n1, len(choices))
+    place = np.arange(n1 * len(choices), dtype=_U) + (_U(i) << _U(40))
+    return n1, n2, choices, mix(place).reshape(n1, len(choices))
 
 
 def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
-    """Signatures of a set of 64-bit elements, for both of its instances."""
-    out, own = [], band(len(elements), percent)
+    """Signatures of a set of ascending 64-bit elements, for both of its instances.
+
+    In place of an empty projection stand its least elements, each with the part and choice: linked sets that both have
+    it share one of them, as each has few elements beyond those in common.
+    """
+    out, own, size = [], band(len(elements), percent), len(elements)
+    least = elements[: size - -(-percent * size // 100) + 1]
     with np.errstate(over="ignore"):
+        mixed = mix(elements + _U(0x632BE59BD9B4E019))
         for i in (own, own + 1):
             n1, n2, choices, labels = instance(i, percent)
-            times, cells = len(labels), n1 * n2
-            dealt = np.tile(elements, times).reshape(times, -1)
-            for again in range(1, times):
-                dealt[again] = mix(elements + _U(again * _SEED & (1 << 64) - 1))
-            cell = (dealt % _U(cells)).astype(np.int64) + cells * np.arange(times)[:, None]
-            sums, counts = np.zeros(times * cells, _U), np.bincount(cell.ravel(), minlength=times * cells).reshape(times, n1, n2)
-            np.add.at(sums, cell.ravel(), mix(dealt.ravel() + _U(0x632BE59BD9B4E019)))
-            found = _mix(sums.reshape(times, n1, n2)[:, :, choices].sum(3) + labels)
-            out.append(found[counts[:, :, choices].sum(3) > 0] if n1 >= 3 else found.ravel())
+            cells = n1 * n2
+            cell = (elements % _U(cells)).astype(np.int64)
+            sums, counts = np.zeros(cells, _U), np.bincount(cell, minlength=cells).reshape(n1, n2)
+            np.add.at(sums, cell, mixed)
+            found = _mix(sums.reshape(n1, n2)[:, choices].sum(2) + labels)
+            filled = counts[:, choices].sum(2) > 0
+            out.append(found[filled])
+            if not filled.all():
+                out.append(_mix((_mix(least)[:, None] ^ labels[~filled]) * _U(_SEED)).ravel())
     return np.concatenate(out)
 
 

@@ -15,11 +15,11 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .jaccard import LOSS, jaccard_rows, one_of_each_component
+from .jaccard import jaccard_rows, one_of_each_component
 from .superkmers import mix
 
 _U = np.uint64
-ROWS, PIECE = 6, 512
+ROWS, PIECE, LOSS = 6, 512, 1e-8
 
 
 def min_max(elements: np.ndarray, factors: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
