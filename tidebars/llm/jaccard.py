@@ -9,8 +9,9 @@ and each cluster is then compared exactly; a large cluster is compared by pairs
 size in separate tasks.
 
 Shingles and sets are told apart by 64-bit hashes. A projection without elements tells nothing and would tie
-unrelated sets together, so the set's least elements stand in its place, as many as leave two linked sets one in
-common. No link is lost, and sets without a common shingle or a common projection never meet.
+unrelated sets together. In sets of few elements, at 80 % up to about 200, the least ones stand in its place, as many
+as leave two linked sets one in common, and no link is lost. In larger sets it is left out: linked ones agree on about half
+of their many parts, and all of these are empty for both with a chance of less than ``LOSS``. Sets without a common shingle never meet.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from .substring_dedup import split_words
 from .superkmers import NULL_KEY, _mix, keyed, mix, rows_of_runs, window_hash
 
 _U, _SEED = np.uint64, 0x9E3779B97F4A7C15
-GROUP_CHARS, BLOCK_ELEMENTS, TASK_ELEMENTS, KNOWN_SETS = 1_500_000, 500_000, 2_000_000, 100_000
+GROUP_CHARS, BLOCK_ELEMENTS, TASK_ELEMENTS, KNOWN_SETS, LOSS = 1_500_000, 500_000, 2_000_000, 100_000, 1e-8
 
 
 @lru_cache(1 << 16)
@@ -45,30 +46,35 @@ def band(size: int, percent: int) -> int:
 
 
 @lru_cache(1 << 12)
-def instance(i: int, percent: int) -> tuple[int, int, np.ndarray, np.ndarray]:
-    """n1, n2, the cell choices of instance i, for sets of bands i - 1 and i, and a label for each part and choice."""
-    low = 1
+def instance(i: int, percent: int) -> tuple[int, int, np.ndarray, np.ndarray, bool]:
+    """n1, n2, the cell choices of instance i, for sets of bands i - 1 and i, a label for each part and choice, and whether empty projections are needed.
+
+    They are not where linked sets agree on so many parts that all of these are empty for both with a chance of less than ``LOSS``.
+    """
+    before = low = 1
     for _ in range(i):
-        low = low * 100 // percent + 1
+        before, low = low, low * 100 // percent + 1
     k = 2 * (low * 100 // percent) * (100 - percent) // (100 + percent)
     n1, k2, n2 = (1, 0, 1) if k == 0 else (1, k, k + 3) if k <= 3 else (-(-(k + 1) // 2), 1, 3)
     choices = np.array(list(combinations(range(n2), n2 - k2)))
     place = np.arange(n1 * len(choices), dtype=_U) + (_U(i) << _U(40))
-    return n1, n2, choices, mix(place).reshape(n1, len(choices))
+    # a part of three cells is agreed on by half of all borderline pairs; lost if it is the only one and its projection is empty
+    lost = math.log(n1 * 0.515) + (n1 - 1) * math.log(0.485) + before * math.log(1 - 2 / (3 * n1)) if n1 >= 3 else 0.0
+    return n1, n2, choices, mix(place).reshape(n1, len(choices)), lost > math.log(LOSS)
 
 
 def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
     """Signatures of a set of ascending 64-bit elements, for both of its instances.
 
-    In place of an empty projection stand its least elements, each with the part and choice: linked sets that both have
-    it share one of them, as each has few elements beyond those in common.
+    In place of an empty projection, where it is needed, stand its least elements, each with the part and choice: linked sets
+    that both have it share one of them, as each has few elements beyond those in common.
     """
     out, own, size = [], band(len(elements), percent), len(elements)
     least = elements[: size - -(-percent * size // 100) + 1]
     with np.errstate(over="ignore"):
         mixed = mix(elements + _U(0x632BE59BD9B4E019))
         for i in (own, own + 1):
-            n1, n2, choices, labels = instance(i, percent)
+            n1, n2, choices, labels, needed = instance(i, percent)
             cells = n1 * n2
             cell = (elements % _U(cells)).astype(np.int64)
             sums, counts = np.zeros(cells, _U), np.bincount(cell, minlength=cells).reshape(n1, n2)
@@ -76,7 +82,7 @@ def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
             found = _mix(sums.reshape(n1, n2)[:, choices].sum(2) + labels)
             filled = counts[:, choices].sum(2) > 0
             out.append(found[filled])
-            if not filled.all():
+            if needed and not filled.all():
                 out.append(_mix((_mix(least)[:, None] ^ labels[~filled]) * _U(_SEED)).ravel())
     return np.concatenate(out)
 
