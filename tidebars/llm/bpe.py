@@ -23,7 +23,7 @@ _EDGE, _RUN = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"\s\s")
 #: Contractions that are another piece when they are cut, and runs of white space.
 _CUT, _RUNS = {"'re", "'ve", "'ll"}, regex.compile(r"\p{White_Space}{2,}")
 #: Bytes that a worker remembers of words and of chunks; longer strings than ``LONG`` characters are never remembered.
-WORD_BYTES, CHUNK_BYTES, HEAD_BYTES, LONG = 96 << 20, 96 << 20, 24 << 20, 48
+WORD_BYTES, CHUNK_BYTES, HEAD_BYTES, LONG = 216 << 20, 216 << 20, 48 << 20, 48
 
 
 def byte_letters() -> dict[str, int]:
