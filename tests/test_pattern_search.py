@@ -85,3 +85,17 @@ def test_same_rows_as_the_join_of_all_pairs(spark):
     want = similarity.topk_per_eval(ids(df), ids(evals), 4, "id", apart)
     rows = lambda d, t: sorted((r["eval_symbol"], r[t], r["rank"], round(r["similarity"], 7)) for r in d.collect())
     assert rows(best, "eval_at") == rows(want, "eval_window_end_ts")
+
+
+def test_similarity_is_not_rounded(spark):
+    """Ties are told to nine places, but means and bounds are taken over the cosines themselves."""
+    rows = windows(200, 8, ("A",))
+    df = spark.createDataFrame(rows, SCHEMA)
+    best, _ = pattern_search.search_windows(df, df.where("hour(window_end_ts) = 7"), 4, "INTERVAL 1 DAY", ["up"])
+    vectors = {t: np.array(np.array(v, np.float32), float) for _, t, v, _ in rows}
+    found = best.where("rank = 4").collect()
+    assert found
+    for r in found:
+        a = vectors[r["eval_at"]]
+        cosines = [b @ a / np.linalg.norm(a) / np.linalg.norm(b) for t, b in vectors.items() if b.any() and t < r["eval_at"] - timedelta(days=1)]
+        assert r["similarity"] == pytest.approx(sorted(cosines)[-4], abs=1e-13)
