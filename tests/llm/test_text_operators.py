@@ -517,3 +517,20 @@ def test_names_of_sampled_suffixes_are_lexicographic(spark):
     assert len(found) == sum(sum(p % 3 != 0 for p in range(len(t))) for t in texts.values())
     order = {s: i for i, s in enumerate(sorted(set(suffixes.values())), 1)}
     assert {(r["key"], r["at"]): r["name"] for r in found} == {k: order[s] for k, s in suffixes.items()}
+
+
+def test_new_words_are_merged_together_and_searched_as_the_library_encodes_them(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path, rng = queries.tokenizer_path(), np.random.default_rng(3)
+    with open(path) as f:
+        v, library = bpe.Vocabulary(f.read()), Tokenizer.from_file(path)
+    own = list(v.ids)
+    words = [b"".join(own[i] for i in rng.integers(256, len(own), 1 + n % 3)).decode("utf-8", "ignore").strip() for n in range(600)]
+    words = [w for w in {*words, "a", "aaaaaaa", "\u00fcber", "\u4e2d\u6587", "abab" * 40} if w and v.pieces(w) == [w]]
+    want = [tuple(e.ids) for e in library.encode_batch(words, add_special_tokens=False)]
+    assert len(words) > 100 and v.merged_together(words) == want and [v.searched(w.encode()) for w in words] == want
+    # pairs of tokens are told apart by their last merges; none is merged anew from its bytes
+    pairs = list(v._fits.items())
+    assert all(ok == (v.merged(v.bytes_of[k >> 20] + v.bytes_of[k & (1 << 20) - 1]) == [k >> 20, k & (1 << 20) - 1]) for k, ok in pairs) and len({ok for _, ok in pairs}) == 2
+    assert v.merged_together([]) == []

@@ -85,7 +85,7 @@ def prefix_token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512,
 
 
 def bpe_encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """doc_id and ids (array<int>): the encoding of each whole text, by depth-first passes over tries of new words.
+    """doc_id and ids (array<int>): the encoding of each whole text, each new word by a depth-first search over the vocabulary's trie.
 
     Null and empty text: no ids. Repeated rows are encoded each; an empty table gives an empty result.
     """
