@@ -99,3 +99,21 @@ def test_similarity_is_not_rounded(spark):
         a = vectors[r["eval_at"]]
         cosines = [b @ a / np.linalg.norm(a) / np.linalg.norm(b) for t, b in vectors.items() if b.any() and t < r["eval_at"] - timedelta(days=1)]
         assert r["similarity"] == pytest.approx(sorted(cosines)[-4], abs=1e-13)
+
+
+def test_blocks_of_vectors_give_the_rows_of_the_join(spark, monkeypatch):
+    """Small blocks, several passes, ties and vectors without direction; no pair reaches a join or a sort of all pairs."""
+    r = random.Random(4)
+    rows = [(i, [0.0] * 4 if i % 19 == 0 else [float(r.randrange(-2, 3)) for _ in range(4)], f"l{i % 7}") for i in range(400)] + [(401, [float("nan")] * 4, "x"), (None, [1.0] * 4, "n"), (500, None, "v")]
+    df = spark.createDataFrame(rows, "id long, vector array<float>, label string").repartition(5)
+    evals = df.where("id % 9 = 4 or id = 401 or id = 500")
+    key = lambda d: sorted((x["eval_id"], x["rank"], x["id"], x["label"], x["eval_label"], str(round(x["similarity"], 8))) for x in d.collect())
+    want = key(similarity.topk_per_eval(df, evals, 6, "id", F.col("id") < F.col("eval_id") - 5))
+    for names in ({}, {"ROWS": 7, "COLUMNS": 5, "EVALS_AT_ONCE": 11}):
+        for n, v in names.items():
+            monkeypatch.setattr(similarity, n, v)
+        got = similarity.topk_per_eval(df, evals, 6, "id", cutoff=F.col("id") - 5)
+        assert key(got) == want and len(want) > 200
+    plan = got._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "BroadcastNestedLoopJoin" not in plan
+    assert similarity.topk_per_eval(df, evals.where("false"), 6, "id").collect() == [] and similarity.topk_per_eval(df.where("false"), evals, 6, "id").collect() == []
