@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -506,6 +507,35 @@ def test_parts_of_items_and_blocks_change_no_result(spark, leaks, monkeypatch):
     assert sorted(map(str, decontaminate.contaminated(df, benchmark).select("doc_id", "item_id", "item_share", "answer_share").collect())) == whole
 
 
+def test_words_of_many_texts_are_coded_together_as_they_are_cut_one_by_one():
+    texts = ["", " ", ".", "One two,ONE\tthree-two", "\u0391\u03a3", "\u03a3.\u0391\u03a3 \u0391\u03a3", "\u0130x \u00dcBER\u00a0\u4e2d\u6587", "a\x00b\x1fc_d", "no", "one" * 30, "  x\n", "one"]
+    code = {w: i for i, w in enumerate(sorted({w for t in texts[::2] for w in decontaminate.words_of(t)} | {b"one", b"on", b"tw"}))}
+    docs = [decontaminate.words_of(t) for t in texts]
+    for begin in range(len(texts)):
+        codes, lengths = decontaminate.coded(texts[begin:], pa.array(list(code), pa.large_binary()))
+        assert codes.tolist() == [code.get(w, len(code)) for d in docs[begin:] for w in d] and lengths.tolist() == [len(d) for d in docs[begin:]]
+    codes, lengths = decontaminate.coded(["one", "two"], pa.array([], pa.large_binary()))
+    assert codes.tolist() == [0, 0] and lengths.tolist() == [1, 1]
+
+
+def test_rounds_of_the_latent_space_take_no_more_tasks_for_more_documents(spark, leaks):
+    items, texts = leaks
+    words, context = [decontaminate.words_of(x) for _, x in items], spark.sparkContext
+    code = {w: i for i, w in enumerate(sorted({w for x in words for w in x}))}
+    took, spaces = [], []
+    for parts in (10, 40):
+        context.setJobGroup(f"latent-{parts}", "test")
+        docs = frame(spark, context.parallelize(texts, parts))
+        spaces.append(decontaminate._latent_basis(docs, words, code, np.ones(len(code)), 10**6, len(texts)))
+        jobs = [context.statusTracker().getJobInfo(j) for j in context.statusTracker().getJobIdsForGroup(f"latent-{parts}")]
+        stages = [context.statusTracker().getStageInfo(s) for s in {s for j in jobs for s in j.stageIds}]
+        took.append(sum(s.numCompletedTasks for s in stages if s))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert np.allclose(*(x[:, :8] @ x[:, :8].T for x in spaces), atol=1e-3)
+    # all documents are read once, to draw the sample; the rounds then see the sample only
+    assert 0 < took[1] - took[0] <= 30, took
+
+
 def test_names_of_sampled_suffixes_are_lexicographic(spark):
     from tidebars.llm.suffix_names import sampled_suffix_names
 
