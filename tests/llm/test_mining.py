@@ -218,6 +218,36 @@ def test_linked_sets_always_share_a_partenum_signature(percent):
     assert tried > 4_000
 
 
+@pytest.mark.parametrize("percent", [50, 80, 90])
+def test_linked_sets_share_a_signature_whatever_is_common(percent):
+    r = np.random.default_rng(percent)
+    for size in (2, 4, 9, 20, 60, 140, 170, 260, 330, 700):
+        for share in (0.0, 0.3, 0.9, 1.0):
+            for _ in range(25):
+                union = r.integers(0, 1 << 63, size, dtype=np.uint64)
+                common = np.sort(union[r.random(size) < share])
+                extra = size * (100 - percent) // 100  # as many apart as a link allows
+                first = int(r.integers(0, extra + 1))
+                a, b = np.unique(union[first:]), np.unique(np.concatenate([union[:first], union[extra:]]))
+                assert len(np.intersect1d(jaccard.signatures(a, percent, common), jaccard.signatures(b, percent, common)))
+
+
+def test_unrelated_texts_with_a_line_in_common_are_no_candidates(spark, monkeypatch):
+    r, met, components = np.random.default_rng(8), {}, jaccard.components
+    line = " ".join(f"licence{i}" for i in range(12))
+    rows = [(i, " ".join([line, *(f"w{x}" for x in r.integers(0, 1 << 40, 20 + i % 50))])) for i in range(600)]
+    rows.append((1_000, rows[40][1] + " end"))
+
+    def seen(edges, label):
+        met[label] = edges.count()
+        return components(edges, label)
+
+    monkeypatch.setattr(jaccard, "components", seen)
+    found = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {i: i if i < 1_000 else 40 for i, _ in rows}
+    assert met["jaccard-candidates"] == 1
+
+
 def test_unrelated_small_sets_share_no_signature():
     r = np.random.default_rng(5)
     for size in (1, 2, 3, 4, 6, 8, 15):

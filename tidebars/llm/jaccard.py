@@ -8,10 +8,12 @@ agree on at least one signature. Sets that share a signature form chains, chains
 and each cluster is then compared exactly; a large cluster is compared by pairs of blocks of sets of like
 size in separate tasks.
 
-Shingles and sets are told apart by 64-bit hashes. A projection without elements tells nothing and would tie
-unrelated sets together. In sets of few elements, at 80 % up to about 200, the least ones stand in its place, as many
-as leave two linked sets one in common, and no link is lost. In larger sets it is left out: linked ones agree on about half
-of their many parts, and all of these are empty for both with a chance of less than ``LOSS``. Sets without a common shingle never meet.
+Shingles and sets are told apart by 64-bit hashes. A projection of no element or of one ties unrelated sets together, and
+as the table grows these ties grow with its square, until most sets are one cluster. In large sets projections of few elements
+are left out: linked ones agree on about half of their many parts, and all of these are so poor for both with a chance of less
+than ``LOSS``. In smaller sets, at 80 % up to about 230, they are made up by the set's first elements, as many as leave two linked
+sets enough in common, so that a signature always stands for two elements; elements that many sets hold are left out of their
+projections and come last among the first ones. No link is lost there. Sets without a common shingle never meet.
 """
 
 from __future__ import annotations
@@ -28,12 +30,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe import in_groups
-from .common import components, lean, one_row_each, shuffle_cleanup, spread_join, stored
+from .common import components, drawn, lean, one_row_each, shuffle_cleanup, spread_join, stored
 from .substring_dedup import split_words
 from .superkmers import NULL_KEY, _mix, keyed, mix, rows_of_runs, window_hash
 
 _U, _SEED = np.uint64, 0x9E3779B97F4A7C15
-GROUP_CHARS, BLOCK_ELEMENTS, TASK_ELEMENTS, KNOWN_SETS, LOSS = 1_500_000, 500_000, 2_000_000, 100_000, 1e-8
+GROUP_CHARS, BLOCK_ELEMENTS, TASK_ELEMENTS, KNOWN_SETS, LOSS, FEW = 1_500_000, 500_000, 2_000_000, 100_000, 1e-8, 4
+#: Sets that are drawn to learn which shingles are common, in how many of these one is, and how many are sent out at most. No result depends on them.
+DRAWN, OFTEN, MOST_COMMON = 20_000, 4, 100_000
 
 
 @lru_cache(1 << 16)
@@ -46,10 +50,12 @@ def band(size: int, percent: int) -> int:
 
 
 @lru_cache(1 << 12)
-def instance(i: int, percent: int) -> tuple[int, int, np.ndarray, np.ndarray, bool]:
-    """n1, n2, the cell choices of instance i, for sets of bands i - 1 and i, a label for each part and choice, and whether empty projections are needed.
+def instance(i: int, percent: int) -> tuple[int, int, np.ndarray, np.ndarray, int, int]:
+    """n1, n2, the cell choices of instance i, for sets of bands i - 1 and i, a label for each part and choice, ``fewest`` and ``shared``.
 
-    They are not where linked sets agree on so many parts that all of these are empty for both with a chance of less than ``LOSS``.
+    ``shared``: elements that two sets have in common at least if a signature says that they may be linked, two wherever all linked sets have as many.
+    ``fewest``: projections of fewer elements, up to ``FEW``, are left out, as linked sets agree on so many parts that all of these are so poor with
+    a chance of less than ``LOSS``.
     """
     before = low = 1
     for _ in range(i):
@@ -58,32 +64,56 @@ def instance(i: int, percent: int) -> tuple[int, int, np.ndarray, np.ndarray, bo
     n1, k2, n2 = (1, 0, 1) if k == 0 else (1, k, k + 3) if k <= 3 else (-(-(k + 1) // 2), 1, 3)
     choices = np.array(list(combinations(range(n2), n2 - k2)))
     place = np.arange(n1 * len(choices), dtype=_U) + (_U(i) << _U(40))
-    # a part of three cells is agreed on by half of all borderline pairs; lost if it is the only one and its projection is empty
-    lost = math.log(n1 * 0.515) + (n1 - 1) * math.log(0.485) + before * math.log(1 - 2 / (3 * n1)) if n1 >= 3 else 0.0
-    return n1, n2, choices, mix(place).reshape(n1, len(choices)), lost > math.log(LOSS)
-
-
-def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
+    fewest = 0
+    if n1 >= 3:
+        # a part is agreed on if all that is apart lies in one cell; then the other two cells hold elements in common only
+        agreed = sum(_chance(k, 1 / n1, j) * 3.0 ** min(0, 1 - j) for j in range(min(k, 40) + 1))
+        while fewest < FEW:
+            poor = sum(_chance(before, 2 / (3 * n1), j) for j in range(fewest + 1))
+            # at least one part is agreed on, and each that is has a poor projection: (1 - agreed + agreed * poor) ** n1 - (1 - agreed) ** n1
+            all_poor = n1 * math.log1p(agreed * (poor - 1))
+            if all_poor + math.log(-math.expm1(n1 * math.log1p(-agreed) - all_poor)) > math.log(LOSS):
+                break
+            fewest += 1
+    return n1, n2, choices, mix(place).reshape(n1, len(choices)), fewest, min(2, -(-percent * before // 100))
+
+
+def _chance(n: int, p: float, j: int) -> float:
+    """Of j hits in n trials."""
+    return math.exp(math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(p) + (n - j) * math.log1p(-p)) if j <= n else 0.0
+
+
+def signatures(elements: np.ndarray, percent: int, common: np.ndarray | None = None) -> np.ndarray:
     """Signatures of a set of ascending 64-bit elements, for both of its instances.
 
-    In place of an empty projection, where it is needed, stand its least elements, each with the part and choice: linked sets
-    that both have it share one of them, as each has few elements beyond those in common.
+    Elements in ``common`` (ascending) are left out of projections where poor ones may not be: what two sets differ in grows no larger, so they
+    agree on as many parts. A projection of fewer elements than ``shared`` that may not be left out is made up by the set's first elements, each
+    or each two of them, those in ``common`` last: linked sets that both have it share one of these, as each has few elements beyond those shared.
     """
     out, own, size = [], band(len(elements), percent), len(elements)
-    least = elements[: size - -(-percent * size // 100) + 1]
+    spare, rare = size - -(-percent * size // 100), np.ones(size, bool)
+    if common is not None and len(common) and not (instance(own, percent)[4] and instance(own + 1, percent)[4]):
+        rare = common[np.minimum(np.searchsorted(common, elements), len(common) - 1)] != elements
     with np.errstate(over="ignore"):
         mixed = mix(elements + _U(0x632BE59BD9B4E019))
+        ordered = np.concatenate([mixed[rare], mixed[~rare]])
         for i in (own, own + 1):
-            n1, n2, choices, labels, needed = instance(i, percent)
-            cells = n1 * n2
-            cell = (elements % _U(cells)).astype(np.int64)
+            n1, n2, choices, labels, fewest, shared = instance(i, percent)
+            cells, used = n1 * n2, slice(None) if fewest else rare
+            cell = (elements[used] % _U(cells)).astype(np.int64)
             sums, counts = np.zeros(cells, _U), np.bincount(cell, minlength=cells).reshape(n1, n2)
-            np.add.at(sums, cell, mixed)
-            found = _mix(sums.reshape(n1, n2)[:, choices].sum(2) + labels)
-            filled = counts[:, choices].sum(2) > 0
-            out.append(found[filled])
-            if needed and not filled.all():
-                out.append(_mix((_mix(least)[:, None] ^ labels[~filled]) * _U(_SEED)).ravel())
+            np.add.at(sums, cell, mixed[used])
+            sums, filled = sums.reshape(n1, n2)[:, choices].sum(2), counts[:, choices].sum(2)
+            found = _mix(sums + labels)
+            out.append(found[filled >= max(fewest, shared)])
+            # of the first ``spare`` + x elements of each of two linked sets, the x first ones in common are among both
+            first = (mixed if fewest else ordered)[: spare + shared]
+            if fewest <= 1 < shared and (at := filled == 1).any():
+                # another one in common, besides that of the projection
+                out.append(_mix((_mix(first)[:, None] ^ found[at]) * _U(_SEED))[first[:, None] != sums[at]])
+            if fewest == 0 and not filled.all():
+                x, y = np.triu_indices(len(first), 1) if shared == 2 else (np.arange(len(first)),) * 2
+                out.append(_mix((_mix(first[x] + _mix(first[y])) ^ labels[0, 0]) * _U(_SEED)))
     return np.concatenate(out)
 
 
@@ -148,6 +178,27 @@ def signature_table(rows: DataFrame, n: int, sign: Callable[[np.ndarray], np.nda
     return rows.select("text").mapInArrow(run, "set_id long, signatures array<long>").select(F.explode("signatures").alias("signature"), "set_id")
 
 
+def common_shingles(rows: DataFrame, n: int, percent: int, n_rows: int) -> np.ndarray:
+    """Shingles, ascending, in at least ``OFTEN`` of about ``DRAWN`` sets drawn by hash, of the sizes for which ``signatures`` asks.
+
+    They say where unrelated sets would meet, as in lines that many texts share. Whatever is in it, no link is lost.
+    """
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for s in in_groups(texts, GROUP_CHARS):
+                small = [x for x in shingle_sets(texts[s], n) if len(x) and not instance(band(len(x), percent), percent)[4]]
+                if small:
+                    ids = np.repeat([set_id(x) for x in small], [len(x) for x in small])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(small).view(np.int64)), pa.array(ids, pa.int64())], ["shingle", "set_id"])
+
+    some = rows.where(drawn(min(1.0, DRAWN / max(1, n_rows)), "row_hash")).select("text").mapInArrow(run, "shingle long, set_id long").distinct()
+    often = some.groupBy("shingle").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "shingle").limit(MOST_COMMON)
+    return np.sort(often.toPandas()["shingle"].to_numpy(np.int64).view(_U))
+
+
 def compare_group(sets: list[np.ndarray], side: list[int], percent: int, across: bool) -> Iterator[tuple[int, int]]:
     """All linked pairs of positions, or only those of different sides."""
     n, sizes = len(sets), np.array([len(s) for s in sets])
@@ -256,8 +307,11 @@ def jaccard_rows(docs: DataFrame, n: int = 5, percent: int = 80, sign: Callable[
     """
     rows = keyed(docs)
     sets = stored(set_table(rows, n), "jaccard-sets")
+    if sign is None:
+        common = docs.sparkSession.sparkContext.broadcast(common_shingles(rows, n, percent, sets.count()))
+        sign = lambda elements: signatures(elements, percent, common.value)
     # equal signatures: a chain through the sets that share one, in order of set_id, streaming within the sort
-    chain = signature_table(rows, n, sign or (lambda elements: signatures(elements, percent))).select("set_id", F.lag("set_id").over(W.partitionBy("signature").orderBy("set_id")).alias("before")).where("before <> set_id")
+    chain = signature_table(rows, n, sign).select("set_id", F.lag("set_id").over(W.partitionBy("signature").orderBy("set_id")).alias("before")).where("before <> set_id")
     with shuffle_cleanup(docs.sparkSession):
         pairs = stored(chain.select(F.col("before").alias("u"), F.col("set_id").alias("v")).distinct(), "jaccard-chains")
     clusters = components(pairs, "jaccard-candidates")
