@@ -536,6 +536,34 @@ def test_rounds_of_the_latent_space_take_no_more_tasks_for_more_documents(spark,
     assert 0 < took[1] - took[0] <= 30, took
 
 
+def test_latent_space_is_that_of_all_passages_of_all_documents(spark, leaks, monkeypatch):
+    items, texts = leaks
+    words, frame_of = [decontaminate.words_of(x) for _, x in items], frame(spark, texts)
+    code = {w: i for i, w in enumerate(sorted({w for x in words for w in x}))}
+    d, idf, weight = len(code), np.random.default_rng(6).uniform(0.5, 3, len(code)), 160.0
+    rows = [(p, decontaminate.ITEM_WEIGHT**2) for x in words for p in decontaminate.passages_of(x)]
+    for _, t in texts:
+        doc = decontaminate.words_of(t or "")
+        # a document of one block is a passage; else each block but the last begins one
+        rows += [(doc[i : i + 32], weight / 16 / len(texts) / 2) for i in range(0, max(1, len(doc) - 16), 16)]
+    whole = np.zeros((d, d))
+    for passage, times in rows:
+        a, norm = np.zeros(d), 0.0
+        for w in passage:
+            norm += idf[code[w]] ** 2 if w in code else idf.max() ** 2
+            if w in code:
+                a[code[w]] += idf[code[w]]
+        if norm:
+            whole += times * np.outer(a, a) / norm
+    best = np.sort(np.linalg.eigvalsh(whole))[::-1]
+    for most in (decontaminate.PAIR_WORDS, 10):
+        monkeypatch.setattr(decontaminate, "PAIR_WORDS", most)
+        basis = decontaminate._latent_basis(frame_of, words, code, idf, weight, len(texts))
+        assert np.allclose(basis.T @ basis, np.eye(basis.shape[1]), atol=1e-4)
+        # the leading directions are those of the whole matrix
+        assert np.allclose(np.diag(basis.T @ whole @ basis)[:8], best[:8], rtol=1e-3)
+
+
 def test_names_of_sampled_suffixes_are_lexicographic(spark):
     from tidebars.llm.suffix_names import sampled_suffix_names
 
